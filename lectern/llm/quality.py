@@ -78,7 +78,7 @@ def rules() -> list[Rule]:
         Rule("word_length", F.col("word_chars") / words, 4.0, low=True),
         Rule("symbol_share", F.col("n_symbols") / words, 0.2),
         Rule("dup_line_share", F.col("n_dup_lines") / words, 0.1),
-        Rule("repeat_share", F.col("n_repeat_words") / words, 0.1),
+        Rule("repeat_share", F.col("n_repeat_words") / words, 0.15),
     ]
 
 
