@@ -110,7 +110,7 @@ STANDINS = {
       SELECT event_id AS id, event_type AS source, CASE event_id % 6
         WHEN 0 THEN concat('{{"_meta":{{"k":1}},"tags":["a"],"title":"t', cast(event_id % 50 AS string), '","n":', cast(event_id % 9 AS string), '}}')
         WHEN 1 THEN concat('{{"detail":{{"title":"d', cast(event_id % 50 AS string), '"}},"tags":"x"}}') WHEN 2 THEN 'not json' WHEN 3 THEN props
-        WHEN 4 THEN '{{"_meta":[],"title":" ","extra":"[\\"q\\"]"}}' ELSE NULL END AS payload FROM {events}""",
+        WHEN 4 THEN concat('{{"_meta":[],"title":" ","extra":"[', chr(92), '"q', chr(92), '"]"}}') ELSE NULL END AS payload FROM {events}""",
     "reviews": """
       SELECT d.doc_id AS id, d.source, d.lang, d.text, CASE d.doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'other' END AS kind FROM {documents} d""",
 }

@@ -46,6 +46,6 @@ SCORES = "struct<avg: double, douban: double, imdb: double, tmdb: double, rotten
 RELATED = "struct<series: array<struct<id: string, title: string, year: int, rating: double>>, similar: array<struct<id: string, title: string, year: int, rating: double>>>"
 
 MANIFEST_ITEM = (
-    "bookId string, title string, authors array<string>, type string, contentKind string, profile string, expectedAction string, "
-    "doubanId string, sourceHints map<string,string>, reviewNotes array<string>"
+    "bookId: string, title: string, authors: array<string>, type: string, contentKind: string, profile: string, expectedAction: string, "
+    "doubanId: string, sourceHints: map<string,string>, reviewNotes: array<string>"
 )
