@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words a Python worker remembers at once; the memo is emptied beyond.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
+Batches = Iterator[pa.RecordBatch]
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 
@@ -125,17 +127,6 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
-def arrow_map(df: DataFrame, f: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def batch_of(schema: pa.Schema, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
-
-
 #: Bits of a membership filter: its size is fixed, whatever it holds.
 FILTER_BITS = 1 << 25
 
@@ -172,3 +163,19 @@ def only_members(df: DataFrame, column: str, bits) -> DataFrame:
 
     h = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     return df.where(F.col(column).isNotNull()).withColumn("__h", h).mapInArrow(run, df.schema)
+
+
+#: Bytes of text that a Python worker takes apart at once.
+PORTION_BYTES = 2 << 20
+
+
+def portions(batches: Batches, size: int = PORTION_BYTES, column: str = "text") -> Batches:
+    """The batches in slices of about ``size`` bytes of text, a row at least, so that memory does not follow Arrow's batch size."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(ends):
+            have = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, have + size, "right")))
+            yield b.slice(at, to - at)
+            at = to

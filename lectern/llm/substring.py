@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, materialise, signed, text_rows, window_hashes
+from lectern.llm.common import WordHash, drop_table, materialise, membership, only_members, portions, signed, text_rows, window_hashes
 
 WINDOW = 35
 _memo = WordHash()
@@ -49,7 +49,7 @@ def _seeds(window: int, batches):
     half = (window + 1) // 2
     span = window - half + 1
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    for b in batches:
+    for b in portions(batches):
         hs, docs, at = [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             words = text.split() if text else ()
@@ -68,7 +68,7 @@ def _candidates(window: int, batches):
     """Windows that hold a repeated seed, with their hashes."""
     half = (window + 1) // 2
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    for b in batches:
+    for b in portions(batches):
         for doc, text, seeds in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("seeds")):
             h = window_hashes(_memo.array(text.split()), window)
             p = seeds.values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -87,17 +87,19 @@ def repeated(places: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(texts, starts): the texts dealt by doc_id, and (doc_id, starts) of the repeated windows of each document.
+    """(texts, starts): the texts as binary, and (doc_id, starts) of the repeated windows of each document.
 
     A document is a doc_id; rows with a null doc_id or text, or under ``window``
     words, have no window.
     """
-    texts = text_rows(docs).repartition(F.col("doc_id"))
-    seeds = text_rows(docs).where("doc_id is not null").mapInArrow(partial(_seeds, window), "h long, doc_id long, pos int")
-    seeds = repeated(materialise(seeds, "seeds")).groupBy("doc_id").agg(F.collect_list("pos").alias("seeds"))
-    held = texts.join(materialise(seeds, "held"), "doc_id").select("doc_id", "text", "seeds")
-    places = materialise(held.mapInArrow(partial(_candidates, window), "h long, doc_id long, pos int"), "windows")
-    starts = repeated(places).groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    texts = text_rows(docs)
+    seeds = materialise(texts.where("doc_id is not null").mapInArrow(partial(_seeds, window), "h long, doc_id long, pos int"), "seeds")
+    held = materialise(repeated(seeds).groupBy("doc_id").agg(F.collect_list("pos").alias("seeds")), "held")
+    drop_table(seeds)
+    some = only_members(texts, "doc_id", membership(held, "doc_id")).join(held, "doc_id").select("doc_id", "text", "seeds")
+    places = materialise(some.mapInArrow(partial(_candidates, window), "h long, doc_id long, pos int"), "windows")
+    starts = materialise(repeated(places).groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
+    drop_table(places)
     return texts, starts
 
 
@@ -111,7 +113,7 @@ def covered(n: int, starts, window: int) -> np.ndarray:
 
 def _cut(window: int, batches):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
-    for b in batches:
+    for b in portions(batches):
         ids, ns, rs, ks = b.column("doc_id").to_pylist(), [], [], []
         for text, starts in zip(b.column("text").to_pylist(), b.column("starts")):
             words = text.split() if text else []
