@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, text_rows
+from lectern.llm.common import Memo, portions, text_rows
 
 MEMO_PIECES = 250_000
 #: The public pre-tokenisation pattern of byte-level BPE, and the code points that its \s means.
@@ -212,7 +212,7 @@ def tokenizer(path: str) -> PrefixBpe:
 def _encode(path: str, digest: bool, batches):
     bpe = tokenizer(path)
     hexed = lambda x: hashlib.sha256(x).hexdigest()
-    for b in batches:
+    for b in portions(batches):
         ns, ids_, back = [], [], []
         for text in b.column("text").to_pylist():
             ids = bpe.encode((text or b"").decode("utf-8", "replace"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, text_rows
+from lectern.llm.common import Memo, portions, text_rows
 
 #: N-grams in a language's and in a document's profile.
 PROFILE, DOC_PROFILE = 400, 300
@@ -66,7 +66,7 @@ def ranked(ids: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
 
 
 def _count(batches):
-    for b in batches:
+    for b in portions(batches):
         total: dict[str, Counter] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
             ids, n = gram_counts(text)
@@ -124,7 +124,7 @@ def nearest(table: np.ndarray, text: bytes | None) -> tuple[int, float]:
 
 def _identify(langs: list[str], held, batches):
     table = rank_table(dict(zip(langs, held.value)))
-    for b in batches:
+    for b in portions(batches):
         found = [nearest(table, t) for t in b.column("text").to_pylist()]
         lang = [langs[i] if i >= 0 else UNKNOWN for i, _ in found]
         cols = [b.column(c) for c in b.schema.names if c != "text"]
@@ -161,7 +161,7 @@ LEAST_SCORE = 0.05
 
 def _accept(langs: list[str], held, batches):
     table = rank_table(dict(zip(langs, held.value)))
-    for b in batches:
+    for b in portions(batches):
         keep = [i >= 0 and s >= LEAST_SCORE for i, s in (nearest(table, (t or "").encode()) for t in b.column("text").to_pylist())]
         yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, materialise, membership, only_members, signed, text_rows, window_hashes
+from lectern.llm.common import WordHash, materialise, membership, only_members, portions, signed, text_rows, window_hashes
 from lectern.llm.components import linked_components
 
 #: Buckets of the column count sketch: 2**SKETCH_BITS counts, the same for any input.
@@ -59,16 +59,11 @@ def _survey(k: int):
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         some = False
-        for b in batches:
-            ids, ns, fps, held = b.column("doc_id").to_pylist(), [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, k)
-                ns.append(len(s))
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()))
-                held.append(s)
-            if held:
-                some = True
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+        for b in portions(batches, size=8 << 20):
+            held = [shingles(text, k) for text in b.column("text").to_pylist()]
+            ids, ns, fps = b.column("doc_id").to_pylist(), list(map(len, held)), [xxhash.xxh3_128_digest(s.tobytes()) for s in held]
+            sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            some = True
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ns, fps, none, none), schema)], schema=schema)
         if some:
@@ -93,7 +88,7 @@ def _prefixes(k: int, t_num: int, t_den: int, rank_of):
 
     def run(batches):
         rank = np.frombuffer(zlib.decompress(rank_of.value), np.uint32)
-        for b in batches:
+        for b in portions(batches):
             out = ([], [], [], [])
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 s = shingles(text, k)
@@ -134,7 +129,7 @@ def _sets(k: int):
     schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in portions(batches):
             ids, out = [], []
             for i, fp, text in zip(b.column("id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist()):
                 s = shingles(text, k).tobytes()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, materialise, text_rows, window_hashes
+from lectern.llm.common import WordHash, materialise, portions, text_rows, window_hashes
 
 SPREAD = 4.0
 SKETCH_K = 400
@@ -52,7 +52,7 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches):
-    for b in batches:
+    for b in portions(batches):
         cols = list(zip(*map(text_stats, b.column("text").to_pylist()))) or [[]] * 5
         names = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(

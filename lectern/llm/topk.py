@@ -109,11 +109,6 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, own: int, k: int, flo
     return [(s, -i) for s, i in best]
 
 
-def _matrix(batches: list[pa.RecordBatch], column: str) -> np.ndarray:
-    rows = [np.asarray(x, np.float64) for b in batches for x in b.column(column).to_pylist()]
-    return np.array(rows) if rows else np.zeros((0, 0))
-
-
 def _search_shard(k: int, only_best_leaf: bool):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, text_rows
+from lectern.llm.common import Memo, portions, text_rows
 from lectern.llm.langid import held_out
 
 #: Labelled rows learned from, at most, of each label: those of least hash.
@@ -103,7 +103,7 @@ class Grammar:
 
 
 def _term_counts(batches):
-    for b in batches:
+    for b in portions(batches):
         pos, neg = Counter(), Counter()
         for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
             words = set(_words((text or b"").decode("utf-8", "replace").lower()))
@@ -115,7 +115,7 @@ def _term_counts(batches):
 
 def _features(lexicon: dict[str, float], batches):
     grammar = Grammar(lexicon)
-    for b in batches:
+    for b in portions(batches):
         found = [grammar.features((t or b"").decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
         cols = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
         keep = [c for c in b.schema.names if c != "text"]
