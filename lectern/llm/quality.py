@@ -73,7 +73,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    words = F.col("n_words").cast("double")
+    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
         Rule("word_length", F.col("word_chars") / words, 4.0, low=True),
         Rule("symbol_share", F.col("n_symbols") / words, 0.2),
