@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import nonblank
-from lectern.operators.validate import problems
 
 
 def batch_summary(items: DataFrame) -> DataFrame:
@@ -112,5 +111,3 @@ def source_scope(items: DataFrame, sources: list[str], platform: str) -> DataFra
     fast = web & F.coalesce(F.col("profile") == "web-novel-fast", F.lit(False))
     return items.select("id", F.when(fast, F.array(F.lit(platform))).when(web, all_).otherwise(rest).alias("sources"))
 
-
-__all__ = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__] + ["problems"]

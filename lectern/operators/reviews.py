@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +99,10 @@ def pca_coords(vectors: DataFrame, dims: int = 2) -> DataFrame:
 
 def embedding_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id and ``features`` from an array column."""
-    from pyspark.ml.functions import array_to_vector
-
     return embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
-def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3, rounds: int = 30) -> DataFrame:
+def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3, rounds: int = 200) -> DataFrame:
     """(id, cluster): density clusters of (id, v array of doubles), -1 for noise; cluster is the smallest core id.
 
     Points fall into grid cells of width eps over the first ``dims`` components.
@@ -124,7 +122,7 @@ def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3
     links = pairs.join(core.toDF("a"), "a").join(core.toDF("b"), "b").persist()
     label = core.withColumn("cluster", F.col("id"))
     for _ in range(rounds):
-        nxt = links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")).checkpoint() if _has_checkpoint(points) else links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")).persist()
+        nxt = _cut(links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")))
         changed = nxt.join(label.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count()
         label = nxt
         if not changed:
@@ -133,8 +131,6 @@ def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3
     return points.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
-__all__ = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__] + ["VectorAssembler"]
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint where the session has a folder for it, so that lineage stays short over the rounds; else a cached copy."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()

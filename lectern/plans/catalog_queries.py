@@ -1,18 +1,12 @@
-"""Queries of matching, merging, catalogue change, validation and reports."""
+"""Queries of matching and merging."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.functions import scalars as S
 from lectern.operators import matching as M
 from lectern.operators import merge as G
-from lectern.operators import reports as R
-from lectern.operators import upsert as U
-from lectern.operators import validate as V
-from lectern.operators.export import categories_join  # noqa: F401
-from lectern.plans.export_queries import CREDITS
 from lectern.plans.registry import query
 
 

@@ -10,8 +10,7 @@ from lectern.operators import matching as M
 from lectern.operators import reports as R
 from lectern.operators import upsert as U
 from lectern.operators import validate as V
-from lectern.plans.catalog_queries import REFS, SIDES, sides
-from lectern.plans.export_queries import CREDITS
+from lectern.plans.catalog_queries import CUT, SIDES, ZH, sides
 from lectern.plans.registry import query
 
 
@@ -266,8 +265,6 @@ def _content(t):
     return V.content_quality(t.texts.select("id", F.col("txt").alias("summary"), F.col("txt").alias("story"), kind.alias("kind"), F.filter(ex, lambda x: x.isNotNull()).alias("excerpts")))
 
 
-from lectern.plans.catalog_queries import CUT, ZH  # noqa: E402
-
 CONTENT = f"""content AS (SELECT id, concat_ws(',', CASE WHEN b THEN 'summary_missing' END, CASE WHEN NOT b AND NOT {ZH} THEN 'summary_not_chinese' END, CASE WHEN NOT b AND {CUT} THEN 'summary_truncated' END,
   CASE WHEN b AND id % 2 = 1 THEN 'story_missing' END, CASE WHEN NOT b AND NOT {ZH} THEN 'story_not_chinese' END, CASE WHEN NOT b AND {CUT} THEN 'story_truncated' END) AS problems,
   CASE WHEN b AND id % 2 = 0 THEN 'story_missing' ELSE '' END AS warnings, CASE WHEN txt IS NULL THEN 0 ELSE 1 END AS n_dup_excerpts FROM (SELECT *, trim(coalesce(txt, '')) = '' AS b FROM texts))"""
