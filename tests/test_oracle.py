@@ -8,7 +8,7 @@ from tests.compare import numbers_alike, rows
 
 SF = "/root/testdata/sf0.001"
 
-from lectern.plans import catalog_queries, change_queries, export_queries, text_queries  # noqa: E402, F401
+from lectern.plans import catalog_queries, change_queries, export_queries, scalar_queries, text_queries  # noqa: E402, F401
 from lectern.plans.registry import QUERIES, SQL  # noqa: E402
 from lectern.plans.standin import BASE  # noqa: E402
 
