@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.scratch import written
+
 #: English function words left out of review tokens; callers pass their own list for other languages.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "was", "on", "with", "as", "are", "be", "this", "it", "at", "by", "from", "or"]
 
@@ -117,12 +119,12 @@ def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3
     near = base.withColumn("s", F.explode(shifts)).withColumn("cell", F.zip_with("cell", "s", lambda a, b: a + b))
     j = base.alias("a").join(near.alias("b"), F.col("a.cell") == F.col("b.cell"))
     dist = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = j.where(dist <= eps * eps).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).persist()
+    pairs = written(j.where(dist <= eps * eps).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    links = pairs.join(core.toDF("a"), "a").join(core.toDF("b"), "b").persist()
+    links = written(pairs.join(core.toDF("a"), "a").join(core.toDF("b"), "b"))
     label = core.withColumn("cluster", F.col("id"))
     for _ in range(rounds):
-        nxt = _cut(links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")))
+        nxt = written(links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")))
         changed = nxt.join(label.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count()
         label = nxt
         if not changed:
@@ -130,7 +132,3 @@ def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3
     border = pairs.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
     return points.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, so that lineage stays short over the rounds; else a cached copy."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()

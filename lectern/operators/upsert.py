@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import nonblank
+from lectern.sources.scratch import written
 
 EMPTY = ("[]", "{}")
 
@@ -83,8 +84,11 @@ def upsert_persons(credits: DataFrame, person: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """Rows with n = 1.. in ``order`` over the whole table: range partitions, their counts, offsets. No task sees all rows."""
-    keyed = rows.withColumn("__o", order).repartitionByRange("__o").sortWithinPartitions("__o").withColumn("__p", F.spark_partition_id())
+    """Rows with n = 1.. in ``order`` over the whole table: range partitions, their counts, offsets. No task sees all rows.
+
+    The partition numbers are written once, as they would differ between two evaluations.
+    """
+    keyed = written(rows.withColumn("__o", order).repartitionByRange("__o").withColumn("__p", F.spark_partition_id()))
     local = keyed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__o")))
     sizes = local.groupBy("__p").agg(F.max("__i").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition

@@ -13,6 +13,7 @@ from lectern.operators import reviews as V
 from lectern.plans.change_queries import LATEST
 from lectern.plans.registry import query
 from lectern.sources import io as IO
+from lectern.sources.scratch import scratch_folder
 from lectern.streaming import streams as T
 
 
@@ -47,8 +48,7 @@ def read_title_list(t):
 
 
 def _folder(t) -> str:
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lectern"
-    return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    return scratch_folder(t.spark)
 
 
 @query("SELECT id, title, year FROM titles")
