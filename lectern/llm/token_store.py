@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -25,20 +27,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo
+from lectern.llm.bpe import byte_symbols
+from lectern.llm.common import Memo, portions
 
 #: The dictionary is trained on this many documents at most, cut into pieces of TRAIN_BYTES.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 512, 16_384, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-#: Bytes at which a text is split without changing its ids: the tokenizer drops white space.
+#: Chunks remembered at once.
 MEMO_CHUNKS = 500_000
 
 
+#: A word of Latin letters, with a comma or full stop after it at most. Such letters are whole characters in
+#: NFC, and neither normalisation nor the tokenizer's split joins them to a mark that follows.
+_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+
+
 class ChunkEncoder:
     """Ids of texts by a tokenizer that drops white space: each distinct chunk between white space is encoded once.
 
-    A final comma or full stop after ASCII letters is always a token sequence of
-    its own, so such a chunk is the letters' ids and the mark's.
+    A plain word is given to the tokenizer's model lower-cased; everything else
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,48 +56,31 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(self.known, MEMO_CHUNKS)
-        self.fresh: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.memo = Memo(self.one, MEMO_CHUNKS)
+        symbols = {b: s for s, b in byte_symbols().items()}
+        self.symbols = {b: symbols[b] for b in range(128, 256) if ord(symbols[b]) != b}
+        # the model is asked directly only if that is what the tokenizer does
+        probe = ["probe", "Word", "Éßÿ", "øÀé"]
+        self.direct = self.whole(" ".join(probe)) == b"".join(map(self.word, probe))
 
-    def known(self, chunk: bytes) -> bytes:
-        if chunk[-1:] in (b",", b".") and chunk[:-1].isalpha():
-            return self.memo[chunk[:-1]] + self.memo[chunk[-1:]]
-        found = self.fresh.get(chunk)
-        return self.encoded([chunk])[0] if found is None else found
-
-    def encoded(self, chunks: list[bytes]) -> list[bytes]:
-        many = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in many]
-
-    def prepare(self, texts: list[bytes | None]) -> list[list[bytes]]:
-        """The chunks of each text; those not remembered are encoded in one call."""
-        split = [(t or b"").split() for t in texts]
-        held, old, new = self.memo, self.memo.old, set()
-        for chunks in split:
-            new.update(chunks)
-        new = {c[:-1] if c[-1:] in (b",", b".") and c[:-1].isalpha() else c for c in new if c not in held}
-        new = [c for c in new if c not in held and c not in old]
-        self.fresh = dict(zip(new, self.encoded(new)))
-        return split
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, chunks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.uint32)
+    def word(self, word: str) -> bytes:
+        spelled = word.lower().encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def one(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        found = _plain(text) if self.direct else None
+        if not found:
+            return self.whole(text)
+        return self.memo[chunk[:-1]] + self.memo[chunk[-1:]] if found[2] else self.word(text)
 
-#: Bytes of text whose new chunks are encoded in one call.
-TOGETHER = 4 << 20
-
-
-def _in_portions(columns: list[list], texts: list[bytes | None]):
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size < TOGETHER):
-            size += len(texts[to] or b"")
-            to += 1
-        yield [c[at:to] for c in columns], texts[at:to]
-        at = to
+    def ids(self, text: bytes | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, (text or b"").split())), np.uint32)
 
 
 @lru_cache(2)
@@ -99,10 +90,8 @@ def encoder(path: str) -> ChunkEncoder:
 
 def _serialised(path: str, end: int, batches):
     enc = encoder(path)
-    for b in batches:
-        out = []
-        for _, texts in _in_portions([], b.column("text").to_pylist()):
-            out += [np.append(enc.ids(c), np.uint32(end)).astype(f"<u{enc.width}").tobytes() for c in enc.prepare(texts)]
+    for b in portions(batches):
+        out = [np.append(enc.ids(t), np.uint32(end)).astype(f"<u{enc.width}").tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
 
@@ -143,18 +132,17 @@ def _blocks(path: str, end: int, dictionary: bytes, dict_hash: str, batches):
         row = [[shard], [(shard << 32) + done], [dict_hash], [enc.width], [ids], [ns], [offsets], [b"".join(frames)]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
-    for b in batches:
-        for (docs,), texts in _in_portions([b.column("doc_id").to_pylist()], b.column("text").to_pylist()):
-            for doc, chunks in zip(docs, enc.prepare(texts)):
-                raw = np.append(enc.ids(chunks), np.uint32(end)).astype(f"<u{enc.width}")
-                frame = pack.compress(raw.tobytes())
-                ids.append(doc)
-                ns.append(len(raw))
-                frames.append(frame)
-                size += len(frame)
-                if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
-                    yield block()
-                    ids, ns, frames, size, done = [], [], [], 0, done + 1
+    for b in portions(batches):
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            raw = np.append(enc.ids(text), np.uint32(end)).astype(f"<u{enc.width}")
+            frame = pack.compress(raw.tobytes())
+            ids.append(doc)
+            ns.append(len(raw))
+            frames.append(frame)
+            size += len(frame)
+            if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                yield block()
+                ids, ns, frames, size, done = [], [], [], 0, done + 1
     if ids:
         yield block()
 
