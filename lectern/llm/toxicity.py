@@ -23,17 +23,20 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, portions, text_rows
+from lectern.llm.common import Memo, only, portions, text_rows
 from lectern.llm.langid import held_out
 
 #: Labelled rows learned from, at most, of each label: those of least hash.
 TRAIN_ROWS = 8_000
 #: Lexicon entries at most, the least share of toxic texts that hold one, and the least log odds.
-MAX_TERMS, LEAST_SHARE, LEAST_ODDS = 4_000, 0.004, 3.0
+MAX_TERMS, LEAST_SHARE, LEAST_ODDS = 4_000, 0.005, 3.0
 STEM_LENGTHS = (4, 5, 6)
+#: Least share of a term's toxic texts (up to 40) in which it has neighbours of its own.
+LEAST_VARIED = 0.5
 #: A term's weight never exceeds this.
 MAX_WEIGHT = 6.0
 
@@ -103,18 +106,26 @@ class Grammar:
 
 
 def _term_counts(batches):
+    """(term, pos, neg, around): texts of each label that hold a term, and a 64-bit map of the neighbours it has in toxic ones."""
     for b in portions(batches):
-        pos, neg = Counter(), Counter()
+        pos, neg, around = Counter(), Counter(), {}
         for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
-            words = set(_words((text or b"").decode("utf-8", "replace").lower()))
-            (pos if toxic else neg).update({t for w in words for t in terms_of(w)})
+            words = _words((text or b"").decode("utf-8", "replace").lower())
+            (pos if toxic else neg).update({t for w in set(words) for t in terms_of(w)})
+            if toxic:
+                for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+                    bit = 1 << xxhash.xxh32_intdigest(f"{before} {after}") % 64
+                    for t in terms_of(w):
+                        around[t] = around.get(t, 0) | bit
         terms = list({*pos, *neg})
-        cols = [terms, [pos[t] for t in terms], [neg[t] for t in terms]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))], names=["term", "pos", "neg"])
+        bits = np.array([around.get(t, 0) for t in terms], np.uint64).view(np.int64)
+        cols = [terms, [pos[t] for t in terms], [neg[t] for t in terms], bits]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["term", "pos", "neg", "around"])
 
 
 def _features(lexicon: dict[str, float], batches):
     grammar = Grammar(lexicon)
+    only("grammar")
     for b in portions(batches):
         found = [grammar.features((t or b"").decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
         cols = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)]
@@ -156,9 +167,12 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> tuple[dict[s
     chosen = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, toxic int")  # 2 * TRAIN_ROWS at most
     sample = text_rows(docs).join(F.broadcast(chosen), "doc_id")
     least = max(3, int(LEAST_SHARE * n_pos))
-    counts = sample.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = sample.mapInArrow(_term_counts, "term string, pos long, neg long, around long").groupBy("term")
+    counts = found.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.expr("bit_count(bit_or(around))").alias("places"))
     odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1)))
-    terms = counts.where(F.col("pos") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    # a word of copied texts stands between the same words everywhere; an insult does not
+    varied = F.col("places") >= LEAST_VARIED * F.least(F.col("pos"), F.lit(40))
+    terms = counts.where((F.col("pos") >= least) & varied).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon = {r.term: min(r.odds, MAX_WEIGHT) for r in terms.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()}
     seen = sample.mapInArrow(partial(_features, lexicon), "doc_id long, toxic int, total double, strongest double").toPandas()
     w = fit_logistic(seen[["total", "strongest"]].to_numpy(), seen["toxic"].to_numpy(float))
