@@ -338,13 +338,13 @@ def dedupe_excerpts(t):
     return t.titles.select("id", F.array_join(F.transform(G.dedupe_excerpts(items), lambda x: F.concat(x["url"], F.lit(":"), x["content"])), "|").alias("excerpts"))
 
 
-@query("""SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY "order", id) - 1 AS "order", row_number() OVER (PARTITION BY work_id ORDER BY "order", id) <= 10 AS is_primary FROM work_person""")
+@query("""SELECT work_id, id, (row_number() OVER (PARTITION BY work_id ORDER BY "order", id) - 1)::INTEGER AS "order", row_number() OVER (PARTITION BY work_id ORDER BY "order", id) <= 10 AS is_primary FROM work_person""")
 def cast_slices(t):
     return G.cast_slices(t.work_person.select("work_id", F.col("order").alias("pos"), F.col("id").alias("name"))).select("work_id", F.col("name").alias("id"), "order", "is_primary")
 
 
 @query(
-    """SELECT work_id, id, side, CASE WHEN n = 1 THEN side ELSE 'local+western' END AS sides, o AS "order" FROM (SELECT *, max(k) OVER (PARTITION BY work_id) - min(k) OVER (PARTITION BY work_id) + 1 AS n, row_number() OVER (PARTITION BY work_id, side ORDER BY "order", id) - 1 AS o
+    """SELECT work_id, id, side, CASE WHEN n = 1 THEN side ELSE 'local+western' END AS sides, o AS "order" FROM (SELECT *, max(k) OVER (PARTITION BY work_id) - min(k) OVER (PARTITION BY work_id) + 1 AS n, (row_number() OVER (PARTITION BY work_id, side ORDER BY "order", id) - 1)::INTEGER AS o
     FROM (SELECT work_id, id, "order", CASE WHEN is_primary THEN 'local' ELSE 'western' END AS side, CASE WHEN is_primary THEN 1 ELSE 2 END AS k FROM work_person))"""
 )
 def merge_credits_single(t):

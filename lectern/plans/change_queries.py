@@ -101,7 +101,7 @@ def dry_run_import(t):
 
 @query(
     """SELECT work_id, category_id, "order" FROM work_category WHERE work_id NOT IN (SELECT work_id FROM newl) UNION ALL
-    SELECT work_id, category_id, row_number() OVER (PARTITION BY work_id ORDER BY p, category_id) - 1 FROM (SELECT work_id, category_id, min({'g': g, 'o': "order"}) AS p FROM newl GROUP BY work_id, category_id)""",
+    SELECT work_id, category_id, (row_number() OVER (PARTITION BY work_id ORDER BY p, category_id) - 1)::INTEGER FROM (SELECT work_id, category_id, min({'g': g, 'o': "order"}) AS p FROM newl GROUP BY work_id, category_id)""",
     """newl AS (SELECT work_id, category_id, CASE WHEN starts_with(category_id, 'type') THEN 1 ELSE 0 END AS g, "order" FROM work_category WHERE right(work_id, 1) IN ('1', '2'))""",
 )
 def rebuild_relations(t):

@@ -144,7 +144,7 @@ def normalize_character(t):
     return t.titles.select("id", c["name"].alias("x"))
 
 
-@query("""SELECT work_id, id, CASE WHEN o < 10 THEN 'cast' ELSE 'other' END AS slot, o AS "order" FROM (SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY "order", id) - 1 AS o FROM work_person WHERE department = 'cast')""")
+@query("""SELECT work_id, id, CASE WHEN o < 10 THEN 'cast' ELSE 'other' END AS slot, o AS "order" FROM (SELECT work_id, id, (row_number() OVER (PARTITION BY work_id ORDER BY "order", id) - 1)::INTEGER AS o FROM work_person WHERE department = 'cast')""")
 def merge_cast(t):
     rows = t.work_person.where("department = 'cast'").select("work_id", F.col("order").alias("pos"), F.col("id").alias("name"))
     out = G.cast_slices(rows)
