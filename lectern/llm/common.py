@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words a Python worker remembers at once; the memo is emptied beyond.
-MEMO_WORDS = 150_000
+#: Keys that a memo holds, if it is not told otherwise.
+MEMO_KEYS = 150_000
 
 Batches = Iterator[pa.RecordBatch]
 _U = np.uint64
@@ -72,7 +72,7 @@ class Memo(dict):
     use come back, so frequent keys stay however many rare ones pass.
     """
 
-    def __init__(self, make: Callable, limit: int = MEMO_WORDS):
+    def __init__(self, make: Callable, limit: int = MEMO_KEYS):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -87,14 +87,29 @@ class Memo(dict):
         return value
 
 
-class WordHash(Memo):
-    """word -> 64-bit hash."""
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
 
-    def __init__(self):
-        super().__init__(xxhash.xxh64_intdigest)
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; hashing anew is cheaper than looking up what is mostly rare."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Register what a module remembers in a worker, and how to let go of it."""
+    _forget[name] = forget
+
+
+def only(name: str) -> None:
+    """Let go of what other operators remember in this worker; called as a task begins."""
+    for other, forget in _forget.items():
+        if other != name:
+            forget()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -131,16 +146,25 @@ def signed(h: np.ndarray) -> np.ndarray:
 FILTER_BITS = 1 << 25
 
 
-def membership(ids: DataFrame, column: str):
+def slot(column: str, uniform: bool = False):
+    """The bit of a long column's value; ``uniform`` values are hashes already."""
+    c = F.col(column)
+    return F.pmod(c if uniform else F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((bits[slots >> 6] >> (slots & 63)) & 1).astype(bool)
+
+
+def membership(ids: DataFrame, column: str, uniform: bool = False):
     """A broadcast bitmap that knows every value of a long column, and few others.
 
     It only narrows what a second read of the texts sends on; an exact join
     follows. Its size is FILTER_BITS / 8 bytes for any input.
     """
     spark = ids.sparkSession
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
     words = (
-        ids.select(h.alias("h"))
+        ids.select(slot(column, uniform).alias("h"))
         .groupBy(F.shiftright("h", 6).alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
         .toArrow()
@@ -154,15 +178,12 @@ def only_members(df: DataFrame, column: str, bits) -> DataFrame:
     """Rows whose ``column`` may be in the bitmap (all that are, and few others)."""
 
     def run(batches):
-        held = bits.value
         for b in batches:
-            h = b.column("__h").to_numpy()
-            keep = (held[h >> 6] >> (h & 63)) & 1
+            keep = held(bits.value, b.column("__h").to_numpy())
             if keep.any():
-                yield b.filter(pa.array(keep.astype(bool))).drop_columns(["__h"])
+                yield b.filter(pa.array(keep)).drop_columns(["__h"])
 
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
-    return df.where(F.col(column).isNotNull()).withColumn("__h", h).mapInArrow(run, df.schema)
+    return df.where(F.col(column).isNotNull()).withColumn("__h", slot(column)).mapInArrow(run, df.schema)
 
 
 #: Bytes of text that a Python worker takes apart at once.

@@ -29,14 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, materialise, membership, only_members, portions, signed, text_rows, window_hashes
+from lectern.llm.common import materialise, membership, only, only_members, portions, signed, text_rows, window_hashes, word_hashes
 from lectern.llm.components import linked_components
 
 #: Buckets of the column count sketch: 2**SKETCH_BITS counts, the same for any input.
 SKETCH_BITS = 20
 #: Rows in which the sketch is merged.
 SLICES = 16
-_memo = WordHash()
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -44,7 +43,7 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = _memo.array(words)
+    h = word_hashes(words)
     return np.unique(window_hashes(h, min(k, len(words))))
 
 
@@ -57,6 +56,7 @@ def _survey(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        only("words")
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         some = False
         for b in portions(batches, size=8 << 20):
@@ -87,6 +87,7 @@ def _prefixes(k: int, t_num: int, t_den: int, rank_of):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("prefix", pa.binary())])
 
     def run(batches):
+        only("words")
         rank = np.frombuffer(zlib.decompress(rank_of.value), np.uint32)
         for b in portions(batches):
             out = ([], [], [], [])

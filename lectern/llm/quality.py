@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, materialise, portions, text_rows, window_hashes
+from lectern.llm.common import materialise, only, portions, text_rows, window_hashes, word_hashes
 
 SPREAD = 4.0
 SKETCH_K = 400
@@ -24,7 +24,6 @@ SKETCH_K = 400
 LEAST_ROWS = 50
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
-_memo = WordHash()
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -38,7 +37,7 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
     n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     chars = int(n.sum() - n[0x80:0xC0].sum() - n[9:14].sum() - n[32])
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    h = window_hashes(_memo.array(words), 5)
+    h = window_hashes(word_hashes(words), 5)
     again = 0
     if len(h) > 1:
         _, at, times = np.unique(h, return_inverse=True, return_counts=True)
@@ -52,6 +51,7 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def _stats(batches):
+    only("words")
     for b in portions(batches):
         cols = list(zip(*map(text_stats, b.column("text").to_pylist()))) or [[]] * 5
         names = [c for c in b.schema.names if c != "text"]

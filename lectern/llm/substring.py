@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WordHash, drop_table, materialise, membership, only_members, portions, signed, text_rows, window_hashes
+from lectern.llm.common import drop_table, materialise, membership, only, only_members, portions, signed, text_rows, window_hashes, word_hashes
 
 WINDOW = 35
-_memo = WordHash()
 
 
 def minimisers(h: np.ndarray, span: int) -> np.ndarray:
@@ -46,6 +45,7 @@ def minimisers(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def _seeds(window: int, batches):
+    only("words")
     half = (window + 1) // 2
     span = window - half + 1
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -55,7 +55,7 @@ def _seeds(window: int, batches):
             words = text.split() if text else ()
             if len(words) < window:
                 continue
-            h = window_hashes(_memo.array(words), half)
+            h = window_hashes(word_hashes(words), half)
             p = minimisers(h, span)
             hs.append(h[p])
             at.append(p.astype(np.int32))
@@ -66,11 +66,12 @@ def _seeds(window: int, batches):
 
 def _candidates(window: int, batches):
     """Windows that hold a repeated seed, with their hashes."""
+    only("words")
     half = (window + 1) // 2
     schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
     for b in portions(batches):
         for doc, text, seeds in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("seeds")):
-            h = window_hashes(_memo.array(text.split()), window)
+            h = window_hashes(word_hashes(text.split()), window)
             p = seeds.values.to_numpy(zero_copy_only=False).astype(np.int64)
             step = np.zeros(len(h) + 1, np.int64)
             np.add.at(step, np.maximum(p - (window - half), 0), 1)

@@ -93,7 +93,7 @@ def brute_lines(rows, most=3, similarity=0.8):
             if words and doc is not None:
                 at[b" ".join(words)].append((doc, no))
     keys = sorted(at)
-    sims = [int(x) for x in simhashes([k.split() for k in keys])]
+    sims = [int(x) for x in simhashes([set(k.split()) for k in keys])]
     links = Sets()
     for i, a in enumerate(keys):
         links.find(a)
@@ -117,6 +117,20 @@ def test_repeated_lines_equal_brute_force(spark, documents, which):
     assert got == brute_lines(rows) and got
 
 
+@pytest.mark.parametrize("lines, blocks", [(10, 5), (10**7, 6), (10**9, 7)])
+def test_blocks_cover_a_fingerprint(lines, blocks):
+    widths = line_dedup.block_widths(lines)
+    assert len(widths) == blocks and sum(widths) == 64
+
+
+def test_more_blocks_give_the_same_lines(spark, monkeypatch):
+    made = near_copies(5)
+    df = spark.createDataFrame([(d, t + "\nshared line of these texts, number one") for d, t in made], "doc_id long, text string")
+    want = sorted(map(str, line_dedup.repeated_lines(df).collect()))
+    monkeypatch.setattr(line_dedup, "BLOCKS", ((0, 5), (1 << 62, 7)))
+    assert sorted(map(str, line_dedup.repeated_lines(df).collect())) == want
+
+
 def test_lines_odd_and_no_documents(odd_documents, no_documents):
     out = line_dedup.dedup_lines(odd_documents)
     assert out.columns == [*odd_documents.columns, "__n_removed"]
