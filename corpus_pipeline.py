@@ -13,31 +13,37 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, langid, line_dedup, mix, ngram_join
 from lectern.llm.common import materialise
+from lectern.llm.queries import tuned
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from the profile of every language, go."""
+    tuned(spark)
     return langid.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of near-equal lines stays; a document of which no line is left goes."""
+    tuned(spark)
     cut = line_dedup.dedup_lines(docs).where((F.col("__n_removed") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group linked by shingle Jaccard of 0.8 stays."""
+    tuned(spark)
     return ngram_join.keep_one_per_component(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated to the target mix of sources and shuffled."""
+    tuned(spark)
     return mix.mix_sources(docs).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and a check that they decode to its text."""
+    tuned(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

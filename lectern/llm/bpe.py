@@ -20,9 +20,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, portions, text_rows
+from lectern.llm.common import Memo, only, portions, remembers, text_rows
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
 #: The public pre-tokenisation pattern of byte-level BPE, and the code points that its \s means.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = (
@@ -111,10 +111,10 @@ class PrefixBpe:
         self.automaton = SuffixAutomaton(reachable)
         self.size = {t: len(b) for b, t in reachable}
         self.of_text = dict(reachable)
-        self.right = Memo(partial(self._spine, 1), 1 << 20)
-        self.left = Memo(partial(self._spine, 0), 1 << 20)
+        self.right = Memo(partial(self._spine, 1), 20_000)
+        self.left = Memo(partial(self._spine, 0), 20_000)
         self.whole = Memo(lambda t: self.merged(self.bytes_of[t]) == [t], 1 << 20)
-        self.adjacent = Memo(self._adjacent, 500_000)
+        self.adjacent = Memo(self._adjacent, 100_000)
         self.memo = Memo(self._piece, MEMO_PIECES)
         self.pieces = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -209,7 +209,11 @@ def tokenizer(path: str) -> PrefixBpe:
     return PrefixBpe(path)
 
 
+remembers("bpe", tokenizer.cache_clear)
+
+
 def _encode(path: str, digest: bool, batches):
+    only("bpe")
     bpe = tokenizer(path)
     hexed = lambda x: hashlib.sha256(x).hexdigest()
     for b in portions(batches):

@@ -11,7 +11,16 @@ from lectern.llm import bpe, langid, line_dedup, mix, ngram_join, quality, subst
 from lectern.llm.common import scratch_path
 
 
+#: Rows of an Arrow batch: texts are long, and two workers share an executor's memory with the JVM.
+ARROW_ROWS = "1000"
+
+
+def tuned(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

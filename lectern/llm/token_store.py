@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import byte_symbols
-from lectern.llm.common import Memo, portions
+from lectern.llm.common import Memo, only, portions, remembers
 
 #: The dictionary is trained on this many documents at most, cut into pieces of TRAIN_BYTES.
 TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 512, 16_384, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Chunks remembered at once.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 400_000
 
 
 #: A word of Latin letters, with a comma or full stop after it at most. Such letters are whole characters in
@@ -88,6 +88,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+remembers("chunks", encoder.cache_clear)
+
+
 def _serialised(path: str, end: int, batches):
     enc = encoder(path)
     for b in portions(batches):
@@ -123,6 +126,7 @@ BLOCK_DDL = "shard int, block long, dict_hash string, width int, doc_ids array<b
 
 
 def _blocks(path: str, end: int, dictionary: bytes, dict_hash: str, batches):
+    only("chunks")
     enc, shard = encoder(path), TaskContext.get().partitionId()
     pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=3)
     ids, ns, frames, size, done = [], [], [], 0, 0
