@@ -14,11 +14,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Memo, portions, text_rows
+from lectern.llm.common import only, portions, text_rows
 
 #: N-grams in a language's and in a document's profile.
 PROFILE, DOC_PROFILE = 400, 300
@@ -28,34 +27,41 @@ TRAIN_DOCS, MAX_LANGUAGES = 400, 512
 GRAM_BITS = 18
 UNKNOWN = "und"
 
-_words = re.compile(r"[^\W\d_]+").findall
-
-
-def grams_of(word: str) -> np.ndarray:
-    """Hashes of the 1- to 3-letter n-grams of a word between spaces; none if it has no letter."""
-    word = "".join(c for c in word if c.isalpha())
-    if not word:
-        return np.zeros(0, np.int64)
-    w = f" {word} "
-    found = [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
-    return np.array([xxhash.xxh32_intdigest(g) >> (32 - GRAM_BITS) for g in found], np.int64)
-
+#: Odd multipliers that make a gram's letters one number.
+_KEYS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
-_memo = Memo(grams_of, 100_000)
+_words = re.compile(r"[^\W\d_]+").findall
 
 
 def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, counts) of a whole text, lower-cased."""
+    """(n-grams, counts) of a whole text, lower-cased; none if it has no letter.
+
+    Distinct words stand in a row, a space before each and after the last, so
+    that grams of all of them are taken at once; a gram counts as often as its word.
+    """
     words = Counter(_words((text or b"").decode("utf-8", "replace").lower()))
-    grams = [_memo[w] for w in words]
-    if not sum(map(len, grams)):
+    if not all(map(str.isalpha, words)):
+        alike: Counter = Counter()
+        for w, n in words.items():
+            if w := "".join(filter(str.isalpha, w)):
+                alike[w] += n
+        words = alike
+    if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(g) for g in grams])
-    all_ = np.concatenate(grams)
-    if len(all_) < 1 << (GRAM_BITS - 4):
-        ids, at = np.unique(all_, return_inverse=True)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(w) + 1 for w in words])
+    space = c == 32
+    one = c[:-1] * _KEYS[0]
+    two = one + c[1:] * _KEYS[1]
+    three = two[:-1] + c[2:] * _KEYS[2]
+    letter, inner = ~space[:-1], ~space[1:-1]  # a gram is no space alone, and spans no two words
+    grams = (np.concatenate([one[letter], two, three[inner]]) * _SPREAD >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    weight = np.concatenate([weight[letter], weight, weight[:-1][inner]])
+    if len(grams) < 1 << (GRAM_BITS - 4):
+        ids, at = np.unique(grams, return_inverse=True)
         return ids, np.bincount(at, weight).astype(np.int64)
-    n = np.bincount(all_, weight, minlength=1 << GRAM_BITS).astype(np.int64)
+    n = np.bincount(grams, weight, minlength=1 << GRAM_BITS).astype(np.int64)
     ids = np.flatnonzero(n)
     return ids, n[ids]
 
@@ -123,6 +129,7 @@ def nearest(table: np.ndarray, text: bytes | None) -> tuple[int, float]:
 
 
 def _identify(langs: list[str], held, batches):
+    only("profiles")
     table = rank_table(dict(zip(langs, held.value)))
     for b in portions(batches):
         found = [nearest(table, t) for t in b.column("text").to_pylist()]
@@ -160,6 +167,7 @@ LEAST_SCORE = 0.05
 
 
 def _accept(langs: list[str], held, batches):
+    only("profiles")
     table = rank_table(dict(zip(langs, held.value)))
     for b in portions(batches):
         keep = [i >= 0 and s >= LEAST_SCORE for i, s in (nearest(table, (t or "").encode()) for t in b.column("text").to_pylist())]
