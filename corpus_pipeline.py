@@ -15,6 +15,9 @@ from lectern.llm import bpe, langid, line_dedup, mix, ngram_join
 from lectern.llm.common import materialise
 from lectern.llm.queries import tuned
 
+#: Pieces that the last stage's workers remember: fewer than alone, as the stages before have grown the JVM.
+MEMO_PIECES = 80_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from the profile of every language, go."""
@@ -44,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and a check that they decode to its text."""
     tuned(spark)
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO_PIECES)
 
 
 STAGES = [

@@ -212,9 +212,10 @@ def tokenizer(path: str) -> PrefixBpe:
 remembers("bpe", tokenizer.cache_clear)
 
 
-def _encode(path: str, digest: bool, batches):
+def _encode(path: str, digest: bool, memo: int, batches):
     only("bpe")
     bpe = tokenizer(path)
+    bpe.memo.limit, bpe.adjacent.limit = memo, memo // 2
     hexed = lambda x: hashlib.sha256(x).hexdigest()
     for b in portions(batches):
         ns, ids_, back = [], [], []
@@ -230,17 +231,17 @@ def _encode(path: str, digest: bool, batches):
         )
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False, memo: int = MEMO_PIECES) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of each row: ids little-endian unsigned 32-bit and the text they decode to, as binary.
 
-    ``digest`` gives their lowercase hex SHA-256 instead. A null text is empty:
+    ``digest`` gives their lowercase hex SHA-256 instead; ``memo`` bounds the pieces that a worker remembers. A null text is empty:
     no ids, empty decoded text. Rows are independent, so repeats and null
     doc_ids pass through, and there is no shuffle.
     """
     kind = "string" if digest else "binary"
-    return text_rows(docs).mapInArrow(partial(_encode, tokenizer_path, digest), f"doc_id long, n_tokens long, ids {kind}, decoded {kind}")
+    return text_rows(docs).mapInArrow(partial(_encode, tokenizer_path, digest, memo), f"doc_id long, n_tokens long, ids {kind}, decoded {kind}")
 
 
-def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    out = encode_decode(docs, tokenizer_path, digest=True)
+def digests(docs: DataFrame, tokenizer_path: str, memo: int = MEMO_PIECES) -> DataFrame:
+    out = encode_decode(docs, tokenizer_path, digest=True, memo=memo)
     return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))

@@ -7,6 +7,8 @@ never decoded for word work.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -106,10 +108,13 @@ def remembers(name: str, forget: Callable[[], None]) -> None:
 
 
 def only(name: str) -> None:
-    """Let go of what other operators remember in this worker; called as a task begins."""
+    """Let go of what other operators remember in this worker, and give freed memory back; called as a task begins."""
     for other, forget in _forget.items():
         if other != name:
             forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its pages
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
