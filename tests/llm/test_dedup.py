@@ -131,6 +131,28 @@ def test_more_blocks_give_the_same_lines(spark, monkeypatch):
     assert sorted(map(str, line_dedup.repeated_lines(df).collect())) == want
 
 
+def test_most_near_lines_go(spark):
+    """Recall by edit similarity alone, no SimHash in the reference: the loss by length and change."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    rows, kind = [], {}
+    for length in (10, 20, 50, 100):
+        for changed in sorted({1, length // 10}):
+            for _ in range(60):
+                words = [word() for _ in range(length)]
+                near = list(words)
+                for at in r.sample(range(length), changed):
+                    near[at] = word()
+                if edit_similar(" ".join(words), " ".join(near)):
+                    kind[len(rows) + 1] = (length, changed)
+                    rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(near))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = {x.doc_id for x in out.where("__n_removed > 0").collect()}
+    assert gone <= set(kind)
+    of, found = Counter(kind.values()), Counter(kind[d] for d in gone)
+    assert all(found[k] >= 0.9 * n for k, n in of.items()), (of, found)
+
+
 def test_lines_odd_and_no_documents(odd_documents, no_documents):
     out = line_dedup.dedup_lines(odd_documents)
     assert out.columns == [*odd_documents.columns, "__n_removed"]
