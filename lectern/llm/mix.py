@@ -2,7 +2,8 @@
 
 Every document is repeated k times, k drawn by inverting the Poisson
 distribution whose mean is its source's target repetition rate, at a uniform
-number that a hash of seed and doc_id gives. Only DataFrame functions are used.
+number that a hash of seed and doc_id gives. A large mean is split into equal
+ones, each with a number of its own, as sums of Poissons are Poisson. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: More sources than this are joined to the documents instead of being part of the expression.
 MAX_LITERAL_SOURCES = 4096
-#: Rates above this are split off as whole copies, so the inversion sums few terms.
+#: Rates above this are the sum of several draws of equal means, so the inversion sums few terms.
 MAX_POISSON_MEAN = 16
 
 
@@ -34,6 +35,17 @@ def poisson_inverse(mean: Column, u: Column) -> Column:
     return F.aggregate(steps, start, step)["k"]
 
 
+def poisson_count(mean: Column, *parts: Column) -> Column:
+    """A Poisson(mean) count, by hashes of the parts: ceil(mean / MAX_POISSON_MEAN) inverted draws of equal means, the first from the parts alone."""
+    draws = F.greatest(F.ceil(mean / MAX_POISSON_MEAN), F.lit(1)).cast("int")
+
+    def draw(k, i):
+        u = F.when(i == 0, hash_uniform(*parts)).otherwise(hash_uniform(*parts, F.lit("draw"), i))
+        return k + poisson_inverse(mean / draws, u)
+
+    return F.aggregate(F.sequence(F.lit(0), draws - 1), F.lit(0), draw)
+
+
 def target_rates(counts: DataFrame, targets: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
     """(source, n) -> (source, rate): mean repetitions that turn the corpus into the target mix at its present size.
 
@@ -74,9 +86,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, temper
     else:
         r = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
         rated = docs.join(r, docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
-    whole = F.floor(F.greatest(F.col("__rate") - MAX_POISSON_MEAN, F.lit(0.0)))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    k = whole + poisson_inverse(F.col("__rate") - whole, hash_uniform(F.lit(seed), key))
+    k = poisson_count(F.col("__rate"), F.lit(seed), key)
     copies = rated.withColumn("__k", k.cast("int")).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     keyed = copies.drop("__k").withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("__copy").cast("string")).cast("binary")))
     return keyed.repartitionByRange(F.col("__order"), F.col("doc_id"), F.col("__copy")).sortWithinPartitions("__order", "doc_id", "__copy")

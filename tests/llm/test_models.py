@@ -23,6 +23,22 @@ def test_poisson_inverse_equals_plain_inversion(spark):
         assert got[m, u] == k
 
 
+@pytest.mark.parametrize("rate", [0.0, 3.5, 16.0, 50.0, 500.0])
+def test_poisson_count_has_the_variance_of_its_mean(spark, rate):
+    n = 4000
+    k = mix.poisson_count(F.lit(rate), F.lit(7), F.col("id"))
+    mean, variance, least = spark.range(n).select(k.alias("k")).agg(F.avg("k"), F.var_samp("k"), F.min("k")).first()
+    assert abs(mean - rate) <= 4 * math.sqrt(rate / n) and abs(variance - rate) <= 0.12 * rate
+    assert least < rate - 2.5 * math.sqrt(rate) or rate < 10
+
+
+def test_mix_of_a_rare_source_is_poisson(spark):
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, "rare").otherwise("hot").alias("source"))
+    mixed = mix.mix_sources(df, {"rare": 1, "hot": 1}).where("source = 'rare'").groupBy("doc_id").count()
+    mean, variance = mixed.agg(F.avg("count"), F.var_samp("count")).first()
+    assert abs(mean - 50) < 1.5 and abs(variance - 50) < 12
+
+
 def test_mix_moves_counts_to_targets(spark):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "hot").otherwise(F.when(F.col("id") % 10 < 9, "mid")).alias("source"), F.lit("t").alias("text"))
     n = {r.source: r.n for r in mix.mix_sources(df, {"hot": 1, "mid": 1}).groupBy("source").agg(F.count("*").alias("n")).collect()}
