@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, langid, line_dedup, mix, ngram_join, quality, substring, token_store, topk, toxicity
-from lectern.llm.common import scratch_path
+from lectern.llm.common import materialise, scratch_path
 
 
 #: Rows of an Arrow batch: texts are long, and two workers share an executor's memory with the JVM.
@@ -25,8 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark, sf_dir):
-    mixed = mix.mix_sources(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
+    # whole documents are shuffled and written; of the four columns alone, the texts would be pruned below the shuffle
+    mixed = materialise(mix.mix_sources(_table(spark, sf_dir, "documents")), "mix")
+    rows = mixed.select("doc_id", "source", F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))
+    return rows.orderBy("shuffle_key", "doc_id", "copy")
 
 
 def op2_line_dedup(spark, sf_dir):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, mix, quality, topk, toxicity
+from lectern.llm import langid, mix, quality, queries, topk, toxicity
 
 
 def test_poisson_inverse_equals_plain_inversion(spark):
@@ -48,6 +48,16 @@ def test_mix_moves_counts_to_targets(spark):
     assert mix.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mix_query_shuffles_whole_documents(spark, sf, documents):
+    out = queries.op1_mix_sources(spark, sf)
+    folder = {p.rsplit("/", 1)[0] for p in out.inputFiles()}
+    written = spark.read.parquet(*folder)
+    assert set(documents.columns) < set(written.columns) and written.count() == out.count()
+    assert written.select(documents.columns).distinct().exceptAll(documents.distinct()).count() == 0
+    keys = [r.shuffle_key for r in out.collect()]
+    assert keys == sorted(keys)
+
+
 def test_mix_joins_many_sources_alike(spark, monkeypatch, odd_documents):
     want = sorted(map(str, mix.mix_sources(odd_documents).collect()))
     monkeypatch.setattr(mix, "MAX_LITERAL_SOURCES", 1)
