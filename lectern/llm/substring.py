@@ -1,13 +1,11 @@
 """Substring dedup: words that a window of 35 words repeated anywhere covers are removed.
 
-Repeated windows are found level by level, and only windows repeated at one
-length are extended to twice that length. The first level takes windows of 18
-words; two of them that overlap in one word make 35. Of the 18-word windows only the
+Repeated windows are found in two levels, and only windows repeated at the first
+are extended to the second. The first level takes windows of 18 words; two of them that overlap in one word make 35. Of the 18-word windows only the
 minimisers count (in every run of 18 consecutive ones, the one of least hash):
 equal 35-word windows hold equal minimisers at equal places, so a 35-word window
 that is repeated has a repeated minimiser, and a tenth of the positions is all
-that is shuffled. Further lengths can follow (70, 140, ...) until no candidate
-survives.
+that is shuffled. There are no further levels (70, 140, ...).
 """
 
 from __future__ import annotations
