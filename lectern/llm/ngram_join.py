@@ -1,9 +1,10 @@
 """N-gram Jaccard join: all documents whose word 5-gram sets have a Jaccard of at least 0.8.
 
-The document by n-gram incidence matrix M is multiplied with its transpose
-without being formed: the columns are dealt by n-gram, a cell of the product is
-a pair of documents of one column, and overlap counts are accumulated only for
-pairs that size-derived bounds leave:
+A prefix-filter join with exact verification stands in for the blocked product
+of the document by n-gram matrix M with its transpose: no blocks are formed and no
+overlap counts accumulated. Columns are dealt by n-gram as lists of documents, and
+the whole sets of the pairs that size-derived bounds leave are intersected. So a
+common n-gram makes no cells, and what is shuffled are prefixes and those sets:
 
 * rows with equal sets are one row of M (classes), so copies cost one row;
 * columns are ordered rare first; only the first ``n - ceil(t*n) + 1`` columns
