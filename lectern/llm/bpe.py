@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -22,13 +24,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import Memo, only, portions, remembers, text_rows
 
-MEMO_PIECES = 150_000
+#: Chunks and pieces that a worker remembers, and pairs of tokens that it has tried.
+MEMO_PIECES, MEMO_PAIRS = 700_000, 400_000
 #: The public pre-tokenisation pattern of byte-level BPE, and the code points that its \s means.
 _WHITE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 )
+#: Only a space may begin a piece that holds more than white space, so cutting before it and within runs of
+#: white space as PATTERN does leaves chunks whose pieces do not depend on their neighbours.
+CHUNKS = rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -49,11 +55,11 @@ class SuffixAutomaton:
         self.ends = [-1] * len(self.next)
         for state, token in last_of:
             self.ends[state] = token
-        # the nearest state up the links that spells a token
-        self.up = [-1] * len(self.next)
+        # the tokens that end where a state is reached, longest first, with their lengths
+        self.tokens: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            p = self.link[s]
-            self.up[s] = p if self.ends[p] >= 0 else self.up[p]
+            own = ((self.ends[s], self.length[s]),) if self.ends[s] >= 0 else ()
+            self.tokens[s] = own + self.tokens[self.link[s]]
 
     def _state(self, length: int, link: int, nxt: dict[int, int]) -> int:
         self.next.append(nxt)
@@ -114,8 +120,9 @@ class PrefixBpe:
         self.right = Memo(partial(self._spine, 1), 20_000)
         self.left = Memo(partial(self._spine, 0), 20_000)
         self.whole = Memo(lambda t: self.merged(self.bytes_of[t]) == [t], 1 << 20)
-        self.adjacent = Memo(self._adjacent, 100_000)
-        self.memo = Memo(self._piece, MEMO_PIECES)
+        self.adjacent = Memo(self._adjacent, MEMO_PAIRS)
+        self.memo = Memo(self._chunk, MEMO_PIECES)
+        self.chunks = re.compile(CHUNKS).findall
         self.pieces = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
@@ -163,22 +170,23 @@ class PrefixBpe:
 
     def last_tokens(self, data: bytes) -> list[int]:
         """The last token of every prefix but the empty one."""
-        nxt, link, length, ends, up = (getattr(self.automaton, k) for k in ("next", "link", "length", "ends", "up"))
-        last, state, have = [-1], 0, 0
-        for i, c in enumerate(data):
-            while c not in nxt[state]:
+        nxt, link, length, tokens = (getattr(self.automaton, k) for k in ("next", "link", "length", "tokens"))
+        adjacent, whole = self.adjacent, self.whole
+        last, state, have, at = [-1], 0, 0, 0
+        for c in data:
+            row = nxt[state]
+            while c not in row:
                 state = link[state]
-                have = length[state]
-            state = nxt[state][c]
+                row, have = nxt[state], length[state]
+            state = row[c]
             have += 1
-            s = state if ends[state] >= 0 and length[state] <= have else up[state]
-            while s >= 0:
-                t = ends[s]
-                before = last[i + 1 - length[s]]
-                if self.whole[t] if before < 0 else self.adjacent[before, t]:
-                    break
-                s = up[s]
-            last.append(ends[s])
+            at += 1
+            for t, size in tokens[state]:
+                if size <= have:
+                    before = last[at - size]
+                    if adjacent[before, t] if before >= 0 else whole[t]:
+                        break
+            last.append(t)
         return last[1:]
 
     def _piece(self, piece: str) -> bytes:
@@ -188,16 +196,21 @@ class PrefixBpe:
             t = last[at - 1]
             out.append(t)
             at -= self.size[t]
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return array("I", out).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        pieces = self.pieces(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.memo.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.split(text) if self.split else [text]
         out = []
         for n, part in enumerate(parts):
             if n % 2:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
+                out.append(array("I", [self.special[part]]).tobytes())
             else:
-                out += map(self.memo.__getitem__, self.pieces(part))
+                out += map(self.memo.__getitem__, self.chunks(part))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids) -> str:
@@ -215,7 +228,7 @@ remembers("bpe", tokenizer.cache_clear)
 def _encode(path: str, digest: bool, memo: int, batches):
     only("bpe")
     bpe = tokenizer(path)
-    bpe.memo.limit, bpe.adjacent.limit = memo, memo // 2
+    bpe.memo.limit, bpe.adjacent.limit = memo, min(memo, MEMO_PAIRS)
     hexed = lambda x: hashlib.sha256(x).hexdigest()
     for b in portions(batches):
         ns, ids_, back = [], [], []

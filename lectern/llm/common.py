@@ -88,7 +88,6 @@ class Memo(dict):
         self[key] = value
         return value
 
-
     def forget(self) -> None:
         self.clear()
         self.old = {}
