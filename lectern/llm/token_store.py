@@ -6,7 +6,7 @@ hold it and writing it survives lost executors:
 * ``dictionary``: one row (dict_hash, dictionary), a zstandard dictionary
   trained on serialised id arrays;
 * ``blocks``: rows of some hundred documents in doc_id order (shard, block,
-  dict_hash, width, doc_ids, n_tokens, offsets, payload). Each document is a
+  dict_hash, width, least_id, greatest_id, doc_ids, n_tokens, offsets, payload). Each document is a
   zstandard frame of its own in ``payload`` from ``offsets[i]`` to
   ``offsets[i + 1]``: its ids as little-endian integers of ``width`` bytes.
 """
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import byte_symbols
 from lectern.llm.common import Memo, only, portions, remembers
 
-#: The dictionary is trained on this many documents at most, cut into pieces of TRAIN_BYTES.
-TRAIN_DOCS, TRAIN_BYTES, DICT_BYTES = 512, 16_384, 65_536
+#: The dictionary is trained on this many documents at most, by TRAIN_PIECES pieces of TRAIN_BYTES of each, dealt evenly over its ids.
+TRAIN_DOCS, TRAIN_PIECES, TRAIN_BYTES, DICT_BYTES = 512, 4, 16_384, 65_536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Chunks remembered at once.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 750_000
 
 
 #: A word of Latin letters, with a comma or full stop after it at most. Such letters are whole characters in
@@ -73,6 +73,8 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def one(self, chunk: bytes) -> bytes:
+        if self.direct and chunk.isalpha():  # of bytes, ASCII letters only: spelled as they are
+            return array("I", [t.id for t in self.model.tokenize(chunk.lower().decode())]).tobytes()
         text = chunk.decode("utf-8", "replace")
         found = _plain(text) if self.direct else None
         if not found:
@@ -91,19 +93,26 @@ def encoder(path: str) -> ChunkEncoder:
 remembers("chunks", encoder.cache_clear)
 
 
-def _serialised(path: str, end: int, batches):
+def _pieces(path: str, end: int, batches):
     enc = encoder(path)
     for b in portions(batches):
-        out = [np.append(enc.ids(t), np.uint32(end)).astype(f"<u{enc.width}").tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+        out = []
+        for t in b.column("text").to_pylist():
+            raw = np.append(enc.ids(t), np.uint32(end)).astype(f"<u{enc.width}").tobytes()
+            starts = np.linspace(0, max(0, len(raw) - TRAIN_BYTES), min(TRAIN_PIECES, -(-len(raw) // TRAIN_BYTES))).astype(int)
+            out += [raw[i : i + TRAIN_BYTES] for i in (starts - starts % enc.width).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["piece"])
 
 
 def train_dictionary(docs: DataFrame, path: str, end: int) -> bytes:
-    """A dictionary from the id arrays of TRAIN_DOCS documents at most, those of least hash."""
+    """A dictionary from the id arrays of TRAIN_DOCS documents at most, those of least hash.
+
+    The driver gets TRAIN_DOCS * TRAIN_PIECES pieces of TRAIN_BYTES at most; they are cut where the ids are made.
+    """
     ids = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
     some = docs.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("binary").alias("text"))
-    rows = some.mapInArrow(partial(_serialised, path, end), "ids binary").limit(TRAIN_DOCS * 2).toArrow().column("ids").to_pylist()
-    pieces = [r[i : i + TRAIN_BYTES] for r in sorted(rows) for i in range(0, min(len(r), 8 * TRAIN_BYTES), TRAIN_BYTES)]
+    most = TRAIN_DOCS * TRAIN_PIECES  # rows may repeat a doc_id
+    pieces = sorted(some.mapInArrow(partial(_pieces, path, end), "piece binary").limit(most).toArrow().column("piece").to_pylist())
     try:
         return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their bytes are the dictionary
@@ -116,13 +125,15 @@ _BLOCK = pa.schema(
         ("block", pa.int64()),
         ("dict_hash", pa.string()),
         ("width", pa.int32()),
+        ("least_id", pa.int64()),
+        ("greatest_id", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())),
         ("n_tokens", pa.list_(pa.int64())),
         ("offsets", pa.list_(pa.int64())),
         ("payload", pa.binary()),
     ]
 )
-BLOCK_DDL = "shard int, block long, dict_hash string, width int, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
+BLOCK_DDL = "shard int, block long, dict_hash string, width int, least_id long, greatest_id long, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
 
 
 def _blocks(path: str, end: int, dictionary: bytes, dict_hash: str, batches):
@@ -133,7 +144,9 @@ def _blocks(path: str, end: int, dictionary: bytes, dict_hash: str, batches):
 
     def block():
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])]).tolist()
-        row = [[shard], [(shard << 32) + done], [dict_hash], [enc.width], [ids], [ns], [offsets], [b"".join(frames)]]
+        known = [i for i in ids if i is not None]
+        ends = [min(known, default=None)], [max(known, default=None)]
+        row = [[shard], [(shard << 32) + done], [dict_hash], [enc.width], *ends, [ids], [ns], [offsets], [b"".join(frames)]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
     for b in portions(batches):
@@ -217,8 +230,9 @@ def read_store(spark: SparkSession, source: str, digest: bool = False) -> DataFr
 
 
 def fetch(spark: SparkSession, source: str, doc_id: int) -> list[int] | None:
-    """The ids of one document: only its block is read, only its frame is decompressed."""
-    rows = spark.read.parquet(f"{source}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id))).limit(1).collect()
+    """The ids of one document: Parquet prunes by the blocks' least and greatest doc_id, only its frame is decompressed."""
+    near = F.lit(doc_id).between(F.col("least_id"), F.col("greatest_id"))
+    rows = spark.read.parquet(f"{source}/blocks").where(near & F.array_contains("doc_ids", F.lit(doc_id))).limit(1).collect()
     if not rows:
         return None
     r = rows[0]
