@@ -16,7 +16,7 @@ from lectern.llm.common import materialise
 from lectern.llm.queries import tuned
 
 #: Pieces that the last stage's workers remember: fewer than alone, as the stages before have grown the JVM.
-MEMO_PIECES = 80_000
+MEMO_PIECES = 120_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
