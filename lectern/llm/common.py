@@ -146,6 +146,27 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: A key with more than this share of the rows is hot; so there are fewer than HOT_KEYS hot ones, whatever the input.
+HOT_KEYS = 4_000
+
+
+def repeated(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose ``key`` occurs twice or more. ``rows`` is a written table, rows with a null key go.
+
+    Counts are combined before their shuffle. A hot key's rows go to as many
+    tasks as its share asks for; the table of hot keys has under HOT_KEYS rows.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1")
+    counts = materialise(counts, name)
+    share = max(rows.count() // HOT_KEYS, 1000)
+    parts = F.ceil(F.col("__c") / share).cast("int")
+    hot = counts.where(F.col("__c") > share).select(key, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    part = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")).cast("int"))
+    often = counts.select(key, F.explode(F.sequence(F.lit(0), F.when(F.col("__c") > share, parts - 1).otherwise(0))).alias("__part"))
+    return dealt.withColumn("__part", part).join(often, [key, "__part"]).select(rows.columns)
+
+
 #: Bits of a membership filter: its size is fixed, whatever it holds.
 FILTER_BITS = 1 << 25
 

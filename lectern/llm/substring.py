@@ -1,11 +1,14 @@
 """Substring dedup: words that a window of 35 words repeated anywhere covers are removed.
 
-Repeated windows are found in two levels, and only windows repeated at the first
-are extended to the second. The first level takes windows of 18 words; two of them that overlap in one word make 35. Of the 18-word windows only the
-minimisers count (in every run of 18 consecutive ones, the one of least hash):
-equal 35-word windows hold equal minimisers at equal places, so a 35-word window
-that is repeated has a repeated minimiser, and a tenth of the positions is all
-that is shuffled. There are no further levels (70, 140, ...).
+Repeated windows are found level by level, each about twice as long as the last
+(9, 18, 35): only places whose window is repeated at one level are extended to
+the next, until none is left or the window asked for is reached. The first level
+takes the minimisers of its windows: of all that fit a window of 35 words, the one
+of least hash. Equal windows hold equal minimisers at equal places, so a
+repeated one has a repeated place, and under a tenth of the places are shuffled.
+A place is extended to the right and to the left, as one of the two stays inside
+any window of 35 that holds it; at the last level all windows that hold a place
+left are counted.
 """
 
 from __future__ import annotations
@@ -17,9 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import drop_table, materialise, membership, only, only_members, portions, signed, text_rows, window_hashes, word_hashes
+from lectern.llm.common import drop_table, materialise, membership, only, only_members, portions, repeated, signed, window_hashes, word_hashes
 
 WINDOW = 35
+#: The first level has windows of this many words at most.
+SHORTEST = 17
+#: Tells windows to the left of a place from those to its right.
+_LEFT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def levels(window: int) -> list[int]:
+    """Window lengths, each at most twice the one before, the last ``window``."""
+    out = [window]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def minimisers(h: np.ndarray, span: int) -> np.ndarray:
@@ -42,64 +57,87 @@ def minimisers(h: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(high == h)
 
 
-def _seeds(window: int, batches):
+def _place_ddl(window: int) -> str:
+    return "d long, t int, pos int, h long" + "".join(f", r{n} long, l{n} long" for n in levels(window)[1:-1])
+
+
+def _places(window: int, batches):
+    """The places of the first level, with the hashes of their windows at the levels between."""
     only("words")
-    half = (window + 1) // 2
-    span = window - half + 1
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    first, *between = levels(window)[:-1] or [window]
+    names = ["d", "t", "pos", "h", *(f"{side}{n}" for n in between for side in "rl")]
     for b in portions(batches):
-        hs, docs, at = [], [], []
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        out = [[] for _ in names]
+        for d, t, text in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("text").to_pylist()):
             words = text.split() if text else ()
             if len(words) < window:
                 continue
-            h = window_hashes(word_hashes(words), half)
-            p = minimisers(h, span)
-            hs.append(h[p])
-            at.append(p.astype(np.int32))
-            docs.append(np.full(len(p), doc, np.int64))
-        if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hs))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(at))], schema=schema)
-
-
-def _candidates(window: int, batches):
-    """Windows that hold a repeated seed, with their hashes."""
+            of_words = word_hashes(words)
+            h = window_hashes(of_words, first)
+            p = minimisers(h, window - first + 1)
+            cols = [np.full(len(p), d, np.int64), np.full(len(p), t, np.int32), p.astype(np.int32), signed(h[p])]
+            for n in between:
+                long = window_hashes(of_words, n)
+                left = p + first - n
+                cols.append(pa.array(signed(long[np.minimum(p, len(long) - 1)]), mask=p >= len(long)))
+                cols.append(pa.array(signed(long[np.maximum(left, 0)] ^ _LEFT), mask=left < 0))
+            for c, x in zip(out, cols):
+                c.append(pa.array(x))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], names=names)
+
+
+def _windows(window: int, size: int, batches):
+    """All windows that hold one of ``size`` words that is left, with their hashes."""
     only("words")
-    half = (window + 1) // 2
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    names = ["d", "t", "pos", "h"]
     for b in portions(batches):
-        for doc, text, seeds in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("seeds")):
+        for d, t, text, left in zip(b.column("d").to_pylist(), b.column("t").to_pylist(), b.column("text").to_pylist(), b.column("left")):
             h = window_hashes(word_hashes(text.split()), window)
-            p = seeds.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            p = left.values.to_numpy(zero_copy_only=False).astype(np.int64)
             step = np.zeros(len(h) + 1, np.int64)
-            np.add.at(step, np.maximum(p - (window - half), 0), 1)
+            np.add.at(step, np.maximum(p - (window - size), 0), 1)
             np.add.at(step, np.minimum(p + 1, len(h)), -1)
             at = np.flatnonzero(np.cumsum(step)[:-1] > 0)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], schema=schema)
+                cols = [pa.array(np.full(len(at), d, np.int64)), pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(signed(h[at]))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def repeated(places: DataFrame) -> DataFrame:
-    """The rows (h, doc_id, pos) whose h occurs twice or more; counts are combined before the shuffle."""
-    often = places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return places.join(often, "h").select("doc_id", "pos", "h")
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text as binary, and the key (d, t) of a row: rows that repeat a doc_id with another text have another key."""
+    text = F.col("text").cast("binary")
+    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.xxhash64(text)).alias("d"), F.hash(text).alias("t"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(texts, starts): the texts as binary, and (doc_id, starts) of the repeated windows of each document.
+    """(rows, starts): the rows with their keys (d, t), and (d, t, starts) of the repeated windows of each.
 
-    A document is a doc_id; rows with a null doc_id or text, or under ``window``
-    words, have no window.
+    Every row is a document of its own. Rows with a null text, or under ``window`` words, have no window.
     """
-    texts = text_rows(docs)
-    seeds = materialise(texts.where("doc_id is not null").mapInArrow(partial(_seeds, window), "h long, doc_id long, pos int"), "seeds")
-    held = materialise(repeated(seeds).groupBy("doc_id").agg(F.collect_list("pos").alias("seeds")), "held")
-    drop_table(seeds)
-    some = only_members(texts, "doc_id", membership(held, "doc_id")).join(held, "doc_id").select("doc_id", "text", "seeds")
-    places = materialise(some.mapInArrow(partial(_candidates, window), "h long, doc_id long, pos int"), "windows")
-    starts = materialise(repeated(places).groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "starts")
+    rows = _rows(docs)
+    first, *between = levels(window)[:-1] or [window]
+    places = materialise(rows.mapInArrow(partial(_places, window), _place_ddl(window)), "places")
+    left, size = repeated(places, "h", "level"), first
+    for i, n in enumerate(between):
+        sides = F.array(F.struct(F.col(f"r{n}").alias("h"), F.col("pos").alias("at")), F.struct(F.col(f"l{n}").alias("h"), (F.col("pos") + (first - n)).alias("at")))
+        later = [f"{side}{m}" for m in between[i + 1 :] for side in "rl"]
+        longer = left.select("d", "t", "pos", F.explode(sides).alias("s"), *later).select("d", "t", "pos", "s.*", *later)
+        longer = materialise(longer.where("h is not null"), "places")
+        drop_table(places)
+        places, size = longer, n
+        left = repeated(places, "h", "level")
+        if later:  # a place counts once at the next level, though both sides of it were repeated
+            left = left.dropDuplicates(["d", "t", "pos"])
+    at = F.col("at") if between else F.col("pos")
+    held = materialise(left.groupBy("d", "t").agg(F.collect_set(at).alias("left")), "held")
     drop_table(places)
-    return texts, starts
+    some = only_members(rows.select("d", "t", "text"), "d", membership(held, "d")).join(held, ["d", "t"]).select("d", "t", "text", "left")
+    windows = materialise(some.mapInArrow(partial(_windows, window, size), "d long, t int, pos int, h long"), "windows")
+    drop_table(held)
+    starts = materialise(repeated(windows, "h", "level").groupBy("d", "t").agg(F.collect_list("pos").alias("starts")), "starts")
+    drop_table(windows)
+    return rows, starts
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:
@@ -132,11 +170,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the text that is left, words joined by a space, as binary UTF-8.
 
     Windows are judged on the input: of a passage found in several places, all
-    places go. Empty and null texts keep nothing and have no words. Rows that
-    repeat a doc_id must hold the same text: they are one document.
+    places go. Empty and null texts keep nothing and have no words. Every row is
+    a document of its own: rows that repeat a doc_id, or have none, are cut each
+    by its own text, and equal rows of ``window`` words or more are copies of each other.
+    Other columns are not read; an empty table gives an empty one.
     """
-    texts, starts = repeated_windows(docs, window)
-    return texts.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(
+    rows, starts = repeated_windows(docs, window)
+    return rows.join(starts, ["d", "t"], "left").select("doc_id", "text", "starts").mapInArrow(
         partial(_cut, window), "doc_id long, n_words long, n_removed long, kept binary"
     )
 

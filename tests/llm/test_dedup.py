@@ -209,9 +209,32 @@ def test_repeated_windows_equal_brute_force(spark, documents, which):
     assert got == brute_cut(rows)
 
 
-def test_substring_odd_and_no_documents(odd_documents, no_documents):
-    rows = odd_documents.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(rows).collect()}
-    assert got[0] == got[1] == got[2] == (0, 0) and got[3] == (12, 0) and got[6] == (120_000, 120_000) and got[7] == (120_001, 120_000)
-    assert substring.remove_repeats(odd_documents).count() == odd_documents.count()
+def plain_rows(rows, k=35):
+    """As brute_cut, by row: each row is a document of its own."""
+    cut = brute_cut([(i, t) for i, (_, t) in enumerate(rows)], k)
+    return sorted((str(rows[i][0]), *v) for i, v in cut.items())
+
+
+@pytest.mark.parametrize("window", [9, 17, 18, 70, 140])
+def test_windows_of_other_lengths(spark, window):
+    assert substring.levels(35) == [9, 18, 35] and substring.levels(140) == [9, 18, 35, 70, 140]
+    made = [(d, f"{t} x{d} {t}" if d % 5 == 0 else t) for d, t in near_copies(9)]
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(substring.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"), window)).collect()]
+    assert sorted(got) == plain_rows(made, window) and (window > 70 or any(r[2] for r in got))
+
+
+def test_a_hot_window_is_split(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{passage} end{i}") for i in range(1500)] + [(9000 + i, " ".join(f"u{i}x{j}" for j in range(50))) for i in range(20)]
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 40 for i in range(1500)} | {9000 + i: 0 for i in range(20)}
+
+
+def test_substring_odd_and_no_documents(spark, odd_documents, no_documents):
+    a, b = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 45)))
+    twice = odd_documents.select("doc_id", "text").union(spark.createDataFrame([(5000, a), (5000, b), (5000, "short"), (5001, "x " + a), (5002, a[:-4]), (None, b), (5003, b), (5003, b)], "doc_id long, text string"))
+    for df in (odd_documents, twice):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(substring.remove_repeats(df)).collect()]
+        assert sorted(got) == plain_rows(rows)
     assert substring.remove_repeats(no_documents).count() == 0
