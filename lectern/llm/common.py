@@ -150,15 +150,15 @@ def signed(h: np.ndarray) -> np.ndarray:
 HOT_KEYS = 4_000
 
 
-def repeated(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """The rows whose ``key`` occurs twice or more. ``rows`` is a written table, rows with a null key go.
+def repeated(rows: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
+    """The rows whose ``key`` occurs twice or more. ``rows`` (``n`` in number) come from a written table, rows with a null key go.
 
     Counts are combined before their shuffle. A hot key's rows go to as many
     tasks as its share asks for; the table of hot keys has under HOT_KEYS rows.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1")
     counts = materialise(counts, name)
-    share = max(rows.count() // HOT_KEYS, 1000)
+    share = max((rows.count() if n is None else n) // HOT_KEYS, 1000)
     parts = F.ceil(F.col("__c") / share).cast("int")
     hot = counts.where(F.col("__c") > share).select(key, parts.alias("__parts"))
     dealt = rows.join(F.broadcast(hot), key, "left")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from lectern.llm.common import drop_table, materialise
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) longs -> (id, component), component the smallest id that links reach; ids without a link are absent.
 
     Alternates the large-star and small-star steps of the two-phase algorithm
-    (Kiveris et al. 2014) until the edge set is a set of stars. Neighbourhood
+    (Kiveris et al. 2014) until the edge set is a set of stars, which no round changes. Neighbourhood
     minima are aggregates (combined before the shuffle) joined back to the
     edges, so a hub with very many links is no single task's work. Each round
     is a written table: lineage stays short and a lost executor costs one round.
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
     )
     state = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
@@ -78,5 +78,9 @@ def linked_components(lists: DataFrame, bound: Callable[[str, str], Column], ver
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    second = materialise(verify(materialise(rest, "rest")), "links")
-    return connected_components(first.union(second))
+    rest = materialise(rest, "rest")
+    second = materialise(verify(rest), "links")
+    out = connected_components(first.union(second))
+    for done in (tried, first, comp, left, rest, second):
+        drop_table(done)
+    return out
