@@ -1,17 +1,20 @@
 """N-gram Jaccard join: all documents whose word 5-gram sets have a Jaccard of at least 0.8.
 
-A prefix-filter join with exact verification stands in for the blocked product
-of the document by n-gram matrix M with its transpose: no blocks are formed and no
-overlap counts accumulated. Columns are dealt by n-gram as lists of documents, and
-the whole sets of the pairs that size-derived bounds leave are intersected. So a
-common n-gram makes no cells, and what is shuffled are prefixes and those sets:
+The links are the cells of the product of the document by n-gram matrix M with
+its transpose that reach a size-derived bound. Only cells that can reach it are
+begun, and their overlaps are accumulated over blocks of columns:
 
 * rows with equal sets are one row of M (classes), so copies cost one row;
 * columns are ordered rare first; only the first ``n - ceil(t*n) + 1`` columns
-  of a row can hold the first common one of a linked pair (prefix bound);
+  of a row can hold the first common one of a linked pair (prefix bound), so a
+  cell begins where two rows meet in such a column;
 * sizes of linked rows differ by the factor ``t`` at most (length bound);
 * a pair that first meets at positions i, j shares at most
-  ``min(n - i, m - j)`` columns (position bound).
+  ``min(n - i, m - j)`` columns (position bound);
+* the columns are cut into COLUMN_BLOCKS blocks. A cell's common columns are
+  counted in the first blocks and the counts summed; a cell whose sum and
+  columns to come cannot reach the bound is dropped, the others go on to the
+  next blocks. After the last one the sum is the overlap.
 
 The order of the columns comes from a count sketch of all incidences, of a
 fixed size (SKETCH_BITS), so it is the only thing broadcast. Any order gives the
@@ -27,16 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, membership, only, only_members, portions, signed, text_rows, window_hashes, word_hashes
+from lectern.llm.common import drop_table, materialise, membership, only, only_members, portions, repeated, signed, text_rows, window_hashes, word_hashes
 from lectern.llm.components import linked_components
 
 #: Buckets of the column count sketch: 2**SKETCH_BITS counts, the same for any input.
 SKETCH_BITS = 20
 #: Rows in which the sketch is merged.
 SLICES = 16
+#: Blocks of columns, by the first bits of their hashes, and where a round of blocks begins and ends.
+COLUMN_BLOCKS, ROUNDS = 8, (0, 2, 8)
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -127,37 +132,41 @@ def _explode(batches):
 
 
 def _sets(k: int):
-    """The set of a class, from a text that has it."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+    """The set of a class by blocks of columns, from a text that has it; a row for each block."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("columns", pa.list_(pa.int64()))])
+    cuts = np.array([(i << 64) // COLUMN_BLOCKS for i in range(1, COLUMN_BLOCKS)], np.uint64)
 
     def run(batches):
         for b in portions(batches):
-            ids, out = [], []
+            ids, ns, columns = [], [], []
             for i, fp, text in zip(b.column("id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist()):
-                s = shingles(text, k).tobytes()
-                if xxhash.xxh3_128_digest(s) == fp:
-                    ids.append(i)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+                s = shingles(text, k)
+                if xxhash.xxh3_128_digest(s.tobytes()) == fp:
+                    ids += [i] * COLUMN_BLOCKS
+                    ns += [len(s)] * COLUMN_BLOCKS
+                    columns += np.split(signed(s), np.searchsorted(s, cuts))
+            blocks = list(range(COLUMN_BLOCKS)) * (len(ids) // COLUMN_BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ns, blocks, columns), schema)], schema=schema)
 
     return run
 
 
-def _verified(t_num: int, t_den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(t, s)
-                both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s))
-                keep.append(t_den * both >= t_num * (len(s) + len(t) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], schema=schema)
+def accumulated(pairs: DataFrame, sets: DataFrame, t_num: int, t_den: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, summed over all blocks of columns, reaches the bound.
 
-    return run
+    ``sets`` has a row (id, n, block, columns) for each block of each row of M.
+    """
+    need = F.expr(f"({t_num} * (n + m) + {t_num + t_den - 1}) div {t_num + t_den}")
+    so_far = pairs.select("a", "b", *[F.lit(0).cast("long").alias(c) for c in ("n", "m", "overlap", "of_a", "of_b")])
+    for lo, hi in zip(ROUNDS, ROUNDS[1:]):
+        some = sets.where(F.col("block").between(lo, hi - 1))
+        x = some.select(F.col("id").alias("a"), F.col("n"), "block", F.col("columns").alias("x"))
+        y = some.select(F.col("id").alias("b"), F.col("n").alias("m"), "block", F.col("columns").alias("y"))
+        cells = so_far.select("a", "b").join(x, "a").join(y, ["b", "block"])
+        counts = cells.select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"), F.size("x").cast("long").alias("of_a"), F.size("y").cast("long").alias("of_b"))
+        total = so_far.union(counts).groupBy("a", "b").agg(F.max("n").alias("n"), F.max("m").alias("m"), *[F.sum(c).alias(c) for c in ("overlap", "of_a", "of_b")])
+        so_far = materialise(total.where(F.col("overlap") + F.least(F.col("n") - F.col("of_a"), F.col("m") - F.col("of_b")) >= need), "cells")
+    return so_far.select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int = 100) -> DataFrame:
@@ -187,25 +196,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int
         "classes",
     )
     prefix = rows.mapInArrow(_prefixes(k, t_num, t_den, rank_of), "doc_id long, n long, fp binary, prefix binary")
-    reps = prefix.join(classes, ["doc_id", "fp"]).select("id", "n", "prefix").dropDuplicates(["id"])
-    cells = reps.mapInArrow(_explode, "g long, id long, n long, rank int")
+    reps = materialise(prefix.join(classes, ["doc_id", "fp"]).select("id", "n", "prefix").dropDuplicates(["id"]), "prefixes")
+    incidences = reps.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     # a column of one row makes no pair
-    columns = cells.select("*", F.count("*").over(Window.partitionBy("g")).alias("c")).where("c > 1").drop("c")
-    lists = materialise(columns, "columns")
+    lists = materialise(repeated(reps.mapInArrow(_explode, "g long, id long, n long, rank int"), "g", "columns", int(incidences)), "columns")
+    drop_table(reps)
 
     def bound(x, y):
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = F.floor((t_num * (n + m) + (t_num + t_den - 1)) / (t_num + t_den))
+        need = F.ceil(t_num * (n + m) / (t_num + t_den) - 1e-9)
         return (t_den * F.least(n, m) >= t_num * F.greatest(n, m)) & (F.least(n - F.col(f"{x}.rank"), m - F.col(f"{y}.rank")) >= need)
 
     def verify(pairs):
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = classes.join(ids, "id", "left_semi")
         some = only_members(rows, "doc_id", membership(wanted, "doc_id"))
-        some = some.join(wanted, "doc_id").select("id", "fp", "text").mapInArrow(_sets(k), "id long, items binary")
-        some = materialise(some.dropDuplicates(["id"]), "sets")
-        both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
-        return both.mapInArrow(_verified(t_num, t_den), "a long, b long")
+        some = some.join(wanted, "doc_id").select("id", "fp", "text").mapInArrow(_sets(k), "id long, n long, block int, columns array<long>")
+        return accumulated(pairs, materialise(some.dropDuplicates(["id", "block"]), "sets"), t_num, t_den)
 
     comp = linked_components(lists, bound, verify)
     members = classes.join(comp, "id")

@@ -77,6 +77,18 @@ def test_ngram_components_equal_brute_force(spark, documents, which):
     assert got == brute_components(rows)
 
 
+def test_overlaps_are_summed_over_blocks_of_columns(spark, monkeypatch):
+    r = random.Random(6)
+    sets = {i: sorted(r.sample(range(60), r.randint(1, 40))) for i in range(40)} | {40 + i: list(range(50 - i)) for i in range(12)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    rows = [(i, len(s), block, [x for x in s if x % 8 == block]) for i, s in sets.items() for block in range(8)]
+    want = {(a, b) for a, b in pairs if 100 * len(x := set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])) and x}
+    frames = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "id long, n long, block int, columns array<long>")
+    for rounds in ((0, 8), (0, 2, 8), (0, 1, 2, 5, 8)):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {tuple(x) for x in ngram_join.accumulated(*frames, 80, 100).collect()} == want and want
+
+
 def test_ngram_odd_and_no_documents(odd_documents, no_documents):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd_documents).collect()]
     assert len(got) == odd_documents.count()
