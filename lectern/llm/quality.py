@@ -2,9 +2,9 @@
 
 Rule statistics are taken of every text. Their distribution in each (lang,
 source) group is held by mergeable KLL quantile sketches (built in parts,
-combined before the shuffle). A statistic fails if it lies beyond its group's
-fence: quartile plus or minus SPREAD interquartile ranges, widened to a
-tolerance so that a uniform group loses nothing.
+combined before the shuffle). The quantiles of a group are drawn towards those
+of all rows, the more the smaller it is. A statistic fails if it lies further from
+its group's median than SPREAD times the distance of the rule's tail quantile.
 """
 
 from __future__ import annotations
@@ -18,22 +18,24 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise, only, portions, text_rows, window_hashes, word_hashes
 
-SPREAD = 4.0
+#: Distances between median and tail quantile that a statistic may lie off the median.
+SPREAD = 6.0
 SKETCH_K = 400
-#: Groups under this many rows use the sketch of all rows.
-LEAST_ROWS = 50
+#: A group of this many rows has as much weight in its quantiles as all rows have.
+PRIOR_ROWS = 50
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
 
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
-def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
+def text_stats(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+    """The columns of STATS; lines are those that have a word."""
     text = text or b""
     words = text.split()
     if not words:
         symbols = sum(text.count(bytes([s])) for s in SYMBOLS)
-        return 0, 0, symbols, 0, 0
+        return 0, 0, symbols, 0, 0, 0
     n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     chars = int(n.sum() - n[0x80:0xC0].sum() - n[9:14].sum() - n[32])
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
@@ -47,43 +49,60 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
             np.add.at(step, p, 1)
             np.add.at(step, p + 5, -1)
             again = int((np.cumsum(step)[:-1] > 0).sum())
-    return len(words), chars, int(n[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), again
+    return len(words), chars, int(n[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), again, len(lines)
 
 
 def _stats(batches):
     only("words")
     for b in portions(batches):
-        cols = list(zip(*map(text_stats, b.column("text").to_pylist()))) or [[]] * 5
+        cols = list(zip(*map(text_stats, b.column("text").to_pylist()))) or [[]] * 6
         names = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
             [*(b.column(c) for c in names), *(pa.array(c, pa.int64()) for c in cols)],
-            names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+            names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"],
         )
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure and the least distance of its fences from the median that may fail."""
+    """A measure, the quantile whose distance from the median is its spread, and the least spread, of a group whose values are all alike."""
 
     name: str
     measure: Column
-    tolerance: float
+    tail: float
+    least: float
     low: bool = False
-    high: bool = True
 
 
 def rules() -> list[Rule]:
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """The tail of a rule lies further in the more of a corpus's rows it usually rejects."""
+    words, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "n_lines"))
     return [
-        Rule("word_length", F.col("word_chars") / words, 4.0, low=True),
-        Rule("symbol_share", F.col("n_symbols") / words, 0.2),
-        Rule("dup_line_share", F.col("n_dup_lines") / words, 0.1),
-        Rule("repeat_share", F.col("n_repeat_words") / words, 0.15),
+        Rule("word_length", F.col("word_chars") / words, 0.8, 0.1, low=True),
+        Rule("symbol_share", F.col("n_symbols") / words, 0.8, 0.01),
+        Rule("dup_line_share", F.col("n_dup_lines") / lines, 0.95, 0.05),
+        Rule("repeat_share", F.col("n_repeat_words") / words, 0.95, 0.02),
     ]
 
 
-def _sketches(rs: list[Rule]) -> list[Column]:
-    return [F.kll_sketch_agg_double(f"m_{r.name}", SKETCH_K).alias(f"k_{r.name}") for r in rs]
+def _quantiles(r: Rule, sketch: str) -> list[Column]:
+    return [F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, r.tail, 1 - r.tail)]
+
+
+def fences(passed: DataFrame, rs: list[Rule]) -> DataFrame:
+    """(lang, source, lo_*, hi_*) of each group of ``passed`` (lang, source, m_*); a rule without a lower fence has a null one."""
+    sketches = [F.kll_sketch_agg_double(f"m_{r.name}", SKETCH_K).alias(f"k_{r.name}") for r in rs]
+    groups = materialise(passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches), "sketches")
+    every = groups.agg(*[F.kll_merge_agg_double(f"k_{r.name}").alias(f"all_{r.name}") for r in rs])
+    out = groups.crossJoin(F.broadcast(every))  # one row
+    own = F.col("n") / (F.col("n") + F.lit(PRIOR_ROWS))
+    ends = []
+    for r in rs:
+        mid, high, low = (own * g + (1 - own) * a for g, a in zip(_quantiles(r, f"k_{r.name}"), _quantiles(r, f"all_{r.name}")))
+        reach = lambda spread: F.lit(SPREAD) * F.greatest(spread, F.lit(r.least))  # noqa: B023, E731
+        ends.append((mid - reach(mid - low) if r.low else F.lit(None).cast("double")).alias(f"lo_{r.name}"))
+        ends.append((mid + reach(high - mid)).alias(f"hi_{r.name}"))
+    return out.select("lang", "source", *ends)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -92,6 +111,9 @@ def judge(docs: DataFrame) -> DataFrame:
     base_failed: under 10 words, or more than 20 of 100 words in repeated
     windows. Others are kept unless a measure passes its group's fence. Null
     lang or source is a group of its own; a null or empty text fails the base.
+    Rows are judged each by its own whole text, however long, so rows that
+    repeat a doc_id, or have none, are as any other; other columns are not read;
+    an empty table gives an empty one.
     """
     stats = materialise(
         text_rows(docs, "lang", "source").mapInArrow(_stats, f"doc_id long, lang string, source string, {STATS}"), "stats"
@@ -100,25 +122,11 @@ def judge(docs: DataFrame) -> DataFrame:
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = stats.withColumn("base_failed", base)
     passed = judged.where(~F.col("base_failed")).select("lang", "source", *[r.measure.alias(f"m_{r.name}") for r in rs])
-    groups = passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *_sketches(rs))
-    groups = materialise(groups, "sketches")
-    every = groups.agg(*[F.kll_merge_agg_double(f"k_{r.name}").alias(f"all_{r.name}") for r in rs])
-    fences = groups.crossJoin(F.broadcast(every))  # one row
-    for r in rs:
-        k = F.when(F.col("n") >= LEAST_ROWS, F.col(f"k_{r.name}")).otherwise(F.col(f"all_{r.name}"))
-        q1, q2, q3 = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        reach = F.lit(SPREAD) * (q3 - q1)
-        fences = fences.withColumn(f"lo_{r.name}", F.least(q1 - reach, q2 - r.tolerance)).withColumn(f"hi_{r.name}", F.greatest(q3 + reach, q2 + r.tolerance))
-    fences = fences.select(
-        F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{side}_{r.name}" for r in rs for side in ("lo", "hi")]
-    )
-    joined = judged.join(fences, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    limits = fences(passed, rs).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    joined = judged.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     ok = F.lit(True)
     for r in rs:
-        if r.low:
-            ok = ok & (r.measure >= F.col(f"lo_{r.name}"))
-        if r.high:
-            ok = ok & (r.measure <= F.col(f"hi_{r.name}"))
+        ok = ok & (r.measure <= F.col(f"hi_{r.name}")) & F.coalesce(r.measure >= F.col(f"lo_{r.name}"), F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(False))).alias("kept")
     )

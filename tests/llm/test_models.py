@@ -1,7 +1,7 @@
 """Mixing, language ID, quality, toxicity, top-k: brute force, held-out accuracy, odd rows."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -95,12 +95,46 @@ def plain_stats(text):
     return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again)
 
 
+def plain_kept(docs):
+    """Verdicts by quantiles of sorted lists, which a sketch of few rows equals."""
+    groups, measured = defaultdict(list), []
+    for r in docs:
+        n, chars, symbols, dup, again = plain_stats(r.text)
+        lines = sum(1 for x in (r.text or "").encode().split(b"\n") if x.split())
+        failed = n < 10 or 100 * again > 20 * n
+        m = (chars / max(n, 1), symbols / max(n, 1), dup / max(lines, 1), again / max(n, 1))
+        measured.append((str(r.doc_id), n, failed, (r.lang, r.source), m))
+        if not failed:
+            groups[r.lang, r.source].append(m)
+    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values)), 1) - 1]
+    every, out = [m for g in groups.values() for m in g], []
+    for doc, n, failed, group, m in measured:
+        ok = not failed
+        for i, (tail, least, low) in enumerate([(0.8, 0.1, True), (0.8, 0.01, False), (0.95, 0.05, False), (0.95, 0.02, False)]) if ok else ():
+            own = len(groups[group]) / (len(groups[group]) + 50)
+            mid, hi, lo = (own * at([x[i] for x in groups[group]], q) + (1 - own) * at([x[i] for x in every], q) for q in (0.5, tail, 1 - tail))
+            ok = ok and m[i] <= mid + 6 * max(hi - mid, least) and (not low or m[i] >= mid - 6 * max(mid - lo, least))
+        out.append((doc, n, ok))
+    return sorted(out)
+
+
+def test_quantiles_and_not_floors_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    passed = quality.judge(docs).where("not base_failed").join(docs.select("doc_id", "lang", "source"), "doc_id").withColumn("n_lines", F.lit(1))
+    rs = quality.rules()
+    limits = quality.fences(passed.select("lang", "source", *[r.measure.alias(f"m_{r.name}") for r in rs]), rs).toPandas()
+    assert len(limits) > 50 and limits.hi_word_length.nunique() > 50 and limits.lo_word_length.nunique() > 50
+    assert ((limits.hi_word_length - limits.lo_word_length) > 2 * quality.SPREAD * 0.1 + 1e-6).mean() > 0.9
+
+
 @pytest.mark.parametrize("which", ["sf", "odd"])
 def test_quality_statistics_equal_brute_force(documents, odd_documents, no_documents, which):
     df = documents if which == "sf" else odd_documents
     want = sorted((str(r.doc_id), *plain_stats(r.text)) for r in df.collect())
     rows = quality.judge(df).collect()
     assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == want
+    want = plain_kept(df.collect())
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in rows) == want and (which == "odd" or any(not k for _, n, k in want if n >= 10))
     for r in rows:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
     assert quality.judge(no_documents).count() == 0
