@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are mapped to symbols (insult, threat, target, negation, reported speech)
-with weights; small transducers read the symbols of a clause and are composed
-left to right: each rewrites the weights the one before it emits.
-
-* insult and threat emit the weight of a word (a threat needs a target);
-* target raises what stands in a clause that addresses somebody;
-* negation lowers what follows it within three words;
-* reported speech lowers what follows a verb of saying in its clause.
-
-The insult lexicon, whole words and stems, is learned with its weights from
-labelled texts; the weights of a document's matched clauses give its score by a
-logistic curve fitted on the same texts.
+Words are read as symbols (a term of the lexicon, a threat, a target, a negation,
+a verb of saying, ...). Five transducers rewrite the symbols of a sentence one
+after the other, and are composed to one machine beforehand:
+
+* insult: a term of the lexicon is an insult, with the term's weight;
+* threat: a verb of violence is a threat, heavier after a modal verb;
+* negation: what follows within three words of a clause counts half;
+* target: a clause that addresses somebody raises its insults; a threat without
+  a target is none. The target may come last, so the machine guesses and the
+  wrong guess is no accepted path;
+* reported speech: what follows a verb of saying counts less to the end of the
+  sentence, across commas, colons and quotation marks.
+
+Arcs carry factors, which multiply under composition; a path weighs the sum of its
+words' weights times their factors, and the best accepted path counts. The lexicon,
+whole words and stems, is learned with its weights from labelled texts; the weights
+of a document's matched sentences give its score by a logistic curve fitted on the same texts.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from lectern.llm.langid import held_out
 
 #: Labelled rows learned from, at most, of each label: those of least hash.
 TRAIN_ROWS = 8_000
-#: Lexicon entries at most, the least share of toxic texts that hold one, and the least log odds.
-MAX_TERMS, LEAST_SHARE, LEAST_ODDS = 4_000, 0.005, 3.0
+#: Of a lexicon entry: the least share of toxic texts that hold it (so the sample bounds their number), and the least log odds.
+LEAST_SHARE, LEAST_ODDS = 0.005, 3.0
 STEM_LENGTHS = (4, 5, 6)
 #: Least share of a term's toxic texts (up to 40) in which it has neighbours of its own.
 LEAST_VARIED = 0.5
@@ -44,10 +49,18 @@ MAX_WEIGHT = 6.0
 TARGETS = "you your yours he she they him her them du dich dir ihr euch sie er tu toi te vous il elle ils elles usted ustedes ellos ellas él ella".split()
 NEGATIONS = "not no never none nobody isn't aren't don't doesn't nicht kein keine niemals nie ne pas jamais aucun aucune nunca jamás ningún ninguna".split()
 REPORTS = "said says say told tells wrote writes claimed claims called quoted sagte sagt schrieb dit disait écrit a-dit dijo dice escribió".split()
+MODALS = "will shall gonna going werde werden wirst vais vas va voy vamos".split()
 THREATS = "kill hurt destroy beat burn shoot stab töten schlagen verletzen tuer frapper détruire matar golpear destruir".split()
 
-_words = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*").findall
-_clauses = re.compile(r"[.!?;:,\n|]+").split
+#: Factors of a threat after a modal verb, of what is negated, addressed and reported; words a negation reaches.
+MODAL, NEGATED, ADDRESSED, REPORTED, NEGATION_WORDS = 1.5, 0.5, 1.25, 0.75, 3
+#: Weight of a threat.
+THREAT_WEIGHT = 1.0
+
+_WORD = r"[^\W_]+(?:['’-][^\W_]+)*"
+_words = re.compile(_WORD).findall
+_tokens = re.compile(_WORD + "|[,:]").findall
+_sentences = re.compile(r"[.!?;\n|]+").split
 
 
 def terms_of(word: str) -> list[str]:
@@ -55,52 +68,110 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEM_LENGTHS if len(word) > n)]
 
 
+SYMBOLS = ("term", "insult", "threat", "target", "not", "said", "modal", ",", "other")
+
+
+class Transducer:
+    """``arcs[state, symbol]`` lists (next state, symbol written, factor); several starts and arcs for a symbol are guesses."""
+
+    def __init__(self, starts, finals, arcs: dict):
+        self.starts, self.finals, self.arcs = tuple(starts), frozenset(finals), arcs
+
+    def then(self, after: "Transducer") -> "Transducer":
+        """The composition: ``after`` reads what this one writes. States are pairs, of which only those reached are built."""
+        starts = [(p, q) for p in self.starts for q in after.starts]
+        arcs, todo, seen = {}, list(starts), set(starts)
+        while todo:
+            p, q = at = todo.pop()
+            for symbol in SYMBOLS:
+                out = [
+                    ((p2, q2), written2, factor * factor2)
+                    for p2, written, factor in self.arcs.get((p, symbol), ())
+                    for q2, written2, factor2 in after.arcs.get((q, written), ())
+                ]
+                if out:
+                    arcs[at, symbol] = out
+                todo += [to for to, _, _ in out if not (to in seen or seen.add(to))]
+        return Transducer(starts, [s for s in seen if s[0] in self.finals and s[1] in after.finals], arcs)
+
+    def numbered(self) -> "Transducer":
+        """The same machine with numbers for states."""
+        states = {s: n for n, s in enumerate(dict.fromkeys([*self.starts, *(s for s, _ in self.arcs), *(a[0] for out in self.arcs.values() for a in out)]))}
+        arcs = {(states[s], symbol): [(states[to], written, factor) for to, written, factor in out] for (s, symbol), out in self.arcs.items()}
+        return Transducer([states[s] for s in self.starts], [states[s] for s in self.finals], arcs)
+
+    def best(self, read: list[list[tuple[str, float]]]) -> float:
+        """The weight of the best accepted path; each word is a choice of symbols with weights."""
+        now = dict.fromkeys(self.starts, 0.0)
+        for choices in read:
+            reached: dict = {}
+            for state, value in now.items():
+                for symbol, weight in choices:
+                    for to, _, factor in self.arcs.get((state, symbol), ()):
+                        x = value + factor * weight
+                        if x > reached.get(to, -1.0):
+                            reached[to] = x
+            now = reached
+        return max((v for s, v in now.items() if s in self.finals), default=0.0)
+
+
+def _machine(states, finals, special: dict, starts=None) -> Transducer:
+    """Arcs of ``special``, and else one that stays in its state and writes what it reads."""
+    arcs = {(s, x): [(s, x, 1.0)] for s in states for x in SYMBOLS} | special
+    return Transducer(starts or states[:1], finals, {k: v for k, v in arcs.items() if v})
+
+
+def transducers() -> list[Transducer]:
+    """Insult, threat, negation, target, reported speech."""
+    hits = ("insult", "threat")
+    insult = _machine([0], [0], {(0, "term"): [(0, "insult", 1.0)]})
+    threat = {("plain", "modal"): [("modal", "modal", 1.0)], ("modal", "threat"): [("plain", "threat", MODAL)], ("modal", ","): [("plain", ",", 1.0)]}
+    left = range(NEGATION_WORDS + 1)  # words that a negation still reaches
+    negation = {(n, x): [(max(n - 1, 0), x, NEGATED if n and x in hits else 1.0)] for n in left for x in SYMBOLS}
+    negation |= {(n, "not"): [(NEGATION_WORDS, "not", 1.0)] for n in left} | {(n, ","): [(0, ",", 1.0)] for n in left}
+    target = {(s, ","): [("nobody", ",", 1.0), ("awaited", ",", 1.0)] for s in ("nobody", "named")} | {("awaited", ","): [], ("awaited", "target"): [("named", "target", 1.0)]}
+    target |= {(s, "insult"): [(s, "insult", ADDRESSED)] for s in ("awaited", "named")} | {("nobody", "threat"): [("nobody", "other", 0.0)]}
+    reported = {("direct", "said"): [("reported", "said", 1.0)]} | {("reported", x): [("reported", x, REPORTED)] for x in hits}
+    return [
+        insult,
+        _machine(["plain", "modal"], ["plain", "modal"], threat),
+        _machine(list(left), list(left), negation),
+        _machine(["nobody", "awaited", "named"], ["nobody", "named"], target, ["nobody", "awaited"]),
+        _machine(["direct", "reported"], ["direct", "reported"], reported),
+    ]
+
+
 class Grammar:
-    """Symbols of words and the composed transducers."""
+    """Symbols of words, and the composed transducers."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        roles = [("target", TARGETS), ("not", NEGATIONS), ("said", REPORTS), ("threat", THREATS)]
-        self.roles = {w: role for role, ws in roles for w in ws}
-        self.insult = Memo(self._weight, 200_000)
-
-    def _weight(self, word: str) -> float:
-        return max((self.lexicon[t] for t in terms_of(word) if t in self.lexicon), default=0.0)
-
-    def clause(self, words: list[str]) -> float:
-        """The weight of a clause after all transducers."""
-        symbols = [self.roles.get(w) for w in words]
-        addressed = "target" in symbols
-        out, since_not, said = 0.0, 99, False
-        for w, role in zip(words, symbols):
-            since_not += 1
-            emitted = self.insult[w]
-            if role == "threat" and addressed:
-                emitted = max(emitted, 1.0)
-            if emitted > 0:
-                if addressed:
-                    emitted *= 1.25
-                if since_not <= 3:
-                    emitted *= 0.5
-                if said:
-                    emitted *= 0.75
-                out += emitted
-            elif role == "not":
-                since_not = 0
-            elif role == "said":
-                said = True
-        return out
+        roles = [("target", TARGETS), ("not", NEGATIONS), ("said", REPORTS), ("modal", MODALS), ("threat", THREATS)]
+        self.roles = {w: role for role, ws in roles for w in ws} | {",": ",", ":": ","}
+        first, *rest = transducers()
+        for t in rest:
+            first = first.then(t)
+        self.machine = first.numbered()
+        self.memo = Memo(self.symbols, 200_000)
+
+    def symbols(self, word: str) -> tuple[bool, list[tuple[str, float]]]:
+        """Whether a word may be weighed, and what it may be read as, with its weight."""
+        role = self.roles.get(word, "other")
+        weight = max((self.lexicon[t] for t in terms_of(word) if t in self.lexicon), default=0.0)
+        read = [(role, THREAT_WEIGHT if role == "threat" else 0.0)] + ([("term", weight)] if weight > 0 else [])
+        return role == "threat" or weight > 0, read
+
+    def sentence(self, text: str) -> float:
+        """The weight of a lower-cased sentence."""
+        read = list(map(self.memo.__getitem__, _tokens(text)))
+        return self.machine.best([x for _, x in read]) if any(hit for hit, _ in read) else 0.0
 
     def matched(self, text: str) -> list[float]:
-        """Weights of the clauses that match."""
-        low = text.lower()
-        weigh = self.insult
-        if not any(weigh[w] or w in THREATS for w in set(_words(low))):
-            return []
-        return [x for x in (self.clause(_words(c)) for c in _clauses(low)) if x > 0]
+        """Weights of the sentences that match."""
+        return [x for x in map(self.sentence, _sentences(text.lower())) if x > 0]
 
     def features(self, text: str) -> tuple[float, float]:
-        """Total clause weight, and the strongest clause, both damped."""
+        """Total weight, and the strongest sentence, both damped."""
         found = self.matched(text)
         return (math.log1p(sum(found)), math.log1p(max(found))) if found else (0.0, 0.0)
 
@@ -173,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> tuple[dict[s
     # a word of copied texts stands between the same words everywhere; an insult does not
     varied = F.col("places") >= LEAST_VARIED * F.least(F.col("pos"), F.lit(40))
     terms = counts.where((F.col("pos") >= least) & varied).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    lexicon = {r.term: min(r.odds, MAX_WEIGHT) for r in terms.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()}
+    lexicon = {r.term: min(r.odds, MAX_WEIGHT) for r in terms.select("term", "odds").collect()}
     seen = sample.mapInArrow(partial(_features, lexicon), "doc_id long, toxic int, total double, strongest double").toPandas()
     w = fit_logistic(seen[["total", "strongest"]].to_numpy(), seen["toxic"].to_numpy(float))
     # each label's sample may be cut, so the intercept is moved to the labels' own shares
@@ -183,7 +254,11 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> tuple[dict[s
 
 
 def score(docs: DataFrame, lexicon: dict[str, float], curve: list[float]) -> DataFrame:
-    """(doc_id, score) of each row from its whole text alone; null and empty texts score as texts without a match."""
+    """(doc_id, score) of each row from its whole text alone; null and empty texts score as texts without a match.
+
+    Rows are scored each by itself, so rows that repeat a doc_id, or have none,
+    are as any other; other columns are not read; an empty table gives an empty one.
+    """
     found = text_rows(docs).mapInArrow(partial(_features, lexicon), "doc_id long, total double, strongest double")
     z = F.col("total") * curve[0] + F.col("strongest") * curve[1] + curve[2]
     return found.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))

@@ -1,6 +1,9 @@
 """Mixing, language ID, quality, toxicity, top-k: brute force, held-out accuracy, odd rows."""
 
+import itertools
 import math
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,9 +159,54 @@ def test_thresholds_follow_the_group(spark):
 
 def test_grammar_weighs_clauses():
     g = toxicity.Grammar({"idiot": 4.0, "scum*": 3.0})
-    plain, addressed, negated, reported = (g.clause(x.split()) for x in ("what an idiot", "you are an idiot", "not an idiot", "he said what an idiot"))
-    assert addressed > plain > negated and g.clause("people said an idiot came".split()) < plain and reported < addressed
-    assert g.matched("A scumbag. Nothing here.") == [3.0] and g.matched("") == [] and g.clause("kill".split()) == 0 < g.clause("kill you".split())
+    weigh = lambda text: sum(g.matched(text))
+    assert weigh("You are an idiot") == 5 > weigh("What an idiot") == 4 > weigh("Not an idiot") == 2
+    assert weigh("Tom said what an idiot") == weigh("Tom said, what an idiot") == weigh('Tom said: "what an idiot"') == 3
+    assert weigh("He said, what an idiot") == 3 and weigh("He said you are an idiot") == 3.75 and weigh("Tom said so. What an idiot") == 4
+    assert weigh("not one of you, an idiot came") == 4 and weigh("never ever has there been an idiot") == 4
+    assert g.matched("A scumbag. Nothing here.") == [3.0] and g.matched("") == [] and weigh("kill") == 0 < weigh("kill you") < weigh("I will kill you")
+    assert weigh("They left, kill it") == 0 and weigh("an idiot, you fool") == 4
+
+
+def every_path(machines, read):
+    """The best weight over all paths of the transducers one after the other, uncomposed."""
+    def walk(m, symbols):
+        paths = [(s, ()) for s in m.starts]
+        for x in symbols:
+            paths = [(to, (*out, (written, f))) for s, out in paths for to, written, f in m.arcs.get((s, x), ())]
+        return [out for s, out in paths if s in m.finals]
+
+    best = 0.0
+    for choice in itertools.product(*read):
+        live = [([x for x, _ in choice], [w for _, w in choice])]
+        for m in machines:
+            live = [([y for y, _ in out], [w * f for w, (_, f) in zip(ws, out)]) for xs, ws in live for out in walk(m, xs)]
+        best = max([best, *(sum(ws) for _, ws in live)])
+    return best
+
+
+def test_composition_equals_all_paths():
+    r, machine = random.Random(3), toxicity.Grammar({}).machine
+    for _ in range(150):
+        read = [[(x, r.choice([0.0, 1.0, 2.5])) for x in r.sample(["term", "threat", "target", "not", "said", "modal", ",", "other"], r.choice([1, 1, 2]))] for _ in range(r.randint(0, 7))]
+        assert abs(machine.best(read) - every_path(toxicity.transducers(), read)) < 1e-9
+
+
+def test_scores_equal_a_plain_scorer(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    lexicon, curve = {"idiot": 4.0, "the": 0.5, "stup*": 3.0, "la": 1.0}, [0.9, 0.4, -2.0]
+    grammar = toxicity.Grammar(lexicon)
+    for r in toxicity.score(documents, lexicon, curve).join(documents.select("doc_id", "text"), "doc_id").collect():
+        found = []
+        for sentence in re.split(r"[.!?;\n|]+", (r.text or "").lower()):
+            for clause in [sentence] if len(sentence) < 60 else []:
+                read = [grammar.symbols(w)[1] for w in re.findall(r"[^\W_]+(?:['’-][^\W_]+)*|[,:]", clause)]
+                assert math.prod(map(len, read)) > 16 or abs(grammar.machine.best(read) - every_path(toxicity.transducers(), read)) < 1e-9
+            found.append(grammar.sentence(sentence))
+        found = [x for x in found if x > 0]
+        z = curve[0] * math.log1p(sum(found)) + curve[1] * math.log1p(max(found, default=0.0)) + curve[2]
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+    assert labels.count() > 0
 
 
 def test_toxicity_of_held_out_documents(spark, odd_documents, no_documents):
