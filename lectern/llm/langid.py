@@ -17,23 +17,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import only, portions, text_rows
+from lectern.llm.common import mixed, only, portions, text_rows
 
 #: N-grams in a language's and in a document's profile.
 PROFILE, DOC_PROFILE = 400, 300
-#: Documents per language that profiles are learned from, those of least hash; languages at most.
-TRAIN_DOCS, MAX_LANGUAGES = 400, 512
-#: N-grams are known by a hash of so many bits.
-GRAM_BITS = 18
+#: Documents per language that profiles are learned from, at most: those of least hash.
+TRAIN_DOCS = 400
 UNKNOWN = "und"
 
 #: Odd multipliers that make a gram's letters one number.
 _KEYS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    return mixed(x).view(np.int64)
+
+
+def gram_hash(gram: str) -> int:
+    """The number that a gram is known by, a hash of 64 bits; of equally frequent grams the smaller one comes first."""
+    c = np.frombuffer(gram.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return int(_spread((c * np.array(_KEYS[: len(c)])).sum(keepdims=True))[0])
+
+
 def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams, counts) of a whole text, lower-cased; none if it has no letter.
 
@@ -56,14 +63,10 @@ def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     two = one + c[1:] * _KEYS[1]
     three = two[:-1] + c[2:] * _KEYS[2]
     letter, inner = ~space[:-1], ~space[1:-1]  # a gram is no space alone, and spans no two words
-    grams = (np.concatenate([one[letter], two, three[inner]]) * _SPREAD >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    grams = _spread(np.concatenate([one[letter], two, three[inner]]))
     weight = np.concatenate([weight[letter], weight, weight[:-1][inner]])
-    if len(grams) < 1 << (GRAM_BITS - 4):
-        ids, at = np.unique(grams, return_inverse=True)
-        return ids, np.bincount(at, weight).astype(np.int64)
-    n = np.bincount(grams, weight, minlength=1 << GRAM_BITS).astype(np.int64)
-    ids = np.flatnonzero(n)
-    return ids, n[ids]
+    ids, at = np.unique(grams, return_inverse=True)
+    return ids, np.bincount(at, weight).astype(np.int64)
 
 
 def ranked(ids: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
@@ -86,15 +89,21 @@ def learn_profiles(docs: DataFrame, may_learn: Column) -> dict[str, np.ndarray]:
     """lang -> its ranked n-grams, from the whole texts of at most TRAIN_DOCS documents per language.
 
     The documents are those of least hash(doc_id) among the rows that
-    ``may_learn`` allows and whose lang and text are not null; of more than
-    MAX_LANGUAGES languages the most frequent are learned.
+    ``may_learn`` allows and whose lang and text are not null. The driver gets
+    PROFILE numbers for each value of lang, whatever the number of documents.
+    Rows of a language are cut by a threshold of the hash before they are ranked,
+    so a frequent language is no more work for a task than a rare one.
     """
+    spark = docs.sparkSession
     able = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    known = [r.lang for r in able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.where(F.col("lang").isin(known)).select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS)
-    ids = [r.doc_id for r in ids.select("doc_id").collect()]  # TRAIN_DOCS * MAX_LANGUAGES at most
-    sample = text_rows(able.where(F.col("doc_id").isin(ids)) if len(ids) <= 4096 else able.join(F.broadcast(_ids(docs, ids)), "doc_id", "left_semi"), "lang")
+    h = F.xxhash64("doc_id")
+    # twice the share that gives TRAIN_DOCS: fewer than these are as good as impossible
+    known = [(r.lang, int(-(1 << 63) + min(1.0, 2 * TRAIN_DOCS / r.n) * ((1 << 64) - 1025))) for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    limits = spark.createDataFrame(known, "lang string, most long")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = able.select("doc_id", "lang", h.alias("h")).join(F.broadcast(limits), "lang").where("h <= most")
+    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS).select("doc_id", "lang").distinct()
+    sample = text_rows(able.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi"), "lang")  # TRAIN_DOCS for each lang at most
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= PROFILE).orderBy("lang", "r").collect()
@@ -104,35 +113,42 @@ def learn_profiles(docs: DataFrame, may_learn: Column) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in sorted(out.items())}
 
 
-def _ids(df: DataFrame, ids: list[int]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-
-
-def rank_table(profiles: dict[str, np.ndarray]) -> np.ndarray:
-    """(language, n-gram) -> rank, or -1."""
-    table = np.full((len(profiles), 1 << GRAM_BITS), -1, np.int16)
-    for row, grams in zip(table, profiles.values()):
-        row[grams] = np.arange(len(grams))
-    return table
-
-
-def nearest(table: np.ndarray, text: bytes | None) -> tuple[int, float]:
-    """(row of the nearest profile, score from 0 to 1), or (-1, 0)."""
-    ids, n = gram_counts(text)
-    if not len(ids) or not len(table):
-        return -1, 0.0
-    top = ranked(ids, n, DOC_PROFILE)
-    ranks = table[:, top].astype(np.int64)
-    cost = np.where(ranks < 0, PROFILE, np.abs(ranks - np.arange(len(top)))).sum(1)
-    at = int(cost.argmin())
-    return at, float(1 - cost[at] / (PROFILE * len(top)))
+class Profiles:
+    """N-grams of all profiles, in order, each with the languages that have it and its rank there."""
+
+    def __init__(self, profiles: list[np.ndarray]):
+        self.languages = len(profiles)
+        grams = np.concatenate([np.zeros(0, np.int64), *profiles])
+        of = np.repeat(np.arange(len(profiles)), [len(p) for p in profiles])
+        rank = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(p)) for p in profiles]])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.starts = np.unique(grams[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(grams)))
+        self.of, self.rank = of[order], rank[order]
+
+    def nearest(self, text: bytes | None) -> tuple[int, float]:
+        """(number of the nearest profile, score from 0 to 1), or (-1, 0)."""
+        ids, n = gram_counts(text)
+        if not len(ids) or not len(self.grams):
+            return -1, 0.0
+        top = ranked(ids, n, DOC_PROFILE)
+        at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[at] == top)
+        at = at[place]
+        counts = self.counts[at]
+        # every entry of the n-grams found, one after the other
+        entry = np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        saved = PROFILE - np.abs(self.rank[entry] - np.repeat(place, counts))
+        cost = PROFILE * len(top) - np.bincount(self.of[entry], saved, minlength=self.languages).astype(np.int64)
+        best = int(cost.argmin())
+        return best, float(1 - cost[best] / (PROFILE * len(top)))
 
 
 def _identify(langs: list[str], held, batches):
     only("profiles")
-    table = rank_table(dict(zip(langs, held.value)))
+    profiles = Profiles(held.value)
     for b in portions(batches):
-        found = [nearest(table, t) for t in b.column("text").to_pylist()]
+        found = [profiles.nearest(t) for t in b.column("text").to_pylist()]
         lang = [langs[i] if i >= 0 else UNKNOWN for i, _ in found]
         cols = [b.column(c) for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays(
@@ -149,7 +165,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score) of each row; ``und`` and 0 for a text that is null or has no letter, or without profiles.
 
     The score is 1 less the distance's share of the largest possible one. Only
-    the text is an input. Rows are independent, repeats and null doc_ids pass.
+    the text is an input, and the whole of it, however long. Rows are independent:
+    repeats and null doc_ids pass; other columns are not read; an empty table gives an empty one.
     """
     held = docs.sparkSession.sparkContext.broadcast(list(profiles.values()))
     run = partial(_identify, list(profiles), held)
@@ -166,11 +183,11 @@ def predictions(docs: DataFrame) -> DataFrame:
 LEAST_SCORE = 0.05
 
 
-def _accept(langs: list[str], held, batches):
+def _accept(held, batches):
     only("profiles")
-    table = rank_table(dict(zip(langs, held.value)))
+    profiles = Profiles(held.value)
     for b in portions(batches):
-        keep = [i >= 0 and s >= LEAST_SCORE for i, s in (nearest(table, (t or "").encode()) for t in b.column("text").to_pylist())]
+        keep = [i >= 0 and s >= LEAST_SCORE for i, s in (profiles.nearest((t or "").encode()) for t in b.column("text").to_pylist())]
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
@@ -178,4 +195,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows, all columns, whose text is of a known language: not ``und``, and of LEAST_SCORE or more."""
     profiles = learn_profiles(docs, ~held_out(F.col("doc_id"), 5, 0))
     held = docs.sparkSession.sparkContext.broadcast(list(profiles.values()))
-    return docs.mapInArrow(partial(_accept, list(profiles), held), docs.schema)
+    return docs.mapInArrow(partial(_accept, held), docs.schema)

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -80,6 +81,46 @@ def test_language_of_held_out_documents(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and {0, 1, 2, 10}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def plain_grams(text):
+    """N-grams of a text, most frequent first, from Python strings."""
+    grams = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        word = f" {''.join(filter(str.isalpha, word))} "
+        grams.update(word[i : i + n] for n in (1, 2, 3) for i in range(len(word) - n + 1) if word.strip() and word[i : i + n] != " ")
+    return grams
+
+
+def plain_order(grams, most):
+    return sorted(grams, key=lambda g: (-grams[g], langid.gram_hash(g)))[:most]
+
+
+def test_languages_equal_a_plain_scorer(spark, documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    learned = defaultdict(Counter)
+    for doc, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(doc).encode()) % 5:
+            learned[lang] += plain_grams(text)
+    profiles = {lang: {g: i for i, g in enumerate(plain_order(c, 400))} for lang, c in sorted(learned.items())}
+    want = {}
+    for doc, text, _ in rows:
+        top = plain_order(plain_grams(text), 300)
+        cost = {lang: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(top)) for lang, p in profiles.items()}
+        lang = min(cost, key=lambda x: (cost[x], x)) if top else "und"
+        want[doc] = (not zlib.crc32(str(doc).encode()) % 5, lang, round(1 - cost[lang] / (400 * len(top)), 9) if top else 0.0)
+    got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predictions(documents).collect()}
+    assert got == want and len(profiles) > 2
+
+
+def test_many_languages_are_all_learned(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in f"{i * 7919 % 100_000:05d}")
+    rows = [(1000 * i + j, " ".join(word(20 * i + k) for k in range(20)), f"l{i}") for i in range(600) for j in range(2)]
+    profiles = langid.learn_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(profiles) == 600
+    found = langid.Profiles(list(profiles.values()))
+    names = list(profiles)
+    assert sum(names[found.nearest(t.encode())[0]] == lang for _, t, lang in rows) > 0.95 * len(rows)
+
+
 def test_language_of_a_row_does_not_depend_on_its_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     profiles = langid.learn_profiles(docs, ~langid.held_out(F.col("doc_id"), 5, 0))
