@@ -282,6 +282,25 @@ def test_topk_equals_brute_force(spark, sf, monkeypatch, shard_rows):
     assert {tuple(r) for r in topk.top_k(df, lambda c: c % 100 == 0).collect()} == want
 
 
+def test_topk_leaves_out_far_leaves(spark, monkeypatch):
+    """Clusters far apart: a query's copies follow the leaves that may hold a better score, not all."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    r = np.random.default_rng(5)
+    middle = r.normal(size=(16, 8)) * 4
+    rows = [(i, [float(x) for x in middle[i % 16] + r.normal(size=8) * 0.01]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in topk.top_k(df, lambda c: c % 100 == 0).collect()} == brute_topk(rows)
+    x = np.array([[math.floor(1024 * v) for v in e] for _, e in rows], np.float64)
+    routes = topk.Routes(x, 32)
+    leaf = routes.leaves(x)
+    radii = np.array([np.sqrt(((x[leaf == i] - c) ** 2).sum(1)).max(initial=0) for i, c in enumerate(routes.centres)])
+    q = x[::100]
+    bounds = topk.bound(np.array(routes.centres), radii, q, np.sqrt((q * q).sum(1)))
+    tenth = np.sort(q @ x.T, axis=1)[:, -11]
+    assert len(routes.centres) > 12 and (bounds >= tenth[:, None]).sum(1).mean() < len(routes.centres) / 3
+    assert all((bounds[i, leaf[j]] >= q[i] @ x[j]) for i in range(len(q)) for j in range(0, 1600, 7))
+
+
 def test_topk_odd_vectors(spark):
     same = [1.0, 0.5]
     rows = [(100 * i if i < 3 else i, same) for i in range(30)] + [(300, None), (301, [None, 1.0]), (302, [float("nan"), 1.0]), (303, [float("inf"), 1.0]), (304, []), (400, [1.0]), (500, [3e38, 3e38]), (501, [-3e38, 1.0])]
