@@ -24,7 +24,7 @@ def normalize_name(name: pd.Series) -> pd.Series:
     return name.map(_fold, na_action=None).astype(object)
 
 
-#: A starter table of given names; callers pass their own for more.
+#: A starter table of given names. The full one is a parameter: callers read theirs, of any length, in order.
 TRANSLITERATION = {
     "adam": "亚当", "alan": "艾伦", "alex": "亚历克斯", "anna": "安娜", "ben": "本", "bill": "比尔", "bob": "鲍勃", "bruce": "布鲁斯",
     "charles": "查尔斯", "chris": "克里斯", "daniel": "丹尼尔", "david": "大卫",
@@ -38,12 +38,19 @@ def transliterated(table: dict[str, str] | None = None):
     beginning or that begins with its first three letters; else it stays.
     """
     table = TRANSLITERATION if table is None else table
+    place = {k: i for i, k in enumerate(table)}
+    locals_ = list(table.values())
+    first: dict[str, int] = {}
+    for k, i in place.items():
+        for n in range(1, 4):
+            first.setdefault(k[:n], i)
 
     def token(part: str) -> str:
         low = part.lower()
         if low in table:
             return table[low]
-        return next((v for k, v in table.items() if low.startswith(k) or k.startswith(low[:3])), part)
+        at = min([place[low[:n]] for n in range(len(low) + 1) if low[:n] in place] + [first.get(low[:3], len(locals_))])
+        return locals_[at] if at < len(locals_) else part
 
     @F.pandas_udf(T.StringType())
     def run(name: pd.Series) -> pd.Series:

@@ -154,11 +154,21 @@ def author_key(c: Column) -> Column:
     return F.translate(F.lower(c), "锺鐘 ·,-", "钟钟")
 
 
-def clean_store_summary(c: Column) -> Column:
-    """Shop text after its summary heading, up to the next heading, spaces collapsed; null if not Chinese."""
+#: Headings before and after a shop's summary of a book, in the order in which they are tried.
+SUMMARY_STARTS = ["内容简介", "内容介绍", "编辑推荐"]
+SUMMARY_STOPS = ["作者简介", "目　　录", "目录", "商品详情", "在线试读", "图书信息"]
+
+
+def clean_store_summary(*texts: Column) -> Column:
+    """The first text that is Chinese once cleaned: what follows the first start mark, in list order, that it has, up to any stop mark not at its beginning, spaces collapsed."""
+    return F.coalesce(*map(_store_summary, texts))
+
+
+def _store_summary(c: Column) -> Column:
     t = F.regexp_replace(c, "\r", "\n")
-    t = F.regexp_replace(t, r"(?s)^.*?(?:内容简介|内容介绍|编辑推荐)", "")
-    t = F.regexp_replace(t, r"(?s)(.)(?:作者简介|目　　录|目录|商品详情|在线试读|图书信息).*$", "$1")
+    t = F.regexp_replace(t, "(?s)^(?:" + "|".join(f".*?{m}" for m in SUMMARY_STARTS) + ")", "")
+    for m in SUMMARY_STOPS:
+        t = F.regexp_replace(t, f"(?s)^(?!{m})(.+?){m}.*$", "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"^\s*重磅推荐\s*", ""), r"\s+", " ")
     t = F.regexp_replace(t, r"^[ 　：:]+|[ 　：:]+$", "")
     return F.when(is_chinese_text(t), t)
@@ -236,6 +246,30 @@ def url_part(c: Column) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
 
 
+#: Fixed value: what stands in for a missing poster or cover.
+PLACEHOLDER = "/assets/poster-placeholder.svg"
+
+
+def asset_url(file: Column, *place: Column) -> Column:
+    """``/assets/{place}/.../{file}``, without the parts of the place that are null; null for a missing file."""
+    return F.when(nonblank(file).isNotNull(), F.concat(F.lit("/assets/"), F.concat_ws("/", *place, file)))
+
+
+def poster_url(file: Column, *place: Column) -> Column:
+    return F.coalesce(asset_url(file, *place), F.lit(PLACEHOLDER))
+
+
+def asset_urls(files: Column, *place: Column) -> Column:
+    """URLs of an array of files, in order; an empty array for null."""
+    return F.coalesce(F.transform(files, lambda f: asset_url(f, *place)), F.array().cast("array<string>"))
+
+
+def cover_gallery(covers: Column, id_: Column) -> Column:
+    """Array of (source, url) of a book's map of covers by source, in the map's order; empty for null."""
+    entries = F.transform(F.map_entries(covers), lambda e: F.struct(e["key"].alias("source"), asset_url(e["value"], F.lit("book"), id_).alias("url")))
+    return F.coalesce(entries, F.array().cast("array<struct<source: string, url: string>>"))
+
+
 def encyclopedia_url(title: Column, id_: Column) -> Column:
     return F.concat(F.lit("https://baike.baidu.com/item/"), url_part(nonblank(title)), F.lit("/"), url_part(nonblank(id_)))
 

@@ -122,10 +122,18 @@ OTHER_MARKS = {
 }
 
 
-def encyclopedia_candidate_score(text: Column, title: Column, author: Column, positive: dict[str, int] = BOOK_MARKS, negative: dict[str, int] = OTHER_MARKS) -> Column:
-    """Title found 30 (50 at the start), author 80, weights of the marks found."""
-    t, key, who = text_key(text), text_key(title), text_key(author)
-    score = F.when((key != "") & t.contains(key), F.when(t.startswith(key), 50).otherwise(30)).otherwise(0)
+def title_aliases(title: Column) -> list[Column]:
+    """Names under which a book may be found: its title, what follows a colon in it, the title without a volume in brackets."""
+    after = [F.when(title.contains(mark), F.regexp_extract(title, f"(?s){mark}(.*)$", 1)) for mark in ("：", ":")]
+    return [title, *after, F.regexp_replace(title, "（卷[一二三四五六七八九十]+）", "")]
+
+
+def encyclopedia_candidate_score(text: Column, title: Column, author: Column, href: Column | None = None, positive: dict[str, int] = BOOK_MARKS, negative: dict[str, int] = OTHER_MARKS) -> Column:
+    """The first alias of the title found 30 (50 at the start), author 80, weights of the marks found, 10 for a link from a disambiguation page."""
+    t, who = text_key(text), text_key(author)
+    score = F.coalesce(*[F.when((key != "") & t.contains(key), F.when(t.startswith(key), 50).otherwise(30)) for key in map(text_key, title_aliases(title))], F.lit(0))
+    if href is not None:
+        score = score + F.when(href.contains("fromModule=disambiguation"), 10).otherwise(0)
     score = score + F.when((who != "") & t.contains(who), 80).otherwise(0)
     for marks, sign in ((positive, 1), (negative, -1)):
         for mark, weight in marks.items():

@@ -12,12 +12,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.components import connected_components
 from lectern.sources.scratch import written
 
 #: English function words left out of review tokens; callers pass their own list for other languages.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "was", "on", "with", "as", "are", "be", "this", "it", "at", "by", "from", "or"]
 
 
+#: What parts tokens, and the runs that are cut into bigrams.
+SEPARATORS, CJK_RUN = r"[\s,;.\-]+", "^[一-鿿]{3,}$"
+
+
 def explode_reviews(works: DataFrame, column: str = "comments") -> DataFrame:
     """(work_id, pos, source, content) of review arrays."""
     return works.select(F.col("id").alias("work_id"), F.posexplode(column).alias("pos", "r")).select("work_id", "pos", "r.source", "r.content")
@@ -25,11 +30,11 @@ def explode_reviews(works: DataFrame, column: str = "comments") -> DataFrame:
 
 def tokenize_reviews(rows: DataFrame, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """Adds ``tokens``: lower-cased parts between spaces, line ends and ``,;.-``, with CJK runs cut into bigrams; stop words and single characters out."""
-    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s,;.\-]+")
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS)
 
     def cut(w):
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-        return F.when(w.rlike("^[一-鿿]{3,}$"), grams).otherwise(F.array(w))
+        return F.when(w.rlike(CJK_RUN), grams).otherwise(F.array(w))
 
     tokens = F.flatten(F.transform(parts, cut))
     stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
@@ -44,17 +49,25 @@ def tfidf(tokenised: DataFrame, features: int = 1000) -> tuple[DataFrame, list[s
     return Normalizer(inputCol="weights", outputCol="features").transform(weighted).drop("counts", "weights"), counts.vocabulary
 
 
-def term_weights(tokenised: DataFrame, key: str) -> DataFrame:
-    """(term, n_docs, total, weight): weight is the mean over all rows of tf * ln((N + 1) / (n_docs + 1)), three decimals."""
-    n = tokenised.agg(F.count("*").alias("n"))
-    per = tokenised.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def review_terms(rows: DataFrame, key: str, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """(key, term): the tokens of ``tokenize_reviews``, a row each. Words are filtered as rows, only CJK runs are cut."""
+    words = rows.select(key, F.explode(F.split(F.lower(text), SEPARATORS)).alias("term")).where(F.length("term") > 1)
+    grams = F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substring("term", i, F.lit(2)))
+    terms = words.select(key, F.explode(F.when(F.col("term").rlike(CJK_RUN), grams).otherwise(F.array("term"))).alias("term"))
+    return terms.where(~F.col("term").isin(stop_words)) if stop_words else terms
+
+
+def term_weights(rows: DataFrame, key: str, **options) -> DataFrame:
+    """(term, n_docs, total, weight) of review texts: weight is the mean over all rows of tf * ln((N + 1) / (n_docs + 1)), three decimals."""
+    n = rows.agg(F.count("*").alias("n"))
+    per = review_terms(rows, key, **options).groupBy(key, "term").agg(F.count("*").alias("tf"))
     g = per.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
     weight = F.col("total") * F.log((F.col("n") + 1) / (F.col("n_docs") + 1)) / F.col("n")
     return g.select("term", "n_docs", "total", F.round(weight, 3).alias("weight"))
 
 
-def top_keywords(tokenised: DataFrame, key: str, k: int = 20) -> DataFrame:
-    return term_weights(tokenised, key).orderBy(F.desc("weight"), "term").limit(k)
+def top_keywords(rows: DataFrame, key: str, k: int = 20) -> DataFrame:
+    return term_weights(rows, key).orderBy(F.desc("weight"), "term").limit(k)
 
 
 def lexicon_sentiment(rows: DataFrame, group: str, positive: list[str]) -> DataFrame:
@@ -104,14 +117,13 @@ def embedding_vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
 
 
-def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3, rounds: int = 200) -> DataFrame:
+def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3) -> DataFrame:
     """(id, cluster): density clusters of (id, v array of doubles), -1 for noise; cluster is the smallest core id.
 
     Points fall into grid cells of width eps over the first ``dims`` components.
     A pair within eps lies in neighbouring cells, so cells are joined with their
     neighbours and distances checked there; no pair farther apart in those
-    components is formed. Clusters are components of core points, by minimum
-    labels passed until none changes.
+    components is formed. Clusters are the connected components of core points.
     """
     cell = F.array(*[F.floor(F.get("v", i) / eps).cast("long") for i in range(dims)])
     base = points.select("id", "v", cell.alias("cell"))
@@ -122,13 +134,7 @@ def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3
     pairs = written(j.where(dist <= eps * eps).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
     links = written(pairs.join(core.toDF("a"), "a").join(core.toDF("b"), "b"))
-    label = core.withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
-        nxt = written(links.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("cluster")))
-        changed = nxt.join(label.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count()
-        label = nxt
-        if not changed:
-            break
+    label = core.join(connected_components(links).withColumnRenamed("component", "cluster"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
     border = pairs.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
     return points.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
 

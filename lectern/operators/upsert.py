@@ -147,8 +147,10 @@ def reclassify_plan(works: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``works`` has id and kind, ``targets`` kind, prefix and first (the number before).
     """
-    w = Window.partitionBy("kind").orderBy("id")
-    j = works.withColumn("n", F.row_number().over(w)).join(F.broadcast(targets), "kind")  # a row per kind
+    wanted = works.select("id", "kind").join(F.broadcast(targets), "kind")  # a row per kind
+    n = written(numbered(wanted, F.struct("kind", "id")))
+    before = n.groupBy("kind").agg((F.min("n") - 1).alias("before"))
+    j = n.join(F.broadcast(before), "kind").withColumn("n", F.col("n") - F.col("before"))  # a row per kind
     return j.select(F.col("id").alias("old_id"), F.concat("prefix", F.lpad((F.col("first") + F.col("n")).cast("string"), 6, "0")).alias("new_id"), "kind")
 
 

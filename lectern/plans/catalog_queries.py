@@ -100,9 +100,11 @@ def _marks_sql(marks, sign):
     return " ".join(f"{sign} CASE WHEN contains(k, '{m}') THEN {w} ELSE 0 END" for m, w in marks.items())
 
 
-@query(f"SELECT id, CASE WHEN contains(k, '网络') THEN CASE WHEN starts_with(k, '网络') THEN 50 ELSE 30 END ELSE 0 END + CASE WHEN contains(k, '张三') THEN 80 ELSE 0 END {_marks_sql(M.BOOK_MARKS, '+')} {_marks_sql(M.OTHER_MARKS, '-')} AS score FROM (SELECT id, regexp_replace(coalesce(txt, ''), '\\s+', '', 'g') AS k FROM texts)")
+@query(f"SELECT id, CASE WHEN contains(k, '网络') THEN CASE WHEN starts_with(k, '网络') THEN 50 ELSE 30 END ELSE 0 END + CASE WHEN contains(k, '张三') THEN 80 ELSE 0 END + CASE WHEN id % 4 = 1 THEN 10 ELSE 0 END {_marks_sql(M.BOOK_MARKS, '+')} {_marks_sql(M.OTHER_MARKS, '-')} AS score FROM (SELECT id, regexp_replace(coalesce(txt, ''), '\\s+', '', 'g') AS k FROM texts)")
 def encyclopedia_candidate_score(t):
-    return t.texts.select("id", M.encyclopedia_candidate_score(F.col("txt"), F.lit("网络"), F.lit("张三")).alias("score"))
+    title = F.when(F.col("id") % 2 == 0, "好书：网络").otherwise("网络（卷三）")
+    href = F.when(F.col("id") % 4 == 1, "/item/1?fromModule=disambiguation").otherwise("/item/1")
+    return t.texts.select("id", M.encyclopedia_candidate_score(F.col("txt"), title, F.lit("张三"), href).alias("score"))
 
 
 def _people(t):

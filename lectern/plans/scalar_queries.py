@@ -93,10 +93,12 @@ def clean_value(t):
     return t.titles.select("num", S.clean_value(F.when(F.col("num") % 3 == 0, "N/A").otherwise(F.concat("studio", F.lit(" ")))).alias("x"))
 
 
-@query("SELECT num, CASE WHEN num % 2 = 0 THEN '好书 ' || title END AS x FROM titles")
+@query("SELECT num, CASE num % 4 WHEN 0 THEN '好书 ' || title WHEN 2 THEN '目录 好书 ' || title WHEN 3 THEN '第二 ' || title END AS x FROM titles")
 def clean_store_summary(t):
-    shop = F.concat(F.lit("x 内容简介："), F.when(F.col("num") % 2 == 0, "好书  ").otherwise("only Latin "), "title", F.lit("\n作者简介 y"))
-    return t.titles.select("num", S.clean_store_summary(shop).alias("x"))
+    """Marks in an order that differs from the list's, a stop mark at the beginning, a second text."""
+    n = F.col("num") % 4
+    shop = F.concat(F.lit("x 编辑推荐：别的 内容简介"), F.when(n == 0, "：好书  ").when(n == 2, "目录 好书  ").otherwise("：only Latin "), "title", F.lit("\n作者简介 y"))
+    return t.titles.select("num", S.clean_store_summary(shop, F.when(n == 3, F.concat(F.lit("重磅推荐 第二\r"), "title"))).alias("x"))
 
 
 @query("SELECT num, num % 2 = 0 AS x FROM titles")
@@ -120,10 +122,14 @@ def content_hash(t):
     return t.reviews.select("id", S.content_hash(F.col("text")).alias("x"))
 
 
-@query("SELECT id, CASE WHEN trim(poster) <> '' THEN '/assets/' || module || '/' || id || '/' || poster END AS x FROM works")
+@query("SELECT id, CASE WHEN trim(poster) <> '' THEN '/assets/' || concat_ws('/', module, submodule, id, poster) ELSE '/assets/poster-placeholder.svg' END AS poster, CASE WHEN num % 3 = 0 THEN '' ELSE '/assets/' || concat_ws('/', module, submodule, id, 'a.jpg') || ' /assets/' || concat_ws('/', module, submodule, id, title) END AS stills, CASE WHEN num % 5 = 0 THEN '' ELSE 'shop=/assets/book/' || id || '/' || title || '.png' END AS covers FROM works")
 def asset_urls(t):
-    url = F.concat(F.lit("/assets/"), F.col("module"), F.lit("/"), F.col("id"), F.lit("/"), S.nonblank(F.col("poster")))
-    return t.works.select("id", url.alias("x"))
+    n, place = F.col("num"), [F.col(c) for c in ("module", "submodule", "id")]
+    stills = S.asset_urls(F.when(n % 3 > 0, F.array(F.lit("a.jpg"), F.col("title"))), *place)
+    covers = S.cover_gallery(F.when(n % 5 > 0, F.create_map(F.lit("shop"), F.concat("title", F.lit(".png")))), F.col("id"))
+    return t.works.select(
+        "id", S.poster_url(F.col("poster"), *place).alias("poster"), F.array_join(stills, " ").alias("stills"), F.array_join(F.transform(covers, lambda x: F.concat(x["source"], F.lit("="), x["url"])), " ").alias("covers")
+    )
 
 
 @query("SELECT id, CASE WHEN num % 2 = 0 THEN studio ELSE title END AS x FROM titles")
@@ -165,8 +171,8 @@ def read_labelled_reviews(t):
     return IO.read_labelled_reviews(t.spark, folder)
 
 
-@query("SELECT id, title FROM titles WHERE num % 5 < 3")
+@query("SELECT id, title FROM titles")
 def restore_tables(t):
-    folder, table = _folder(t), {"titles": t.titles.where("num % 5 < 3").select("id", "title")}
+    folder, table = _folder(t), {"titles": t.titles.select("id", "title")}
     IO.snapshot_tables(table, folder)
     return IO.restore_tables(t.spark, folder, table)["titles"]

@@ -129,6 +129,19 @@ def keep_first_dedupe(t):
     return G.keep_first(t.work_person.where("character is not null"), ["work_id", "character"], "order", "id").select("work_id", "character", "id")
 
 
+@query("SELECT id::VARCHAR AS item_id, source, coalesce(try_cast(payload AS JSON) IS NOT NULL AND trim(payload) <> '', false) AS valid FROM payloads")
+def read_raw_snapshots(t):
+    path = F.concat(F.lit("file:/raw/"), F.col("id").cast("string"), F.lit("/"), "source", F.lit(".json"))
+    return IO.raw_snapshots(t.payloads.select(path.alias("path"), F.col("payload").alias("value"))).select("item_id", "source", "valid")
+
+
+@query("SELECT id, '{\"id\":\"' || id || '\",\"title\":\"' || title || '\"}' AS payload FROM titles WHERE num % 4 <> 1")
+def read_staging(t):
+    inner = F.when(F.col("num") % 4 == 1, "other").otherwise(F.col("id"))
+    rows = t.titles.select(F.concat(F.lit("file:/staging/"), "id", F.lit(".json")).alias("path"), F.to_json(F.struct(inner.alias("id"), "title")).alias("value"))
+    return IO.staged_items(rows)
+
+
 # pages
 
 
@@ -225,12 +238,12 @@ def tokenize_reviews(t):
 
 @query("SELECT term, n_docs, total FROM tw", TOKENS)
 def tfidf(t):
-    return V.term_weights(V.tokenize_reviews(t.reviews), "id").drop("weight")
+    return V.term_weights(t.reviews, "id").drop("weight")
 
 
 @query("SELECT term, n_docs, total, weight FROM tw ORDER BY weight DESC, term LIMIT 20", TOKENS)
 def top_keywords(t):
-    return V.top_keywords(V.tokenize_reviews(t.reviews), "id")
+    return V.top_keywords(t.reviews, "id")
 
 
 @query("SELECT source, count(*) AS n, round(avg(h), 3) AS positive, round(1 - avg(h), 3) AS negative FROM (SELECT source, CASE WHEN regexp_matches(lower(text), '\\b(?:was|heed|ores)\\b') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h FROM reviews) GROUP BY source")
@@ -258,13 +271,13 @@ def tfidf_vectors(t):
 
 @query()
 def kmeans_topics(t):
-    rows, _ = V.kmeans_topics(V.embedding_vectors(t.embeddings).persist(), 5)
+    rows, _ = V.kmeans_topics(V.embedding_vectors(t.embeddings), 5)
     return rows.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query()
 def elbow_k(t):
-    return V.elbow_k(V.embedding_vectors(t.embeddings).persist(), 6)
+    return V.elbow_k(V.embedding_vectors(t.embeddings), 6)
 
 
 @query()

@@ -31,16 +31,25 @@ def parse_json_columns(df: DataFrame, columns: dict[str, tuple[str, Column]]) ->
 def read_raw_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """``folder/{id}/{source}.json`` -> (item_id, source, payload, valid); unreadable files stay as rows with valid false."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return rows.select(
-        F.regexp_extract(path, r"/([^/]+)/[^/]+\.json$", 1).alias("item_id"), F.regexp_extract(path, r"/([^/]+)\.json$", 1).alias("source"), F.col("value").alias("payload")
+    return raw_snapshots(rows.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def raw_snapshots(files: DataFrame) -> DataFrame:
+    """(path, value) of files as ``read_raw_snapshots`` gives them."""
+    return files.select(
+        F.regexp_extract("path", r"/([^/]+)/[^/]+\.json$", 1).alias("item_id"), F.regexp_extract("path", r"/([^/]+)\.json$", 1).alias("source"), F.col("value").alias("payload")
     ).withColumn("valid", F.coalesce(F.try_parse_json("payload").isNotNull() & (F.trim("payload") != ""), F.lit(False)))
 
 
 def read_staging(spark: SparkSession, folder: str, id_key: str = "id") -> DataFrame:
     """``folder/{id}.json`` -> (id, payload) of the files whose inner id is the file's."""
     rows = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    out = rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.json$", 1).alias("id"), F.col("value").alias("payload"))
+    return staged_items(rows.select(F.col("_metadata.file_path").alias("path"), "value"), id_key)
+
+
+def staged_items(files: DataFrame, id_key: str = "id") -> DataFrame:
+    """(path, value) of files as ``read_staging`` gives them."""
+    out = files.select(F.regexp_extract("path", r"/([^/]+)\.json$", 1).alias("id"), F.col("value").alias("payload"))
     return out.where(F.get_json_object("payload", f"$.{id_key}") == F.col("id"))
 
 

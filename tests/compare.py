@@ -22,10 +22,12 @@ def rows(frame):
 
 def numbers_alike(frame):
     """Whole floats (integers with nulls) read as integers on both sides."""
+    import pandas as pd
+
     out = frame.copy()
     for c in out.columns:
         if out[c].dtype.kind == "f" and (out[c].dropna() % 1 == 0).all():
             out[c] = out[c].map(lambda v: None if v != v else int(v)).astype(object)
         elif out[c].dtype.kind in "iu":
-            out[c] = out[c].map(int).astype(object)
+            out[c] = pd.Series([None if pd.isna(v) else int(v) for v in out[c]], index=out.index, dtype=object)
     return out
