@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.scratch import drop_written, scratch_folder, written
+
 #: Keys that a memo holds, if it is not told otherwise.
 MEMO_KEYS = 150_000
 
@@ -28,38 +28,8 @@ _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
 
 
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own_roots:
-            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="spark-lectern-")
-        root = _own_roots[app]
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/lectern-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Tables in the folder that the cluster shares.
+scratch_path, materialise, drop_table = scratch_folder, written, drop_written
 
 
 def text_rows(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
