@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More sources than this are joined to the documents instead of being part of the expression.
-MAX_LITERAL_SOURCES = 4096
+from lectern.llm.common import materialise
+
 #: Rates above this are the sum of several draws of equal means, so the inversion sums few terms.
 MAX_POISSON_MEAN = 16
 
@@ -67,47 +67,47 @@ def target_rates(counts: DataFrame, targets: dict[str, float] | None = None, tem
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7) -> DataFrame:
     """Rows of ``docs`` repeated to the target mix, in a global random order; plus __copy (from 0), __rate and __order.
 
-    Rates come from counts over all rows. Their table has a row per source: up
-    to MAX_LITERAL_SOURCES it enters the expression, a larger one is joined.
-    A null doc_id is hashed as an empty one; rows that repeat a doc_id are
-    repeated alike. __order is a hash of seed, doc_id and copy, and the result
-    is range-partitioned and sorted by it. An empty table gives an empty one.
+    Rates come from counts over all rows. They are a table with a row per source
+    that is written and joined: its size is known, so Spark broadcasts a small
+    one and shuffles a large one. A null doc_id is hashed as an empty one; rows
+    that repeat a doc_id are repeated alike. __order is a hash of seed, doc_id
+    and copy, and the result is range-partitioned and sorted by it. A caller's
+    columns of these three names are replaced, all others stay as they are,
+    whatever their names. An empty table gives an empty one.
     """
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
-    rates = target_rates(counts, targets, temperature)
-    known = rates.limit(MAX_LITERAL_SOURCES + 1).collect()
-    if len(known) <= MAX_LITERAL_SOURCES:
-        named = [x for r in known if r.source is not None and r.rate is not None for x in (F.lit(r.source), F.lit(r.rate))]
-        nulls = next((r.rate for r in known if r.source is None), 0.0)
-        rate = F.when(F.col("source").isNull(), F.lit(nulls))
-        if named:
-            rate = rate.otherwise(F.element_at(F.create_map(*named), F.col("source")))
-        rated = docs.withColumn("__rate", F.coalesce(rate, F.lit(0.0)))
-    else:
-        r = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-        rated = docs.join(r, docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    rates = materialise(target_rates(counts, targets, temperature), "rates").withColumnRenamed("source", "of")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    k = poisson_count(F.col("__rate"), F.lit(seed), key)
-    copies = rated.withColumn("__k", k.cast("int")).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    keyed = copies.drop("__k").withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("__copy").cast("string")).cast("binary")))
-    return keyed.repartitionByRange(F.col("__order"), F.col("doc_id"), F.col("__copy")).sortWithinPartitions("__order", "doc_id", "__copy")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", F.col("doc_id").alias("id"), key.alias("key"))
+    rated = rows.join(rates, F.col("source").eqNullSafe(F.col("of")))
+    counted = rated.withColumn("k", poisson_count(F.coalesce("rate", F.lit(0.0)), F.lit(seed), F.col("key")).cast("int")).where("k > 0")
+    copies = counted.select("row", "rate", "id", "key", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
+    keyed = copies.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), "key", F.col("copy").cast("string")).cast("binary")))
+    mixed = keyed.repartitionByRange("order", "id", "copy").sortWithinPartitions("order", "id", "copy")
+    own = {"copy": "__copy", "rate": "__rate", "order": "__order"}
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in own.values()], *[F.col(c).alias(name) for c, name in own.items()])
 
 
-#: The result of the query as DuckDB SQL; means up to 16 only, as the data's are.
+#: The result of the query as DuckDB SQL.
 SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 weighed AS (SELECT source, n, sqrt(n::DOUBLE) AS w FROM counts),
-rates AS (SELECT source, w / sum(w) OVER () * sum(n) OVER () / n AS rate FROM weighed),
-terms AS (
-  SELECT source, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1.0) AS p FROM rates, range(0, 60) t(k)),
-cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+shares AS (SELECT source, w / sum(w) OVER () * sum(n) OVER () / n AS rate FROM weighed),
+rates AS (SELECT source, greatest(ceil(rate / 16), 1)::BIGINT AS draws, rate / greatest(ceil(rate / 16), 1) AS mean FROM shares),
+terms AS (SELECT source, k, exp(-mean) * pow(mean, k) / gamma(k + 1.0) AS p FROM rates, range(0, 105) t(k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+asked AS (
+  SELECT d.doc_id, d.source, unnest(range(r.draws)) AS i FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 drawn AS (
-  SELECT doc_id, source, (('0x' || substr(md5('7:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
-  FROM documents),
+  SELECT doc_id, source, i,
+    (('0x' || substr(md5('7:' || doc_id || CASE WHEN i > 0 THEN ':draw:' || i ELSE '' END), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM asked),
 times AS (
-  SELECT d.doc_id, d.source, min(c.k) AS k
-  FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c >= d.u
-  GROUP BY d.doc_id, d.source)
+  SELECT doc_id, source, sum(k)::BIGINT AS k FROM (
+    SELECT d.doc_id, d.source, d.i, min(c.k) AS k
+    FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c >= d.u
+    GROUP BY d.doc_id, d.source, d.i)
+  GROUP BY doc_id, source)
 SELECT doc_id, source, copy::INTEGER AS copy, md5('7:' || doc_id || ':' || copy) AS shuffle_key
-FROM times, range(0, 60) t(copy) WHERE copy < k
+FROM (SELECT doc_id, source, unnest(range(k)) AS copy FROM times)
 """

@@ -62,11 +62,25 @@ def test_mix_query_shuffles_whole_documents(spark, sf, documents):
     assert keys == sorted(keys)
 
 
-def test_mix_joins_many_sources_alike(spark, monkeypatch, odd_documents):
-    want = sorted(map(str, mix.mix_sources(odd_documents).collect()))
-    monkeypatch.setattr(mix, "MAX_LITERAL_SOURCES", 1)
-    assert sorted(map(str, mix.mix_sources(odd_documents).collect())) == want
-    assert mix.mix_sources(odd_documents).columns[: len(odd_documents.columns)] == odd_documents.columns
+def test_mix_keeps_a_caller_s_columns(spark, odd_documents):
+    names = {c: F.lit(f"mine {c}") for c in ("k", "key", "id", "of", "order", "copy", "row", "rate", "__k", "__rate", "__copy", "__order")}
+    clashing = odd_documents.withColumns(names)
+    out = mix.mix_sources(clashing)
+    assert set(out.columns) == set(clashing.columns)
+    plain = {(r.doc_id, r["__copy"], r["__order"]) for r in mix.mix_sources(odd_documents).collect()}
+    rows = out.collect()
+    assert {(r.doc_id, r["__copy"], r["__order"]) for r in rows} == plain and all(r["__k"] == "mine __k" and r["order"] == "mine order" for r in rows)
+
+
+def test_mix_sql_follows_high_rates(spark):
+    import duckdb
+
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 9, "rare").when(F.col("id") % 50 == 0, None).otherwise("hot").alias("source"))
+    out = mix.mix_sources(df)
+    c = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    want = Counter((d, n) for d, _, n, _ in c.execute(mix.SQL).fetchall())
+    assert out.where("__rate > 16").count() > 0 and Counter((r.doc_id, r["__copy"]) for r in out.select("doc_id", "__copy").collect()) == want
 
 
 def test_language_of_held_out_documents(spark, odd_documents, no_documents):
