@@ -20,34 +20,47 @@ def linked_components(lists: DataFrame, bound: Callable[[str, str], Column], ver
 
     First every member is tried with its list's hub, the member of lowest rank;
     that is linear. Pairs that are in one component by then cannot change the
-    result, so only pairs of different components that meet the bound are tried
-    in the second step: no link between components is lost.
+    result, so from then on only lists of several components count. While their
+    pairs are many and become fewer, another hub is tried, one outside the
+    list's largest component. At last all pairs of different components that
+    meet the bound are tried: no link between components is lost.
     """
-    hubs = lists.groupBy("g").agg(F.min(F.struct("rank", "id", *[c for c in lists.columns if c not in ("g", "id", "rank")])).alias("h"))
-    hubs = hubs.select("g", "h.*")
-    star = (
-        lists.alias("y")
-        .join(hubs.alias("x"), F.col("x.g") == F.col("y.g"))
-        .where((F.col("x.id") != F.col("y.id")) & bound("x", "y"))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    tried = materialise(star, "star")
-    first = materialise(verify(tried), "links")
-    comp = materialise(connected_components(first), "comp")
-    named = lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("g")
-    left = materialise(named.join(mixed, "g"), "mixed")
-    rest = (
-        left.alias("x")
-        .join(left.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.component") < F.col("y.component")) & bound("x", "y"))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    rest = materialise(rest, "rest")
-    second = materialise(verify(rest), "links")
-    out = connected_components(first.union(second))
-    for done in (tried, first, comp, left, rest, second):
-        drop_table(done)
+    rest = [c for c in lists.columns if c not in ("g", "id", "rank")]
+    first = F.min(F.struct("rank", "id", *rest))
+
+    def star(members: DataFrame, hubs: DataFrame) -> DataFrame:
+        pairs = members.alias("y").join(hubs.alias("x"), F.col("x.g") == F.col("y.g")).where((F.col("x.id") != F.col("y.id")) & bound("x", "y"))
+        if "component" in members.columns:
+            pairs = pairs.where("x.component <> y.component")
+        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+    tried = materialise(star(lists, lists.groupBy("g").agg(first.alias("h")).select("g", "h.*")), "star")
+    links = materialise(verify(tried), "links")
+    done, last = [tried, links], None
+    while True:
+        comp = materialise(connected_components(links), "comp")
+        named = lists.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = named.groupBy("g", "component").agg(F.count("*").alias("c"))
+        mixed = sizes.groupBy("g").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "component")).alias("most")).where("m * m > sq")
+        left = materialise(named.join(mixed.select("g", "m", "sq", F.col("most.component").alias("largest")), "g"), "mixed")
+        done += [comp, left]
+        rows, pairs = left.agg(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2)).first()
+        end = pairs is None or pairs <= 4 * rows or (last is not None and pairs > 0.75 * last)
+        last = pairs
+        members = left.select(*lists.columns, "component")
+        if end:
+            both = members.alias("x").join(members.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.component") < F.col("y.component")) & bound("x", "y"))
+            pairs = both.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        else:
+            hubs = left.where("component <> largest").groupBy("g").agg(F.min(F.struct("rank", "id", *rest, "component")).alias("h")).select("g", "h.*")
+            pairs = star(members, hubs)
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "star")
+        more = materialise(verify(pairs), "links")
+        done += [pairs, more]
+        tried, links = tried.union(pairs), links.union(more)
+        if end:
+            break
+    out = connected_components(links)
+    for table in done:
+        drop_table(table)
     return out

@@ -10,7 +10,7 @@ import pytest
 
 from lectern.llm import line_dedup, ngram_join, substring
 from lectern.llm.components import connected_components
-from lectern.llm.line_dedup import edit_distance, edit_similar, normalised_lines, words_apart
+from lectern.llm.line_dedup import edit_distance, edit_similar, normalised_lines, words_bound
 
 
 class Sets:
@@ -240,7 +240,11 @@ def test_edit_similarity():
         most = int(max(len(a), len(b)) * 0.2 + 1e-9)
         assert not b or edit_distance(a, b) == plain_distance(a, b)
         assert edit_similar(a, b) == (plain_distance(a, b) <= most)
-    assert words_apart(["a", "b"], ["b", "c"], 2) == 2 and words_apart(["a", "b"], ["b", "c"], 1) is None
+        bound = words_bound(a.split(" "), b.split(" "), 20)
+        assert bound is None or bound >= plain_distance(a, b)
+        for most in (1, 3, 9):
+            assert not b or edit_distance(a * 5, b * 5, most) == (plain_distance(a * 5, b * 5) if plain_distance(a * 5, b * 5) <= most else None)
+    assert words_bound(["a", "b"], ["b", "c"], 2) == 4 and words_bound(["a", "b"], ["b", "c"], 1) is None and words_bound("one two six".split(), "one ten six".split(), 2) == 4
 
 
 def brute_cut(rows, k=35):
