@@ -5,9 +5,8 @@ as Parquet and read again as the docs of the next. All but the last return the
 columns of ``documents``; n_chars follows the text.
 
 A null, empty or letterless text goes in the first stage. Every row is a document
-of its own there and in line dedup, where rows equal in doc_id and text are one;
-of rows that repeat a doc_id near-duplicate removal keeps all or none. Rows with a
-null doc_id pass both unchanged. Null lang and source are values of their own.
+of its own; in both deduplications rows equal in doc_id and text are one. Rows with a
+null doc_id pass these unchanged. Null lang and source are values of their own.
 Texts of any length are taken whole, extra columns stay up to the last stage, and
 an empty table goes through all stages empty.
 """
