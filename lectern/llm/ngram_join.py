@@ -59,7 +59,7 @@ def overlap_needed(t_num: int, t_den: int, n: int, m: int) -> int:
 
 
 def _survey(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("n", pa.int64()), ("fp", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         only("words")
@@ -67,15 +67,15 @@ def _survey(k: int):
         some = False
         for b in portions(batches, size=8 << 20):
             held = [shingles(text, k) for text in b.column("text").to_pylist()]
-            ids, ns, fps = b.column("doc_id").to_pylist(), list(map(len, held)), [xxhash.xxh3_128_digest(s.tobytes()) for s in held]
+            ids, ts, ns, fps = b.column("doc_id").to_pylist(), b.column("t").to_pylist(), list(map(len, held)), [xxhash.xxh3_128_digest(s.tobytes()) for s in held]
             sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             some = True
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ns, fps, none, none), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ts, ns, fps, none, none), schema)], schema=schema)
         if some:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
             none = [None] * SLICES
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, list(range(SLICES)), parts), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, none, list(range(SLICES)), parts), schema)], schema=schema)
 
     return run
 
@@ -169,7 +169,7 @@ def accumulated(pairs: DataFrame, sets: DataFrame, t_num: int, t_den: int) -> Da
     return so_far.select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id long, text string).
 
     Documents link when ``t_den * |A & B| >= t_num * |A | B|`` over their sets of
@@ -178,10 +178,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int
     has a null component_id and links with nothing. Rows that repeat a doc_id are
     judged each by its own text. Equal sets are one class with its smallest doc_id
     as representative, so copies are never paired. Other columns are not read.
+    ``options``: k, and t_num and t_den of the bound.
     """
+    return _components(docs, **options).drop("t")
+
+
+def _components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int = 100) -> DataFrame:
+    """As ``jaccard_components``, with ``t``, a hash of the text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     rows = text_rows(docs)
-    survey = materialise(rows.mapInArrow(_survey(k), "doc_id long, n long, fp binary, slice int, counts binary"), "survey")
+    survey = materialise(rows.withColumn("t", F.hash("text")).mapInArrow(_survey(k), "doc_id long, t int, n long, fp binary, slice int, counts binary"), "survey")
     merged = (
         survey.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_merge_slices, "slice int, counts binary")
     )
@@ -190,7 +196,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int
         counts = np.zeros(1 << SKETCH_BITS, np.uint64)
     levels = np.unique(counts, return_inverse=True)[1].astype(np.uint32)
     rank_of = spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
-    sets = survey.where("slice is null").select("doc_id", "n", "fp")
+    sets = survey.where("slice is null").select("doc_id", "t", "n", "fp")
     classes = materialise(
         sets.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.xxhash64("fp")),
         "classes",
@@ -222,6 +228,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int
         sets.join(alone.join(named, "fp", "left"), "fp", "left")
         .select(
             "doc_id",
+            "t",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("c", "first")).alias("component_id"),
         )
@@ -229,6 +236,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, t_num: int = 80, t_den: int
 
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that are not their component's smallest doc_id."""
-    gone = jaccard_components(docs, **options).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, without those that are not their component's smallest doc_id.
+
+    Rows that repeat a doc_id go or stay each by its own text.
+    """
+    gone = _components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.hash(F.col("text").cast("binary")).alias("__key"))
+    left = rows.join(gone, (F.col("row.doc_id") == F.col("__id")) & (F.col("__key") == F.col("__t")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -89,6 +89,13 @@ def test_overlaps_are_summed_over_blocks_of_columns(spark, monkeypatch):
         assert {tuple(x) for x in ngram_join.accumulated(*frames, 80, 100).collect()} == want and want
 
 
+def test_rows_of_one_doc_id_go_each_by_its_own_text(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a, "p"), (5, a, "q"), (5, b, "r"), (5, b, "r"), (None, a, "s"), (7, None, "t")]
+    left = ngram_join.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string, t string"))
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([rows[i] for i in (0, 2, 3, 4, 5)], "doc_id long, text string, t string").collect()))
+
+
 def test_ngram_odd_and_no_documents(odd_documents, no_documents):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd_documents).collect()]
     assert len(got) == odd_documents.count()
