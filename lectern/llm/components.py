@@ -45,7 +45,11 @@ def linked_components(lists: DataFrame, bound: Callable[[str, str], Column], ver
         left = materialise(named.join(mixed.select("g", "m", "sq", F.col("most.component").alias("largest")), "g"), "mixed")
         done += [comp, left]
         rows, pairs = left.agg(F.count("*"), F.sum((F.col("m") * F.col("m") - F.col("sq")) / F.col("m") / 2)).first()
-        end = pairs is None or pairs <= 4 * rows or (last is not None and pairs > 0.75 * last)
+        if not rows:
+            done.remove(comp)
+            out = comp
+            break
+        end = pairs <= 4 * rows or (last is not None and pairs > 0.75 * last)
         last = pairs
         members = left.select(*lists.columns, "component")
         if end:
@@ -59,8 +63,8 @@ def linked_components(lists: DataFrame, bound: Callable[[str, str], Column], ver
         done += [pairs, more]
         tried, links = tried.union(pairs), links.union(more)
         if end:
+            out = connected_components(links)
             break
-    out = connected_components(links)
     for table in done:
         drop_table(table)
     return out
