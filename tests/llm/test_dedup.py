@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from lectern.llm import line_dedup, ngram_join, substring
 from lectern.llm.components import connected_components
@@ -145,6 +146,25 @@ def test_repeated_lines_equal_brute_force(spark, documents, which, monkeypatch):
     assert got == brute_lines(rows) and got
 
 
+@pytest.mark.parametrize("segment", [1 << 20, 64])
+def test_lines_taken_apart_at_once_are_those_of_each_text(monkeypatch, segment):
+    whole = line_dedup.Lines([b"these words span several segments of the text " * 9])
+    monkeypatch.setattr(line_dedup, "_SEGMENT", segment)
+    monkeypatch.setattr(line_dedup, "_held", {})
+    assert line_dedup.Lines([b"these words span several segments of the text " * 9]).words.tolist() == whole.words.tolist()
+    r = random.Random(12)
+    parts = ["a", "Bc", "été", "ÀÉ", "İ", "\u0130x", "--", "...", " ", "\t", "\n", "\n\n", "\r\n", "\x00", "\x85", "日本", "x" * 300, "9,5"]
+    for n in (0, 1, 3, 40):
+        texts = [None if r.random() < 0.1 else "".join(r.choice(parts) for _ in range(r.randint(0, 30))).encode() for _ in range(n)] + [b"", b"\xff\xfe ok", None]
+        got = line_dedup.Lines(texts)
+        want = [(i, no, b" ".join(w)) for i, t in enumerate(texts) for no, w in enumerate(normalised_lines(t)) if w]
+        assert [(int(t), int(no), got[i]) for i, (t, no) in enumerate(zip(got.text, got.no))] == want
+        assert got.chars.tolist() == [len(x.decode("utf-8", "replace")) for _, _, x in want] and got.sizes.tolist() == [len(x.split()) for _, _, x in want]
+        assert got.keys().view(np.uint64).tolist() == [xxhash.xxh64_intdigest(x) for _, _, x in want]
+        words = [w for _, _, x in want for w in x.split()]
+        assert len({(w, int(h)) for w, h in zip(words, got.words)}) == len(set(words)) == len(set(got.words.tolist()))
+
+
 def test_fingerprints_of_many_lines_are_those_of_each(monkeypatch):
     r = random.Random(2)
     lines = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([1, 2, 9, 400]))).encode() for _ in range(60)]
