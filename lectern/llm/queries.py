@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, langid, line_dedup, mix, ngram_join, quality, substring, token_store, topk, toxicity
+from lectern.llm import bpe, importance, langid, line_dedup, mix, ngram_join, prefix_trie, quality, substring, token_store, topk, toxicity
 from lectern.llm.common import materialise, scratch_path
 
 
@@ -73,9 +73,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie_nodes(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (
+    op1_mix_sources, op2_line_dedup, op3_ngram_jaccard, op4_token_store, op5_language_id, op6_bpe, op7_substring_dedup, op8_exact_topk,
+    op9_quality_rules, op10_toxicity, op11_importance_resampling, op12_prefix_trie,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_ngram_jaccard, op4_token_store, op5_language_id, op6_bpe, op7_substring_dedup, op8_exact_topk, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mix.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_topk": topk.SQL}
+    return {"op1_mix_sources": mix.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_topk": topk.SQL, "op11_importance_resampling": importance.SQL, "op12_prefix_trie": prefix_trie.SQL}
