@@ -14,7 +14,6 @@ groups of neighbouring shards by the same steps, and again, until one group is l
 from __future__ import annotations
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +134,7 @@ def _keys(turns: np.ndarray) -> list[str]:
     return out
 
 
-def aggregate(rows: Rows, shared: np.ndarray, whole: bool, shard: int):
+def aggregate(rows: Rows, shared: np.ndarray, whole: bool):
     """(nodes, bounds, edge, keys): columns of the nodes that are complete, two rows of partial sums for those that may go on elsewhere.
 
     ``edge`` has for each row the depth down to which it lies on the first or last row's path; with ``whole`` nothing goes on.
@@ -250,7 +249,7 @@ def _shard(batches):
     del t, path
     rows = Rows(turns[take], length, {"count": np.ones(n, np.int64), "least": np.repeat(conv_id, length + 1), "kids": zero, "leaves": zero, "saved": zero, "words": of_words})
     shared, shard = shared_turns(rows), TaskContext.get().partitionId()
-    nodes, bounds, edge, keys = aggregate(rows, shared, False, shard)
+    nodes, bounds, edge, keys = aggregate(rows, shared, False)
     # rows that end at a node are the first of its rows, in order of conv_id
     run = np.concatenate([np.flatnonzero((shared < length) | np.concatenate([[True], length[1:] != length[:-1]])), [len(length)]])
     stop = np.zeros(len(length), np.int64)
@@ -268,21 +267,24 @@ def _shard(batches):
             yield _batch("ends", shard, {"key": [key], "part": [k], "path": [text.encode()]}, 1)
 
 
-def _combine(whole: bool, table: pa.Table) -> pa.Table:
-    """The bounds of neighbouring shards, as rows in their order, to nodes and the bounds of the group."""
-    table = table.sort_by([("shard", "ascending"), ("side", "ascending")])
-    numbers = lambda c: [np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]
-    path = [x.reshape(-1, 2) for x in numbers("path")]
-    length = np.array([len(x) for x in path], np.int64)
-    rows = Rows(np.concatenate(path), length, {c: np.concatenate(numbers(c)) for c in BLOBS[1:]})
-    shard = int(table.column("shard")[0].as_py()) // GROUP
-    nodes, bounds, _, _ = aggregate(rows, shared_turns(rows), whole, shard)
-    of = {r: _keys(path[r]) for r in set(nodes["row"].tolist())}
-    keys = [of[r][d] for r, d in zip(nodes["row"].tolist(), nodes["depth"].tolist())]
-    out = [_node_batch(shard, nodes, [None] * len(keys), keys)]
-    if bounds:
-        out.append(_batch("bound", shard, {c: [b[c] for b in bounds] for c in bounds[0]}, len(bounds)))
-    return pa.Table.from_batches(out)
+def _combine(whole: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """The bounds of neighbouring shards, as rows in their order, to nodes and the bounds of the group."""
+        t = table.sort_by([("shard", "ascending"), ("side", "ascending")])
+        numbers = lambda c: [np.frombuffer(x, np.int64) for x in t.column(c).to_pylist()]
+        path = [x.reshape(-1, 2) for x in numbers("path")]
+        length = np.array([len(x) for x in path], np.int64)
+        rows = Rows(np.concatenate(path), length, {c: np.concatenate(numbers(c)) for c in BLOBS[1:]})
+        shard = int(t.column("shard")[0].as_py()) // GROUP
+        nodes, bounds, _, _ = aggregate(rows, shared_turns(rows), whole)
+        of = {r: _keys(path[r]) for r in set(nodes["row"].tolist())}
+        keys = [of[r][d] for r, d in zip(nodes["row"].tolist(), nodes["depth"].tolist())]
+        out = [_node_batch(shard, nodes, [None] * len(keys), keys)]
+        if bounds:
+            out.append(_batch("bound", shard, {c: [b[c] for b in bounds] for c in bounds[0]}, len(bounds)))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 def _joined(batches):
@@ -327,7 +329,7 @@ def trie_nodes(conversations: DataFrame) -> DataFrame:
     while not last:
         last = bounds.select(F.max("shard")).first()[0] < GROUP
         group = F.floor(F.col("shard") / GROUP).alias("g")
-        level = materialise(bounds.groupBy(group).applyInArrow(partial(_combine, last), ROW), "trie")
+        level = materialise(bounds.groupBy(group).applyInArrow(_combine(last), ROW), "trie")
         depth += 1
         upper = upper.unionByName(level.where("kind = 'node'").withColumn("level", F.lit(depth)))
         bounds = level.where("kind = 'bound'")

@@ -13,7 +13,7 @@ from tests.llm.test_dedup import brute_components, brute_lines
 
 
 def test_names():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
 
 
@@ -21,7 +21,7 @@ def test_oracle_sql(spark, sf):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in Q.oracle_sql().items():
         assert rows(numbers_alike(Q.queries()[name](spark, sf).toPandas())) == rows(numbers_alike(c.execute(sql).df())), name
