@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, importance, langid, line_dedup, mix, ngram_join, prefix_trie, quality, substring, token_store, topk, toxicity
+from lectern.llm import bpe, importance, langid, line_dedup, mix, ngram_join, prefix_trie, quality, substring, suffix_dedup, token_store, topk, toxicity
 from lectern.llm.common import materialise, scratch_path
 
 
@@ -81,9 +81,13 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.trie_nodes(_table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.remove_spans(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = (
     op1_mix_sources, op2_line_dedup, op3_ngram_jaccard, op4_token_store, op5_language_id, op6_bpe, op7_substring_dedup, op8_exact_topk,
-    op9_quality_rules, op10_toxicity, op11_importance_resampling, op12_prefix_trie,
+    op9_quality_rules, op10_toxicity, op11_importance_resampling, op12_prefix_trie, op13_suffix_dedup,
 )
 
 
@@ -92,4 +96,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mix.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_topk": topk.SQL, "op11_importance_resampling": importance.SQL, "op12_prefix_trie": prefix_trie.SQL}
+    return {"op1_mix_sources": mix.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_topk": topk.SQL, "op11_importance_resampling": importance.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_suffix_dedup": suffix_dedup.SQL}
