@@ -14,6 +14,7 @@ groups of neighbouring shards by the same steps, and again, until one group is l
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +224,7 @@ def _digest(ids: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
 
 
-def _shard(batches):
+def _shard(piece_ids: int, batches):
     """Nodes, bounds and open lists of the rows of one range shard."""
     from pyspark import TaskContext
 
@@ -262,12 +263,12 @@ def _shard(batches):
     first = np.minimum.accumulate(np.concatenate([length[:1], shared[1:]]))
     for r in run[:-1][edge[run[:-1]] == length[run[:-1]]].tolist():
         key = keys[0 if first[r] == length[r] else 1][int(length[r])]
-        for k, a in enumerate(range(r, int(stop[r]), PIECE_IDS)):
-            text = ",".join(map(str, conv_id[a : min(a + PIECE_IDS, int(stop[r]))].tolist()))
+        for k, a in enumerate(range(r, int(stop[r]), piece_ids)):
+            text = ",".join(map(str, conv_id[a : min(a + piece_ids, int(stop[r]))].tolist()))
             yield _batch("ends", shard, {"key": [key], "part": [k], "path": [text.encode()]}, 1)
 
 
-def _combine(whole: bool):
+def _combine(whole: bool, fan: int):
     def run(table: pa.Table) -> pa.Table:
         """The bounds of neighbouring shards, as rows in their order, to nodes and the bounds of the group."""
         t = table.sort_by([("shard", "ascending"), ("side", "ascending")])
@@ -275,7 +276,7 @@ def _combine(whole: bool):
         path = [x.reshape(-1, 2) for x in numbers("path")]
         length = np.array([len(x) for x in path], np.int64)
         rows = Rows(np.concatenate(path), length, {c: np.concatenate(numbers(c)) for c in BLOBS[1:]})
-        shard = int(t.column("shard")[0].as_py()) // GROUP
+        shard = int(t.column("shard")[0].as_py()) // fan
         nodes, bounds, _, _ = aggregate(rows, shared_turns(rows), whole)
         of = {r: _keys(path[r]) for r in set(nodes["row"].tolist())}
         keys = [of[r][d] for r, d in zip(nodes["row"].tolist(), nodes["depth"].tolist())]
@@ -322,14 +323,14 @@ def trie_nodes(conversations: DataFrame) -> DataFrame:
     n, turns = paths.agg(F.count("*"), F.sum(F.size("words") + 1)).first()
     shards = max(1, -(-(turns or 0) // SHARD_TURNS))
     dealt = paths.repartitionByRange(shards, "path", "conv_id")
-    level = materialise(dealt.mapInArrow(_shard, ROW), "trie")
+    level = materialise(dealt.mapInArrow(partial(_shard, PIECE_IDS), ROW), "trie")
     ends = level.where("kind = 'ends'").select("key", "shard", "part", "path")
     node = level.where("kind = 'node'").withColumn("level", F.lit(0))
     bounds, upper, depth, last = level.where("kind = 'bound'"), node.limit(0), 0, not n
     while not last:
         last = bounds.select(F.max("shard")).first()[0] < GROUP
         group = F.floor(F.col("shard") / GROUP).alias("g")
-        level = materialise(bounds.groupBy(group).applyInArrow(_combine(last), ROW), "trie")
+        level = materialise(bounds.groupBy(group).applyInArrow(_combine(last, GROUP), ROW), "trie")
         depth += 1
         upper = upper.unionByName(level.where("kind = 'node'").withColumn("level", F.lit(depth)))
         bounds = level.where("kind = 'bound'")

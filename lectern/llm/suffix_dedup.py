@@ -28,9 +28,9 @@ WINDOW = 50
 #: Bytes that are hashed for a mark.
 GRAM = 16
 #: Bytes of text in a shard, or so; a document is in one.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of a bucket's marks or strings, or so.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 #: Windows of a run that travel as one string at most; longer runs are several strings.
 RUN_WINDOWS = 64
 #: Bits of the two broadcast bitmaps of marks. Their size is fixed; beyond some 10^7 marks they let more through, which costs work and changes no result.
@@ -43,9 +43,9 @@ _MUL = _U(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
 
-def _shards(batches):
+def _shards(size: int, batches):
     """(text bytes, bounds, ids, kinds) of portions with a doc_id and a window at least somewhere."""
-    for b in portions(batches, SHARD_BYTES):
+    for b in portions(batches, size):
         text = b.column("text").combine_chunks() if isinstance(b.column("text"), pa.ChunkedArray) else b.column("text")
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).astype(np.int64)
@@ -91,11 +91,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> _U(40)) * _U(buckets)) >> _U(24)
 
 
-def _marks(window: int, buckets: int, batches):
+def _marks(window: int, size: int, buckets: int, batches):
     """Marks of a shard and how many runs have each, dealt by mark."""
     only("marks")
     names = ["bucket", "marks", "runs"]
-    for data, at, _, _ in _shards(batches):
+    for data, at, _, _ in _shards(size, batches):
         mark, runs = np.unique(marked_runs(data, at, window)[2], return_counts=True)
         if len(mark):
             runs = np.minimum(runs, 65535).astype(np.uint16)
@@ -105,11 +105,11 @@ def _marks(window: int, buckets: int, batches):
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _slot(mark: np.ndarray) -> np.ndarray:
-    return (mark >> _U(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+def _slot(mark: np.ndarray, bits: int) -> np.ndarray:
+    return (mark >> _U(65 - bits.bit_length())).astype(np.int64)
 
 
-def _counted(hot_runs: int):
+def _counted(hot_runs: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         """Words of the bitmaps of repeated and of hot marks, and the number of runs with a repeated mark."""
         mark = np.concatenate([np.frombuffer(x, _U) for x in table.column("marks").to_pylist()])
@@ -119,7 +119,7 @@ def _counted(hot_runs: int):
         first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
         total = np.add.reduceat(runs[by].astype(np.int64), first)
         often = total > 1
-        slot, total = _slot(mark[first[often]]), total[often]
+        slot, total = _slot(mark[first[often]], bits), total[often]
         if not len(slot):
             return pa.table({c: pa.array([], pa.int64()) for c in ("word", "bits", "hot", "runs")})
         word = slot >> 6
@@ -132,18 +132,18 @@ def _counted(hot_runs: int):
 
 
 def _held(bits: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    slot = _slot(mark)
+    slot = _slot(mark, 64 * len(bits))
     return ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
 
 
 _STRINGS = "bucket long, text binary, size binary, string binary, doc binary, start binary, doc_id binary, t binary"
 
 
-def _strings(window: int, buckets: int, filters, batches):
+def _strings(window: int, size: int, longest: int, buckets: int, filters, batches):
     """The runs of a shard whose mark is repeated, as strings, dealt by mark: distinct strings, and for each run its string, document and start."""
     only("marks")
     names = [x.split()[0] for x in _STRINGS.split(", ")]
-    for data, at, doc_id, t in _shards(batches):
+    for data, at, doc_id, t in _shards(size, batches):
         start, windows, mark, h = marked_runs(data, at, window)
         bits, hot = filters.value
         keep = _held(bits, mark)
@@ -151,7 +151,7 @@ def _strings(window: int, buckets: int, filters, batches):
         if not len(start):
             continue
         is_hot = _held(hot, mark)
-        step = np.where(is_hot, 1, RUN_WINDOWS)
+        step = np.where(is_hot, 1, longest)
         parts = -(-windows // step)
         of = np.repeat(np.arange(len(start)), parts)
         k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -177,9 +177,9 @@ def _strings(window: int, buckets: int, filters, batches):
             found: dict[bytes, int] = {}
             string = [found.setdefault(raw[x:y], len(found)) for x, y in zip(begin[a:b].tolist(), end[a:b].tolist())]
             docs, of_doc = np.unique(doc[a:b], return_inverse=True)
-            size = np.fromiter(map(len, found), np.uint8, len(found))
+            sizes = np.fromiter(map(len, found), np.uint8, len(found))
             values = (
-                int(to[a]), b"".join(found), size.tobytes(), np.array(string, np.uint32).tobytes(), of_doc.astype(np.uint32).tobytes(),
+                int(to[a]), b"".join(found), sizes.tobytes(), np.array(string, np.uint32).tobytes(), of_doc.astype(np.uint32).tobytes(),
                 (begin[a:b] - at[doc[a:b]]).astype(np.int32).tobytes(), doc_id[docs].tobytes(), t[docs].tobytes(),
             )
             for c, x in zip(rows, values):
@@ -303,8 +303,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
     total = able.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))  # a mark and its number for every 15 bytes or so
-    marks = able.mapInArrow(partial(_marks, window, buckets), "bucket long, marks binary, runs binary")
-    words = marks.groupBy("bucket").applyInArrow(_counted(HOT_RUNS), "word long, bits long, hot long, runs long").toArrow()
+    marks = able.mapInArrow(partial(_marks, window, SHARD_BYTES, buckets), "bucket long, marks binary, runs binary")
+    words = marks.groupBy("bucket").applyInArrow(_counted(HOT_RUNS, FILTER_BITS), "word long, bits long, hot long, runs long").toArrow()
     bits, hot = np.zeros(FILTER_BITS // 64, np.int64), np.zeros(FILTER_BITS // 64, np.int64)
     word = words.column("word").to_numpy()
     np.bitwise_or.at(bits, word, words.column("bits").to_numpy())
@@ -312,7 +312,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = int(words.column("runs").to_numpy().sum())
     filters = spark.sparkContext.broadcast((bits, hot))
     buckets = max(1, -(-runs * 2 * window // BUCKET_BYTES))
-    strings = able.mapInArrow(partial(_strings, window, buckets, filters), _STRINGS)
+    strings = able.mapInArrow(partial(_strings, window, SHARD_BYTES, RUN_WINDOWS, buckets, filters), _STRINGS)
     return strings.groupBy("bucket").applyInArrow(_merged(window), "doc_id long, t int, spans binary")
 
 
