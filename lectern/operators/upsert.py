@@ -15,13 +15,19 @@ from lectern.sources.scratch import written
 EMPTY = ("[]", "{}")
 
 
+def number_text(n: Column, digits: int = 6) -> Column:
+    """A number with leading zeros up to ``digits`` places; a longer one stays whole."""
+    text = n.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
 def allocate_ids(new: DataFrame, existing: DataFrame, digits: int = 6) -> DataFrame:
     """(prefix, position, ...) -> id: prefix and consecutive numbers after the largest present, by position.
 
     Numbers are given per prefix by block counts and offsets, so a huge prefix is
     not numbered in one task: a block is a hash bucket of range-ordered positions.
     """
-    top = existing.groupBy(F.substring("id", 1, 4).alias("prefix")).agg(F.max(F.substring("id", 5, digits).try_cast("long")).alias("top"))
+    top = existing.groupBy(F.substring("id", 1, 4).alias("prefix")).agg(F.max(F.expr("substring(id, 5)").try_cast("long")).alias("top"))
     block = F.floor(F.col("position") / 65536).alias("block")
     rows = new.select("*", block)
     sizes = rows.groupBy("prefix", "block").agg(F.count("*").alias("n"))
@@ -30,13 +36,13 @@ def allocate_ids(new: DataFrame, existing: DataFrame, digits: int = 6) -> DataFr
     number = F.row_number().over(Window.partitionBy("prefix", "block").orderBy("position"))
     out = rows.withColumn("number", number).join(sizes, ["prefix", "block"]).join(top, "prefix", "left")
     n = F.coalesce("top", F.lit(0)) + F.col("before") + F.col("number")
-    return out.withColumn("id", F.concat("prefix", F.lpad(n.cast("string"), digits, "0"))).drop("block", "number", "before", "top")
+    return out.withColumn("id", F.concat("prefix", number_text(n, digits))).drop("block", "number", "before", "top")
 
 
 def next_person_id(person: DataFrame) -> DataFrame:
-    """One row: ``p`` and the largest number of such codes plus one, six digits."""
+    """One row: ``p`` and the largest number of such codes plus one, six digits at least."""
     n = F.regexp_extract("person_id", r"^p(\d+)$", 1).try_cast("long")
-    return person.agg(F.concat(F.lit("p"), F.lpad((F.coalesce(F.max(n), F.lit(0)) + 1).cast("string"), 6, "0")).alias("next_id"))
+    return person.agg(F.concat(F.lit("p"), number_text(F.coalesce(F.max(n), F.lit(0)) + 1)).alias("next_id"))
 
 
 def patch(old: DataFrame, new: DataFrame, key: str, overwrite: list[str], keep: list[str], fill: list[str], blank_is_null: bool = False) -> DataFrame:
@@ -151,7 +157,7 @@ def reclassify_plan(works: DataFrame, targets: DataFrame) -> DataFrame:
     n = written(numbered(wanted, F.struct("kind", "id")))
     before = n.groupBy("kind").agg((F.min("n") - 1).alias("before"))
     j = n.join(F.broadcast(before), "kind").withColumn("n", F.col("n") - F.col("before"))  # a row per kind
-    return j.select(F.col("id").alias("old_id"), F.concat("prefix", F.lpad((F.col("first") + F.col("n")).cast("string"), 6, "0")).alias("new_id"), "kind")
+    return j.select(F.col("id").alias("old_id"), F.concat("prefix", number_text(F.col("first") + F.col("n"))).alias("new_id"), "kind")
 
 
 def reclassify_preflight(plan: DataFrame, works: DataFrame) -> DataFrame:
@@ -170,12 +176,24 @@ def reclassify_apply(rows: DataFrame, plan: DataFrame, column: str = "id") -> Da
     return rows.join(p, rows[column] == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 
-def rewrite_related_ids(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(id, related array of ids) with replaced ids, order kept."""
-    r = rows.select("id", F.posexplode("related").alias("pos", "rid"))
-    r = reclassify_apply(r, plan, "rid")
-    g = r.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "rid"))).alias("x"))
-    return g.select("id", F.transform("x", lambda e: e["rid"]).alias("related"))
+#: A string under the key "id" of an object. Inside a JSON string quotes are escaped, so a bare quote after a brace or comma begins a key.
+ID_VALUE = r'([{,]\s*+"id"\s*+:\s*+)"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+
+
+def rewrite_related_ids(rows: DataFrame, plan: DataFrame, column: str = "related") -> DataFrame:
+    """``rows`` (id, ``column``: JSON text, ...) with ids replaced wherever a key "id" holds one, at any depth; ``changed`` tells which rows.
+
+    All else of the text stays as it is: other keys, strings that quote an id, numbers, spaces. Null, empty and invalid texts stay, as do rows without an id.
+    The ids are joined with the plan as rows, so neither side has to fit anywhere.
+    """
+    ids = F.regexp_extract_all(column, F.lit(ID_VALUE), F.lit(2))
+    asked = rows.select("id", F.explode(F.array_distinct(ids)).alias("old_id"))
+    pairs = asked.join(plan.select("old_id", "new_id"), "old_id").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("old_id", "new_id"))).alias("__new"))
+    j = rows.join(pairs, "id", "left").withColumn("changed", F.col("__new").isNotNull() & F.try_parse_json(column).isNotNull())
+    between = F.split(F.regexp_replace(column, ID_VALUE, "$1\u0001"), "\u0001")  # a bare control character is in no valid JSON
+    named = F.transform(ids, lambda x: F.concat(F.lit('"'), F.coalesce(F.col("__new")[x], x), F.lit('"')))
+    text = F.concat(F.get(between, F.lit(0)), F.array_join(F.zip_with(named, F.slice(between, F.lit(2), F.size(ids)), lambda a, b: F.concat(a, b)), ""))
+    return j.withColumn(column, F.when(F.col("changed"), text).otherwise(F.col(column))).select(*rows.columns, "changed")
 
 
 def apply_id_renames(items: DataFrame, renames: DataFrame) -> DataFrame:
@@ -194,17 +212,11 @@ def assign_existing_or_new_id(items: DataFrame, known: DataFrame, prefix: str) -
     return j.join(ids, "source_id", "left").select("rank", "source_id", F.coalesce("known_id", "new_id").alias("id"), F.col("known_id").isNull().alias("is_new"))
 
 
-def import_batch(credits: DataFrame, person: DataFrame, wanted: DataFrame, category: DataFrame) -> DataFrame:
-    """One row of counts that the import of a batch makes: new persons, known persons, new categories."""
-    p = upsert_persons(credits, person).agg(F.count_if("is_new").alias("new_persons"), F.count_if(~F.col("is_new")).alias("known_persons"))
-    return p.crossJoin(upsert_categories(wanted, category).agg(F.count("*").alias("new_categories")))
-
-
 def apply_until_failure(results: DataFrame) -> DataFrame:
     """Rows (run_id, position, ok) up to and with the first failure of each run; ``applied`` marks the successes."""
-    w = Window.partitionBy("run_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    failed_before = F.coalesce(F.max(~F.col("ok")).over(w), F.lit(False))
-    return results.withColumn("__f", failed_before).where(~F.col("__f")).drop("__f").withColumn("applied", F.col("ok"))
+    failed = results.where(~F.col("ok")).groupBy("run_id").agg(F.min("position").alias("__f"))
+    reached = F.col("__f").isNull() | (F.col("position") <= F.col("__f"))
+    return results.join(failed, "run_id", "left").where(reached).select(*results.columns, F.col("ok").alias("applied"))
 
 
 def ranked_slice(items: DataFrame, n: int = 250) -> DataFrame:

@@ -118,11 +118,6 @@ def content_quality(rows: DataFrame) -> DataFrame:
     return rows.select("id", problems(*p).alias("problems"), problems(*w).alias("warnings"), (F.size(keys) - F.size(F.array_distinct(keys))).alias("n_dup_excerpts"))
 
 
-def dry_run_import(counts: DataFrame, dangling: DataFrame) -> DataFrame:
-    """The counts of an import with the number of dangling references; nothing is written."""
-    return counts.crossJoin(dangling.agg(F.count("*").alias("fk_problems")))
-
-
 NEXT_ID = "unexpected_id"
 
 

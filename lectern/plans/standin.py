@@ -5,6 +5,7 @@ Spark runs it over DataFrames; the same text heads the oracle SQL as a CTE.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,14 @@ TEXTS = [
     (6, "第 7 集 他们终于见面了"), (7, "内容简介：好书一本。作者简介：某人"), (8, "字数：1,234 first text…"),
 ]
 
+def six(text: str) -> str:
+    """``{{six(x)}}`` of a stand-in: a number with six digits at least."""
+    return re.sub(r"{{six\((\w+)\)}}", lambda m: f"CASE WHEN {m[1]} > 999999 THEN cast({m[1]} AS string) ELSE lpad(cast({m[1]} AS string), 6, '0') END", text)
+
+
 STANDINS = {
     "works": """
-      SELECT concat('0101', lpad(cast(o_orderkey AS string), 6, '0')) AS id, o_orderkey AS num, 'video' AS module,
+      SELECT concat('0101', {{six(o_orderkey)}}) AS id, o_orderkey AS num, 'video' AS module,
         CASE WHEN o_orderkey % 3 = 0 THEN 'movie' WHEN o_orderkey % 3 = 1 THEN 'series' ELSE NULL END AS submodule,
         o_orderpriority AS schema_type, concat('Work ', cast(o_orderkey % 997 AS string)) AS title,
         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('Original ', cast(o_orderkey % 499 AS string)) END AS title_original,
@@ -41,7 +47,7 @@ STANDINS = {
         CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE cast(o_orderkey % 101 AS double) END AS rotten_tomatoes
       FROM {orders}""",
     "titles": """
-      SELECT concat('0201', lpad(cast(p_partkey AS string), 6, '0')) AS id, p_partkey AS num, p_name AS title, p_brand AS studio, lower(p_type) AS genre,
+      SELECT concat('0201', {{six(p_partkey)}}) AS id, p_partkey AS num, p_name AS title, p_brand AS studio, lower(p_type) AS genre,
         CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE concat(p_brand, ' ', p_name) END AS title_original,
         CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE cast(1970 + p_partkey % 51 AS int) END AS year, p_size AS runtime,
         CASE p_partkey % 5 WHEN 0 THEN '美国' WHEN 1 THEN '日本' WHEN 2 THEN '挪威' WHEN 3 THEN '' ELSE NULL END AS country,
@@ -52,10 +58,10 @@ STANDINS = {
     "person": """
       SELECT cast(s_suppkey AS bigint) AS id, concat('Name ', cast(s_suppkey % 83 AS string)) AS name,
         CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_name END AS name_en,
-        CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('p', lpad(cast(s_suppkey AS string), 6, '0')) END AS person_id, s_nationkey AS nation
+        CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('p', {{six(s_suppkey)}}) END AS person_id, s_nationkey AS nation
       FROM {supplier}""",
     "work_person": """
-      SELECT concat(cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS id, concat('0101', lpad(cast(l_orderkey AS string), 6, '0')) AS work_id,
+      SELECT concat(cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS id, concat('0101', {{six(l_orderkey)}}) AS work_id,
         cast(l_suppkey AS bigint) AS person_id,
         CASE l_returnflag WHEN 'A' THEN 'direction' WHEN 'R' THEN 'writing' ELSE 'cast' END AS department, l_linenumber AS `order`,
         l_linestatus = 'O' AS is_primary, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('c', cast(l_partkey AS string)) END AS character
@@ -65,9 +71,9 @@ STANDINS = {
       FROM {part} GROUP BY p_type UNION ALL
       SELECT concat('tag:', p_brand), 'tag', p_brand, CAST(NULL AS string), CAST(NULL AS string), min(p_partkey) FROM {part} GROUP BY p_brand""",
     "work_category": """
-      SELECT concat('0101', lpad(cast(l_orderkey AS string), 6, '0')) AS work_id, concat('type:', p_type) AS category_id, min(l_linenumber) AS `order`
+      SELECT concat('0101', {{six(l_orderkey)}}) AS work_id, concat('type:', p_type) AS category_id, min(l_linenumber) AS `order`
       FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_orderkey, p_type UNION ALL
-      SELECT concat('0101', lpad(cast(l_orderkey AS string), 6, '0')), concat('tag:', p_brand), min(l_linenumber)
+      SELECT concat('0101', {{six(l_orderkey)}}), concat('tag:', p_brand), min(l_linenumber)
       FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber > 2 GROUP BY l_orderkey, p_brand""",
     "obs": """
       SELECT l_partkey AS id, concat('s', cast(l_suppkey % 7 AS string)) AS source, cast(min(l_suppkey % 7) AS int) AS `rank`,
@@ -93,7 +99,7 @@ STANDINS = {
         CASE l_suppkey % 5 WHEN 0 THEN '美国' WHEN 1 THEN '戛纳电影节' WHEN 2 THEN '日本' WHEN 3 THEN 'Berlin Festival' ELSE concat('P', cast(l_suppkey AS string)) END AS place
       FROM {lineitem}""",
     "files": """
-      SELECT concat('0101', lpad(cast(o_orderkey AS string), 6, '0')) AS id, concat('p', cast(o_orderkey AS string), '.jpg') AS poster,
+      SELECT concat('0101', {{six(o_orderkey)}}) AS id, concat('p', cast(o_orderkey AS string), '.jpg') AS poster,
         CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN concat('https://x/', cast(o_custkey AS string)) ELSE concat('s', cast(o_custkey AS string)) END AS still,
         CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('a', cast(o_custkey % 50 AS string)) END AS avatar FROM {orders}""",
     "inventory": """
@@ -115,6 +121,8 @@ STANDINS = {
       SELECT d.doc_id AS id, d.source, d.lang, d.text, CASE d.doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'other' END AS kind FROM {documents} d""",
 }
 
+STANDINS = {name: six(text) for name, text in STANDINS.items()}
+
 
 def ctes() -> str:
     """All stand-ins as the head of an oracle query."""

@@ -14,6 +14,8 @@ from lectern.plans.change_queries import LATEST
 from lectern.plans.registry import query
 from lectern.sources import io as IO
 from lectern.sources.scratch import scratch_folder
+from lectern.operators import importing as I
+from lectern.sources.versions import VersionedTables
 from lectern.streaming import streams as T
 
 
@@ -323,13 +325,18 @@ def windowed_activity(t):
     return out.select("source", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
-@query("SELECT id, title FROM titles WHERE num % 3 > 0")
+@query("SELECT id, title, studio AS person, 'type:' || genre AS category FROM titles WHERE num % 3 > 0")
 def staging_drop_stream(t):
-    folder, out = _folder(t), _folder(t)
-    t.titles.select("id", "title").write.json(folder)
-    done = t.titles.where("num % 3 = 0")
-    q = T.staging_drop_stream(t.spark, folder, "id string, title string", lambda: done, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), _folder(t))
-    q.awaitTermination()
-    return t.spark.read.schema("id string, title string").parquet(out).select("id", "title")
-
-
+    folder, c = _folder(t), F.lit(None).cast("string")
+    credit = F.struct(F.col("studio").alias("name"), F.lit("direction").alias("department"))
+    t.titles.select("id", "title", "year", F.array(credit).alias("credits"), F.array(F.lit(" "), F.col("genre")).alias("genre")).repartition(4).write.json(folder)
+    works = t.titles.where("num % 3 = 0").select("id", "title", "year", c.alias("country"), c.alias("status"), c.alias("created_at"), c.alias("updated_at"))
+    empty = {n: t.spark.createDataFrame([], schema) for n, schema in I.TABLES.items()}
+    store = VersionedTables(t.spark, _folder(t))
+    I.begin_catalog(store, empty | {"works": works})
+    apply = lambda df, n: I.import_batch(store, I.staged_batch(df), "drops", n)
+    T.staging_drop_stream(t.spark, folder, I.STAGED, lambda: store.tables()["works"], apply, _folder(t), files_per_batch=2).awaitTermination()
+    new = store.tables()
+    links = new["work_category"].join(new["category"].select(F.col("id").alias("category_id"), F.concat_ws(":", "group", "name").alias("category")), "category_id")
+    people = new["work_person"].join(new["person"].select(F.col("id").alias("person_id"), F.col("name").alias("person")), "person_id")
+    return new["works"].join(people, F.col("id") == people["work_id"]).join(links, F.col("id") == links["work_id"]).select("id", "title", "person", "category")

@@ -20,13 +20,13 @@ def windowed_activity(updates: DataFrame, width: str = "1 hour", late: str = "2
 
 
 def staging_drop_stream(
-    spark: SparkSession, folder: str, schema: str, finished: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str
+    spark: SparkSession, folder: str, schema: str, finished: Callable[[], DataFrame], apply: Callable[[DataFrame, int], object], checkpoint: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
     """New staging files -> ``apply`` on each batch, without items in ``finished()``.
 
-    ``apply`` must be an upsert keyed by id, so that a replayed batch changes nothing.
+    ``apply`` must change nothing when a batch is replayed under its number, as an import into versioned tables does.
     """
-    rows = spark.readStream.schema(schema).json(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
     def batch(df: DataFrame, n: int) -> None:
         apply(df.dropDuplicates(["id"]).join(finished().select("id"), "id", "left_anti"), n)
