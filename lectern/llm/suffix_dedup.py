@@ -84,7 +84,7 @@ def marked_runs(data: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: in
     start = np.flatnonzero(new)
     windows = np.diff(np.append(start, n))
     real = low[start] != 0
-    return start[real], windows[real], low[start[real]], h
+    return start[real], windows[real], mixed(low[start[real]] * _MUL), h  # least hashes are low numbers: spread again
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
