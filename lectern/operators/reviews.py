@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.components import connected_components
-from lectern.sources.scratch import written
+from lectern.operators.segmentation import best_paths
+
 
 #: English function words left out of review tokens; callers pass their own list for other languages.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "was", "on", "with", "as", "are", "be", "this", "it", "at", "by", "from", "or"]
@@ -21,6 +21,8 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "was", "on",
 
 #: What parts tokens, and the runs that are cut into bigrams.
 SEPARATORS, CJK_RUN = r"[\s,;.\-]+", "^[一-鿿]{3,}$"
+#: Runs of CJK characters and what lies between them.
+PIECES, CJK_START = "[一-鿿]+|[^一-鿿]+", "^[一-鿿]"
 
 
 def explode_reviews(works: DataFrame, column: str = "comments") -> DataFrame:
@@ -28,6 +30,21 @@ def explode_reviews(works: DataFrame, column: str = "comments") -> DataFrame:
     return works.select(F.col("id").alias("work_id"), F.posexplode(column).alias("pos", "r")).select("work_id", "pos", "r.source", "r.content")
 
 
+def cut_reviews(rows: DataFrame, key: str, dictionary: DataFrame, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Adds ``tokens`` as ``tokenize_reviews`` does, but with CJK runs cut into words of ``dictionary`` (word, n) on their likeliest path.
+
+    ``key`` tells rows apart.
+    """
+    parts = rows.select(key, F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS)).alias("p", "part"))
+    pieces = parts.select(key, "p", F.posexplode(F.regexp_extract_all("part", F.lit(PIECES), F.lit(0))).alias("q", "piece")).where(F.length("piece") > 1)
+    cut = best_paths(pieces.where(F.col("piece").rlike(CJK_START)).select(F.col("piece").alias("run")), dictionary)
+    words = pieces.join(cut, pieces["piece"] == cut["run"], "left").select(key, "p", "q", F.coalesce("words", F.array("piece")).alias("words"))
+    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
+    gathered = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "q", "words"))).alias("w"))
+    tokens = F.filter(F.flatten(F.transform("w", lambda x: x["words"])), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return rows.join(gathered.select(key, tokens.alias("tokens")), key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
 def tokenize_reviews(rows: DataFrame, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """Adds ``tokens``: lower-cased parts between spaces, line ends and ``,;.-``, with CJK runs cut into bigrams; stop words and single characters out."""
     parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS)
@@ -115,26 +132,3 @@ def pca_coords(vectors: DataFrame, dims: int = 2) -> DataFrame:
 def embedding_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id and ``features`` from an array column."""
     return embeddings.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-
-
-def dbscan_topics(points: DataFrame, eps: float, min_samples: int, dims: int = 3) -> DataFrame:
-    """(id, cluster): density clusters of (id, v array of doubles), -1 for noise; cluster is the smallest core id.
-
-    Points fall into grid cells of width eps over the first ``dims`` components.
-    A pair within eps lies in neighbouring cells, so cells are joined with their
-    neighbours and distances checked there; no pair farther apart in those
-    components is formed. Clusters are the connected components of core points.
-    """
-    cell = F.array(*[F.floor(F.get("v", i) / eps).cast("long") for i in range(dims)])
-    base = points.select("id", "v", cell.alias("cell"))
-    shifts = F.array(*[F.array(*[F.lit((n // 3**i) % 3 - 1).cast("long") for i in range(dims)]) for n in range(3**dims)])
-    near = base.withColumn("s", F.explode(shifts)).withColumn("cell", F.zip_with("cell", "s", lambda a, b: a + b))
-    j = base.alias("a").join(near.alias("b"), F.col("a.cell") == F.col("b.cell"))
-    dist = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = written(j.where(dist <= eps * eps).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
-    links = written(pairs.join(core.toDF("a"), "a").join(core.toDF("b"), "b"))
-    label = core.join(connected_components(links).withColumnRenamed("component", "cluster"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
-    border = pairs.join(label.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
-    return points.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
-

@@ -14,6 +14,7 @@ from lectern.plans.change_queries import LATEST
 from lectern.plans.registry import query
 from lectern.sources import io as IO
 from lectern.sources.scratch import scratch_folder
+from lectern.operators import density as D
 from lectern.operators import importing as I
 from lectern.sources.versions import VersionedTables
 from lectern.streaming import streams as T
@@ -295,7 +296,7 @@ def pca_coords(t):
 def dbscan_topics(t):
     n = F.col("num")
     v = F.array((n % 20).cast("double") + F.floor(n / 100) * 0.001, F.when(n % 20 == 7, n * 10.0).otherwise(0.0))
-    return V.dbscan_topics(t.titles.select(n.alias("id"), v.alias("v")), 0.5, 3, dims=2)
+    return D.dbscan_topics(t.titles.select(n.alias("id"), v.alias("v")), 0.5, 3, dims=2)
 
 
 # streams
