@@ -6,10 +6,14 @@ explicit order key and are sorted inside the group, never globally.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import entry_path, has_cjk, nonblank, round1, web_url
+from lectern.operators.upsert import numbered
+from lectern.sources.scratch import written
 
 PLACEHOLDER = "/assets/poster-placeholder.svg"
 
@@ -268,9 +272,14 @@ def recent_top_n(entries: DataFrame, n: int = 12) -> DataFrame:
 
 
 def archive_order(entries: DataFrame) -> DataFrame:
-    """Position of each entry by module, submodule, year descending (none last), id; one window per module."""
-    w = Window.partitionBy("module").orderBy(F.asc_nulls_first("submodule"), F.desc_nulls_last("year"), "id")
-    return entries.withColumn("position", F.row_number().over(w))
+    """Position of each entry in its module by submodule, year descending (none last), id.
+
+    Entries are numbered over the whole table by range partitions; a module's own numbers follow from its smallest, so no task has to hold a module.
+    """
+    n = written(numbered(entries.withColumnRenamed("n", "__own") if "n" in entries.columns else entries, F.asc_nulls_first("module"), F.asc_nulls_first("submodule"), F.desc_nulls_last("year"), F.asc("id")))
+    first = n.groupBy(F.col("module").alias("__module")).agg(F.min("n").alias("__first"))
+    j = n.join(first, F.col("module").eqNullSafe(F.col("__module"))).withColumn("position", (F.col("n") - F.col("__first") + 1).cast("int"))
+    return j.drop("n", "__module", "__first").withColumnRenamed("__own", "n")
 
 
 def facet_values(categories: DataFrame, column: str) -> DataFrame:
@@ -376,13 +385,36 @@ def category_list(category: DataFrame, group: str | None = None, module: str | N
     return out.orderBy("group", "order", "name")
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """Entries with their place ``__n`` in an order, as a written table of which each file has a range of places."""
+
+    table: DataFrame
+    total: int
+
+    def pages(self, size: int) -> int:
+        return max(1, -(-self.total // size))
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """One page with page count; size is one of 12, 24, 48 (else 24), page is clamped. Reads the row groups that hold these places, however deep."""
+        size = size if size in (12, 24, 48) else 24
+        page = min(max(page, 1), self.pages(size))
+        rows = self.table.where((F.col("__n") > (page - 1) * size) & (F.col("__n") <= page * size)).orderBy("__n").drop("__n")
+        return rows.withColumn("page", F.lit(page)).withColumn("pages", F.lit(self.pages(size)))
+
+
+def page_index(entries: DataFrame, *order: Column) -> PageIndex:
+    """The entries numbered in ``order`` once, for any page and size."""
+    own = entries.withColumnRenamed("n", "__own") if "n" in entries.columns else entries
+    order = tuple(F.col(c) if isinstance(c, str) else c for c in order)
+    table = numbered(own, *order).withColumnRenamed("n", "__n")
+    table = written(table.withColumnRenamed("__own", "n").repartitionByRange("__n").sortWithinPartitions("__n"), "pages")
+    return PageIndex(table, table.count())
+
+
 def paginate(entries: DataFrame, page: int, size: int, *order) -> DataFrame:
-    """One page with page count; size is one of 12, 24, 48 (else 24), page is clamped."""
-    size = size if size in (12, 24, 48) else 24
-    total = entries.count()
-    pages = max(1, -(-total // size))
-    page = min(max(page, 1), pages)
-    return entries.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("page", F.lit(page)).withColumn("pages", F.lit(pages))
+    """One page of entries that have no index yet, see ``PageIndex.page``."""
+    return page_index(entries, *order).page(page, size)
 
 
 def home_selection(entries: DataFrame, curated: list[str], n: int = 4) -> DataFrame:

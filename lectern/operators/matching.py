@@ -5,12 +5,14 @@ OR conditions are unions of equi-joins, so no pair is compared that shares no ke
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.names import normalize_name, transliterated, transliteration_match
+from lectern.functions.names import normalize_name, starter_table, transliterate, transliteration_match
 from lectern.functions.scalars import is_reversed_name, nonblank, normalize_title, text_key
 
 
@@ -18,18 +20,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def match_pairs(new: DataFrame, old: DataFrame, rules: list[tuple[str, list[tuple[str, str]], list[tuple[str, str]]]]) -> DataFrame:
+#: A key with more than this share of all rows is hot; so there are fewer than SHARES hot keys, whatever the input.
+SHARES = 400
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], least: int = 10_000) -> DataFrame:
+    """Inner join on ``keys`` (equal and not null) in which a hot key of ``left`` is several tasks' work.
+
+    Rows of a key are counted, combined before their shuffle. A key with more than 1 / SHARES of the rows (and ``least``) is dealt into parts of
+    that size by a hash of the row, and ``right``'s rows of it are repeated for each part. Keys below that pass as they are; the table of hot keys has under SHARES rows.
+    """
+    held = left.dropna(subset=keys)
+    counts = held.groupBy(*keys).agg(F.count("*").alias("__c"))
+    share = max((counts.agg(F.sum("__c")).first()[0] or 0) // SHARES, least)
+    parts = F.ceil(F.col("__c") / share).cast("int")
+    hot = F.broadcast(counts.where(F.col("__c") > share).select(*keys, parts.alias("__parts")))
+    dealt = held.join(hot, keys, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*held.columns), F.col("__parts")).cast("int")))
+    every = right.dropna(subset=keys).join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0)))))
+    return dealt.drop("__parts").join(every.drop("__parts"), [*keys, "__part"]).drop("__part")
+
+
+def match_pairs(new: DataFrame, old: DataFrame, rules: list[tuple[str, list[tuple[str, str]], list[tuple[str, str]]]], least: int = 10_000) -> DataFrame:
     """(new_id, old_id, reasons): pairs that meet any rule, reasons sorted and joined by '|'.
 
-    A rule is (reason, keys equal and not null, keys equal with null equal to null).
+    A rule is (reason, keys equal and not null, keys equal with null equal to null). Common keys, such as a title without a year, are split.
     """
     parts = []
     for reason, keys, null_safe in rules:
-        n = new.select(F.col("id").alias("new_id"), *[F.col(a).alias(f"n{i}") for i, (a, _) in enumerate([*keys, *null_safe])])
-        o = old.select(F.col("id").alias("old_id"), *[F.col(b).alias(f"o{i}") for i, (_, b) in enumerate([*keys, *null_safe])])
-        on = [F.col(f"n{i}") == F.col(f"o{i}") for i in range(len(keys))]
-        on += [F.col(f"n{i}").eqNullSafe(F.col(f"o{i}")) for i in range(len(keys), len(keys) + len(null_safe))]
-        parts.append(n.join(o, reduce(Column.__and__, on)).select("new_id", "old_id", F.lit(reason).alias("reason")))
+
+        def side(df: DataFrame, at: int, name: str) -> DataFrame:
+            cols = [F.col(pair[at]).alias(f"k{i}") for i, pair in enumerate(keys)]
+            for i, pair in enumerate(null_safe):  # null and its absence as a key that is never null
+                c = F.col(pair[at])
+                cols += [c.isNull().alias(f"z{i}"), F.coalesce(c.cast("string"), F.lit("")).alias(f"y{i}")]
+            return df.select(F.col("id").alias(name), *cols)
+
+        on = [f"k{i}" for i in range(len(keys))] + [f"{x}{i}" for i in range(len(null_safe)) for x in "zy"]
+        parts.append(split_join(side(new, 0, "new_id"), side(old, 1, "old_id"), on, least).select("new_id", "old_id", F.lit(reason).alias("reason")))
     return _union(parts).groupBy("new_id", "old_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reasons"))
 
 
@@ -141,14 +168,15 @@ def encyclopedia_candidate_score(text: Column, title: Column, author: Column, hr
     return score
 
 
-def person_match(western: DataFrame, local: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+def person_match(western: DataFrame, local: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(work_id, western_id, local_id): for each western credit the first local one, by position, that any rule accepts.
 
     Rules: equal names, equal normalised names (not empty), first and last name
-    swapped, transliteration. ``local`` has work_id, local_id, position, name, name_en.
+    swapped, transliteration by ``table`` (place, latin, local; the starter table, if none is given). ``local`` has work_id, local_id, position, name, name_en.
     """
     w = western.select("work_id", "western_id", F.col("name").alias("w_name"))
-    w = w.withColumn("w_key", normalize_name("w_name")).withColumn("w_local", transliterated(table)("w_name"))
+    told = transliterate(w.select(F.col("w_name").alias("name")), starter_table(western.sparkSession) if table is None else table)
+    w = w.withColumn("w_key", normalize_name("w_name")).join(told.select(F.col("name").alias("w_name"), F.col("local").alias("w_local")), "w_name", "left")
     x = local.withColumn("l_key", normalize_name("name_en"))
     hit = (
         (F.lower("w_name") == F.lower("name_en"))
@@ -177,10 +205,62 @@ def fk_check(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFr
     return _union(parts)
 
 
+#: Where entries name files. Every text under the first, at any depth, and every text field of the other names, wherever it stands.
+ASSET_TREES, ASSET_FIELDS = ("images",), ("poster", "still", "avatar", "thumbnail", "avatarPath")
+#: Fields that hold a whole path; the others hold a file name in their work's folder.
+WHOLE_PATHS = ("avatarPath",)
+
+
+def _of_each(values: Callable[[Column], Column], c: Column) -> Column:
+    return F.flatten(F.filter(F.transform(c, lambda x: values(x)), lambda x: x.isNotNull()))
+
+
+def _of_each_value(values: Callable[[Column], Column], c: Column) -> Column:
+    return _of_each(values, F.map_values(c))
+
+
+def _of_field(values: Callable[[Column], Column], name: str, c: Column) -> Column:
+    return values(c.getField(name))
+
+
+def asset_fields(schema: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], Callable[[Column], Column]]]:
+    """(path, column -> array of texts) of all asset fields of a nested type: structs, arrays, and arrays of structs of arrays."""
+    if isinstance(schema, T.StringType):
+        wanted = bool(path) and (path[0] in ASSET_TREES or path[-1] in ASSET_FIELDS)
+        return [(path, lambda c: F.array(c))] if wanted else []
+    if isinstance(schema, T.ArrayType):
+        return [(p, partial(_of_each, f)) for p, f in asset_fields(schema.elementType, path)]
+    if isinstance(schema, T.MapType):
+        return [(p, partial(_of_each_value, f)) for p, f in asset_fields(schema.valueType, path)]
+    if isinstance(schema, T.StructType):
+        return [(p, partial(_of_field, f, field.name)) for field in schema for p, f in asset_fields(field.dataType, (*path, field.name))]
+    return []
+
+
+def _named(*columns: Column) -> Callable[[Column], Column]:
+    return lambda x: F.struct(*columns, x.alias("path"))
+
+
 def asset_refs(entries: DataFrame) -> DataFrame:
-    """(id, kind, path) of the asset columns poster, still, avatar; distinct, blanks left out."""
-    refs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("path")) for k in ("poster", "still", "avatar")])
-    return entries.select("id", F.explode(refs).alias("r")).select("id", "r.kind", nonblank(F.col("r.path")).alias("path")).where("path is not null").distinct()
+    """(id, kind, path) of the files that entries name, distinct, blanks left out; kind is the field's path in the schema, such as ``images.stills`` or ``cast.avatarPath``.
+
+    The fields are found in the schema, so a new nested one needs no code. With columns module and submodule a file
+    name stands in the folder module/submodule/id; whole paths get forward slashes. Texts with a scheme stay as they are.
+    """
+    refs = []
+    for field in entries.schema:
+        for path, values in asset_fields(field.dataType, (field.name,)):
+            kind, whole = F.lit(".".join(path)).alias("kind"), F.lit(path[-1] in WHOLE_PATHS).alias("whole")
+            refs.append(F.transform(values(F.col(field.name)), _named(kind, whole)))
+    if not refs:
+        return entries.select("id", F.lit("").alias("kind"), F.lit("").alias("path")).limit(0)
+    none = F.array().cast("array<struct<kind:string,whole:boolean,path:string>>")
+    rows = entries.withColumn("r", F.explode(F.concat(*[F.coalesce(r, none) for r in refs])))
+    name = nonblank(F.col("r.path"))
+    path = F.when(F.col("r.whole"), F.replace(name, F.lit("\\"), F.lit("/"))).otherwise(name)
+    if {"module", "submodule"} <= set(entries.columns):
+        path = F.when(F.col("r.whole") | name.rlike("^[a-z]+://"), path).otherwise(F.concat_ws("/", "module", "submodule", "id", name))
+    return rows.where(name.isNotNull()).select("id", "r.kind", path.alias("path")).distinct()
 
 
 def asset_check(refs: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from lectern.functions.scalars import nonblank
 
 
-def batch_summary(items: DataFrame) -> DataFrame:
-    """(status, n, rate) of items, rate to four decimals of all."""
+def batch_summary(items: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """(status, n, rate) of items, rate to four decimals of all; with ``assets`` (id, state), a row ``local_assets``: items that name a file of ours (any reference that is not external)."""
     total = items.agg(F.count("*").alias("total"))
-    return items.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("status", "n", F.round(F.col("n") / F.col("total"), 4).alias("rate"))
+    rows = items.groupBy("status").agg(F.count("*").alias("n"))
+    if assets is not None:
+        own = assets.where(F.col("state") != "external").select("id").distinct()
+        rows = rows.unionByName(items.join(own, "id", "left_semi").agg(F.lit("local_assets").alias("status"), F.count("*").alias("n")))
+    rate = F.coalesce(F.round(F.try_divide("n", "total"), 4), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(total)).select("status", "n", rate.alias("rate"))
 
 
 def source_rates(hits: DataFrame, n_items: DataFrame) -> DataFrame:
@@ -60,18 +65,65 @@ def next_pending_source(latest: DataFrame, order: list[str]) -> DataFrame:
     return latest.where((F.col("status") != "done") & (pos > 0)).groupBy("item").agg(F.min_by("source", pos).alias("source"))
 
 
-def field_coverage(payloads: DataFrame, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """(field, source, hits, total): payloads of a source with a value at any of the paths of each (field, source, paths) rule.
+def json_path(dotted: Column) -> Column:
+    """``a.b`` as the path of keys a and b."""
+    return F.concat(F.lit("$"), F.array_join(F.transform(F.split(dotted, r"\."), lambda k: F.concat(F.lit("['"), k, F.lit("']"))), ""))
 
-    One pass: each path is read once per payload, counts are conditional sums.
+
+def present(text: Column) -> Column:
+    """Whether JSON text is a value: not null, blank, or an empty list or object."""
+    return text.isNotNull() & ~text.isin("null", "[]", "{}") & ~text.rlike(r'^"(?:\s|\\[nrt])*"$')
+
+
+def preview(text: Column, longest: int = 220) -> Column:
+    """A JSON text in short: a list as its length and first two items, an object as its number of keys and the first six, others as they are; cut at ``longest``."""
+    first = F.filter(F.array(F.get_json_object(text, "$[0]"), F.get_json_object(text, "$[1]")), lambda x: x.isNotNull())
+    keys = F.json_object_keys(text)
+    short = (
+        F.when(text.startswith("["), F.concat(F.json_array_length(text).cast("string"), F.lit(" items: "), F.array_join(first, ", ")))
+        .when(text.startswith("{"), F.concat(F.size(keys).cast("string"), F.lit(" keys: "), F.array_join(F.slice(keys, 1, 6), ", ")))
+        .when(text.startswith('"'), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")).otherwise(text)
+    )
+    return F.concat(F.left(short, F.lit(longest)), F.when(F.length(short) > longest, "...").otherwise(""))
+
+
+def field_values(payloads: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, source, field, path, value): for each readable payload and each field that ``rules`` (field, source, place, path) seeks in its source, the first path, by place, with a value; nulls if none has one.
+
+    A payload is parsed once, rules are rows: the plan does not grow with them.
     """
-    aggs = []
-    for i, (_, source, paths) in enumerate(rules):
-        value = F.coalesce(*[nonblank(F.get_json_object("payload", f"$.{p}")) for p in paths])
-        of = F.col("source") == source
-        aggs += [F.count_if(of & value.isNotNull()).alias(f"h{i}"), F.count_if(of).alias(f"t{i}")]
-    rows = [F.struct(F.lit(f).alias("field"), F.lit(s).alias("source"), F.col(f"h{i}").alias("hits"), F.col(f"t{i}").alias("total")) for i, (f, s, _) in enumerate(rules)]
-    return payloads.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    read = payloads.select("id", "source", F.try_parse_json("payload").alias("v")).where(F.col("v").isNotNull() & F.col("source").isNotNull())
+    j = read.join(rules.select("field", "source", "place", "path"), "source")
+    text = F.to_json(F.try_variant_get("v", json_path(F.col("path")), "variant"))
+    tried = j.select("id", "source", "field", "place", "path", text.alias("value"))
+    hit = F.when(present(F.col("value")), F.struct("place", "path", "value"))
+    return tried.groupBy("id", "source", "field").agg(F.min(hit).alias("h")).select("id", "source", "field", "h.path", "h.value")
+
+
+def field_coverage(values: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """(id, field, hits, sources, source, path, preview, staged) of ``field_values``: in how many of the sources asked a field has a value, the first such source by name with its path and value in short, and whether the staged record (id, payload) has the field."""
+    found = F.when(F.col("path").isNotNull(), F.struct("source", "path", "value"))
+    g = values.groupBy("id", "field").agg(F.count("path").alias("hits"), F.count("*").alias("sources"), F.min(found).alias("f"))
+    out = g.select("id", "field", "hits", "sources", "f.source", "f.path", preview(F.col("f.value")).alias("preview"))
+    if staged is None:
+        return out.withColumn("staged", F.lit(None).cast("boolean"))
+    s = staged.select("id", F.try_parse_json("payload").alias("v"))
+    held = present(F.to_json(F.try_variant_get("v", json_path(F.col("field")), "variant")))
+    return out.join(s, "id", "left").select(*out.columns, F.coalesce(held, F.lit(False)).alias("staged"))
+
+
+def field_totals(values: DataFrame) -> DataFrame:
+    """(field, source, hits, total) of ``field_values``."""
+    return values.groupBy("field", "source").agg(F.count("path").alias("hits"), F.count("*").alias("total"))
+
+
+def key_baseline(rows: DataFrame, provenance: DataFrame, allowed: DataFrame, column: str = "payload") -> DataFrame:
+    """(id, n_keys, missing_source, extra) of records that are JSON objects: their top-level keys without an entry in ``provenance`` (id, key), and those not in ``allowed`` (key), both sorted."""
+    keys = rows.select("id", F.explode_outer(F.json_object_keys(column)).alias("key"), F.json_object_keys(column).isNotNull().alias("object")).where("object").distinct()
+    known = provenance.select("id", "key", F.lit(True).alias("known")).distinct()
+    j = keys.join(known, ["id", "key"], "left").join(allowed.select("key", F.lit(True).alias("allowed")).distinct(), "key", "left")
+    pick = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNull(), F.col("key"))))
+    return j.groupBy("id").agg(F.count("key").alias("n_keys"), pick("known").alias("missing_source"), pick("allowed").alias("extra"))
 
 
 def key_coverage(rows: DataFrame, column: str = "payload") -> DataFrame:

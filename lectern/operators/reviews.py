@@ -1,15 +1,16 @@
-"""Review text analytics: tokens, TF-IDF, keywords, sentiment, clusters, density, coordinates.
+"""Review text analytics: tokens, TF-IDF, keywords, sentiment, clusters, coordinates.
 
 Vectors come from pyspark.ml, whose fits aggregate per partition; nothing is collected but models.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.segmentation import best_paths
@@ -94,20 +95,73 @@ def lexicon_sentiment(rows: DataFrame, group: str, positive: list[str]) -> DataF
     return g.select(group, "n", F.round("p", 3).alias("positive"), F.round(1 - F.col("p"), 3).alias("negative"))
 
 
-def train_sentiment(tokenised: DataFrame, label: str, key: str, features: int = 1000) -> DataFrame:
-    """One row: precision, recall, n_train, n_test of a multinomial naive Bayes (smoothing 0.01), 70/30 split by hash of the key."""
-    counted = CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=features).fit(tokenised).transform(tokenised)
-    rows = counted.withColumn("label", F.col(label).cast("double")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(10)))
-    model = NaiveBayes(featuresCol="counts", labelCol="label", smoothing=0.01).fit(rows.where("bucket < 7"))
-    test = model.transform(rows.where("bucket >= 7"))
-    tp = F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
-    scores = test.agg((tp / F.nullif(F.count_if(F.col("prediction") == 1), F.lit(0))).alias("precision"), (tp / F.nullif(F.count_if(F.col("label") == 1), F.lit(0))).alias("recall"), F.count("*").alias("n_test"))
-    return scores.crossJoin(rows.where("bucket < 7").agg(F.count("*").alias("n_train")))
+def naive_bayes(terms: DataFrame, docs: DataFrame, features: int = 1000, smoothing: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(priors (label, prior), weights (term, label, weight)) of a multinomial naive Bayes from (key, term) rows and (key, label) rows.
+
+    The vocabulary is the ``features`` most frequent terms, ties by term. Weights and priors are natural logarithms.
+    """
+    n = docs.agg(F.count("*").alias("n"))
+    priors = docs.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("label", F.log(F.col("c") / F.col("n")).alias("prior"))
+    per = terms.join(docs, "key").groupBy("term", "label").agg(F.count("*").alias("n"))
+    vocabulary = per.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(features).select("term")
+    cells = vocabulary.crossJoin(F.broadcast(priors.select("label")))  # features times labels
+    held = cells.join(per, ["term", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    totals = held.groupBy("label").agg(F.sum("n").alias("of_label"), F.count("*").alias("size"))
+    weight = F.log((F.col("n") + smoothing) / (F.col("of_label") + smoothing * F.col("size")))
+    return priors, held.join(F.broadcast(totals), "label").select("term", "label", weight.alias("weight"))
+
+
+def classify(terms: DataFrame, docs: DataFrame, priors: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, prediction) of documents (key): the likeliest label by ``naive_bayes``; ties to the smaller label."""
+    tf = terms.groupBy("key", "term").agg(F.count("*").alias("tf")).join(weights, "term")
+    likely = tf.groupBy("key", "label").agg(F.sum(F.col("tf") * F.col("weight")).alias("s"))
+    j = docs.select("key").crossJoin(F.broadcast(priors)).join(likely, ["key", "label"], "left")
+    score = F.round(F.col("prior") + F.coalesce("s", F.lit(0.0)), 6)
+    return j.groupBy("key").agg(F.min(F.struct((-score).alias("s"), "label")).alias("best")).select("key", F.col("best.label").alias("prediction"))
+
+
+def held_out(key: Column, share: int = 3) -> Column:
+    """Whether a row is among the ``share`` tenths that are not learned from, by a digest of its key."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % 10 >= 10 - share
+
+
+def train_sentiment(rows: DataFrame, key: str, label: str, features: int = 1000, smoothing: float = 0.01, **options) -> DataFrame:
+    """(key, label, prediction) of the held-out texts, by a naive Bayes learned from the others. Rows without a label are left out."""
+    docs = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col(key)).alias("held"))
+    terms = review_terms(docs, "key", **options)
+    split = lambda held: docs.where(F.col("held") == held).select("key", "label")
+    priors, weights = naive_bayes(terms, split(False), features, smoothing)
+    test = split(True)
+    return test.join(classify(terms.join(test.select("key"), "key", "left_semi"), test, priors, weights), "key")
+
+
+def sentiment_scores(predicted: DataFrame, positive=1) -> DataFrame:
+    """One row: precision, recall and n of (label, prediction)."""
+    said, is_ = F.col("prediction") == positive, F.col("label") == positive
+    hit = F.count_if(said & is_)
+    return predicted.agg(F.try_divide(hit, F.count_if(said)).alias("precision"), F.try_divide(hit, F.count_if(is_)).alias("recall"), F.count("*").alias("n"))
+
+
+def nearest_centre(vectors: DataFrame, centres: list) -> DataFrame:
+    """Adds ``nearest``, the smallest index of a nearest centre, and ``distance``, its squared distance. ``centres``: k vectors."""
+    m = np.array([np.asarray(c, float) for c in centres])
+
+    @F.pandas_udf("struct<nearest int, distance double>")
+    def run(v: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, m.shape[1]))
+        d = np.stack([((x - c) ** 2).sum(axis=1) for c in m], axis=1)
+        return pd.DataFrame({"nearest": d.argmin(axis=1).astype("int32"), "distance": d.min(axis=1)})
+
+    return vectors.withColumn("__n", run(vector_to_array("features"))).select("*", "__n.nearest", "__n.distance").drop("__n")
+
+
+def kmeans_model(vectors: DataFrame, k: int, seed: int = 1):
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
 
 
 def kmeans_topics(vectors: DataFrame, k: int, seed: int = 1) -> tuple[DataFrame, float]:
     """(rows with ``cluster``, inertia)."""
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
+    model = kmeans_model(vectors, k, seed)
     return model.transform(vectors), model.summary.trainingCost
 
 

@@ -89,16 +89,16 @@ def upsert_persons(credits: DataFrame, person: DataFrame) -> DataFrame:
     return out.select("name", "name_en", "avatar", F.coalesce("known_id", "new_id").alias("id"), F.col("known_id").isNull().alias("is_new"))
 
 
-def numbered(rows: DataFrame, order: Column) -> DataFrame:
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Rows with n = 1.. in ``order`` over the whole table: range partitions, their counts, offsets. No task sees all rows.
 
     The partition numbers are written once, as they would differ between two evaluations.
     """
-    keyed = written(rows.withColumn("__o", order).repartitionByRange("__o").withColumn("__p", F.spark_partition_id()))
-    local = keyed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__o")))
+    keyed = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    local = keyed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.max("__i").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    return local.join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p").withColumn("n", F.col("__b") + F.col("__i")).drop("__o", "__p", "__i", "__b")
+    return local.join(F.broadcast(sizes.select("__p", before.alias("__b"))), "__p").withColumn("n", F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
 
 
 def avatar_paths(url: Column, code: Column) -> tuple[Column, Column, Column]:

@@ -160,6 +160,20 @@ def asset_refs(t):
     return M.asset_refs(t.files)
 
 
+@query(
+    """SELECT DISTINCT id, kind, CASE WHEN kind = 'cast.avatarPath' OR starts_with(path, 'https://') THEN path ELSE concat_ws('/', 'video', submodule, id, path) END AS path FROM (
+      SELECT f.id, w.submodule, unnest(['images.poster', 'images.posters', 'images.posters', 'images.sets.stills', 'videos.thumbnail', 'cast.avatarPath']) AS kind,
+        unnest([f.poster, f.poster, 'b' || f.poster, trim(f.still), trim(f.still), CASE WHEN avatar IS NOT NULL THEN 'people/' || avatar END]) AS path FROM files f JOIN works w ON w.id = f.id) WHERE coalesce(path, '') <> ''"""
+)
+def nested_asset_refs(t):
+    """Files that nested entries name: galleries, sets of stills, thumbnails of videos, avatars of people."""
+    e = t.files.join(t.works.select("id", "module", "submodule"), "id")
+    images = F.struct(F.col("poster"), F.array("poster", F.lit(None).cast("string"), F.lit(" "), F.concat(F.lit("b"), "poster")).alias("posters"), F.array(F.struct(F.array("still").alias("stills"))).alias("sets"))
+    video = F.array(F.struct(F.lit("t").alias("title"), F.col("still").alias("thumbnail")), F.lit(None).cast("struct<title:string,thumbnail:string>"))
+    people = F.array(F.struct(F.lit("x").alias("name"), F.concat(F.lit("people\\"), "avatar").alias("avatarPath")))
+    return M.asset_refs(e.select("id", "module", "submodule", images.alias("images"), video.alias("videos"), people.alias("cast")))
+
+
 @query("SELECT id, kind, path, state FROM checked", REFS)
 def asset_check(t):
     return M.asset_check(M.asset_refs(t.files), t.inventory)

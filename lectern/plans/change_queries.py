@@ -11,7 +11,7 @@ from lectern.operators import matching as M
 from lectern.operators import reports as R
 from lectern.operators import upsert as U
 from lectern.operators import validate as V
-from lectern.plans.catalog_queries import CUT, SIDES, ZH, sides
+from lectern.plans.catalog_queries import CUT, REFS, SIDES, ZH, sides
 from lectern.plans.registry import query
 from lectern.sources.scratch import scratch_folder
 from lectern.sources.versions import VersionedTables
@@ -435,9 +435,13 @@ def coerce_payload(t):
 # reports
 
 
-@query("SELECT status, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM works), 4)::DOUBLE AS rate FROM works GROUP BY status")
+@query(
+    """SELECT status, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM works), 4)::DOUBLE AS rate FROM works GROUP BY status UNION ALL
+    SELECT 'local_assets', n, round(n * 1.0 / (SELECT count(*) FROM works), 4)::DOUBLE FROM (SELECT count(*) AS n FROM works WHERE id IN (SELECT id FROM checked WHERE state <> 'external' AND kind <> 'poster'))""",
+    REFS,
+)
 def batch_summary(t):
-    return R.batch_summary(t.works)
+    return R.batch_summary(t.works, M.asset_check(M.asset_refs(t.files.drop("poster")), t.inventory))
 
 
 @query("SELECT source, count(DISTINCT id) AS n, round(count(DISTINCT id) * 1.0 / (SELECT count(*) FROM part), 4)::DOUBLE AS rate FROM obs GROUP BY source")
@@ -482,12 +486,49 @@ def next_pending_source(t):
     return R.next_pending_source(R.latest_status(t.log), ["signup", "view", "click"])
 
 
+FIELDS = """raw AS (SELECT id // 6 AS item, id % 6 AS k, id AS e, json_extract_string(payload, '$.k') AS own FROM (SELECT id, CASE WHEN id % 6 IN (0, 3) THEN payload END AS payload FROM payloads)),
+vals AS (SELECT item, 's' || k AS source, 'title' AS field, CASE k WHEN 0 THEN 'title' WHEN 1 THEN 'detail.title' WHEN 4 THEN 'extra' END AS path, CASE k WHEN 0 THEN 't' || (e % 50) WHEN 1 THEN 'd' || (e % 50) WHEN 4 THEN '["q"]' END AS preview FROM raw WHERE k IN (0, 1, 4) UNION ALL
+  SELECT item, 's' || k, '_meta', CASE WHEN k = 0 THEN '_meta' END, CASE WHEN k = 0 THEN '1 keys: k' END FROM raw WHERE k IN (0, 4) UNION ALL
+  SELECT item, 's' || k, 'tags', 'tags', CASE WHEN k = 0 THEN '1 items: a' ELSE 'x' END FROM raw WHERE k IN (0, 1) UNION ALL
+  SELECT item, 's3', 'k', CASE WHEN own IS NOT NULL THEN 'k' END, own FROM raw WHERE k = 3)"""
+
+
+def _field_values(t):
+    n = F.col("id")
+    raw = t.payloads.select(F.floor(n / 6).alias("id"), F.concat(F.lit("s"), (n % 6).cast("string")).alias("source"), "payload")
+    rules = [
+        *[("title", f"s{k}", i, p) for k in (0, 1, 2, 4) for i, p in enumerate(["title", "detail.title", "extra"])], ("_meta", "s0", 0, "_meta"), ("_meta", "s0", 1, "n"), ("_meta", "s4", 0, "_meta"),
+        ("_meta", "s4", 1, "_meta.k"), ("tags", "s0", 0, "tags"), ("tags", "s1", 0, "tags"), ("k", "s3", 0, "k"), ("k", "s5", 0, "k"),
+    ]
+    return R.field_values(raw, t.spark.createDataFrame(rules, "field string, source string, place int, path string"))
+
+
 @query(
-    """SELECT 'title' AS field, source, count(*) FILTER (WHERE id % 6 IN (0, 1)) AS hits, count(*) AS total FROM payloads WHERE source = 'view' GROUP BY source UNION ALL
-    SELECT 'k', source, count(*) FILTER (WHERE id % 6 IN (0, 3)), count(*) FROM payloads WHERE source = 'click' GROUP BY source"""
+    """SELECT v.item AS id, field, count(path) AS hits, count(*) AS sources, min(source) FILTER (path IS NOT NULL) AS source, arg_min(path, source) FILTER (path IS NOT NULL) AS path,
+    arg_min(preview, source) FILTER (path IS NOT NULL) AS preview, CASE field WHEN 'title' THEN v.item % 3 = 0 WHEN 'tags' THEN v.item % 3 < 2 ELSE false END AS staged FROM vals v GROUP BY v.item, field""",
+    FIELDS,
 )
 def field_coverage(t):
-    return R.field_coverage(t.payloads, [("title", "view", ["title", "detail.title"]), ("k", "click", ["k", "_meta.k"])])
+    n = F.col("id")
+    staged = t.payloads.select(F.floor(n / 6).alias("id")).distinct()
+    text = F.when(n % 3 == 0, '{"title":"a","tags":["x"],"_meta":{}}').when(n % 3 == 1, '{"title":" ","tags":1}').otherwise("broken")
+    return R.field_coverage(_field_values(t), staged.select("id", text.alias("payload")))
+
+
+@query("SELECT field, source, count(path) AS hits, count(*) AS total FROM vals GROUP BY field, source", FIELDS)
+def field_totals(t):
+    return R.field_totals(_field_values(t))
+
+
+@query(
+    """SELECT id, len(ks) AS n_keys, array_to_string(list_sort(list_filter(ks, lambda k: NOT (k = 'title' AND id % 2 = 0))), '|') AS missing_source, array_to_string(list_sort(list_filter(ks, lambda k: k NOT IN ('title', 'tags', '_meta'))), '|') AS extra
+    FROM (SELECT id, CASE WHEN id % 6 = 3 THEN json_keys(payload) ELSE CASE id % 6 WHEN 0 THEN ['_meta', 'tags', 'title', 'n'] WHEN 1 THEN ['detail', 'tags'] WHEN 4 THEN ['_meta', 'title', 'extra'] END END AS ks
+      FROM (SELECT id, CASE WHEN id % 6 = 3 THEN payload END AS payload FROM payloads)) WHERE ks IS NOT NULL"""
+)
+def key_baseline(t):
+    known = t.payloads.where("id % 2 = 0").select("id", F.lit("title").alias("key"))
+    out = R.key_baseline(t.payloads, known, t.spark.createDataFrame([("title",), ("tags",), ("_meta",)], "key string"))
+    return out.select("id", "n_keys", F.array_join("missing_source", "|").alias("missing_source"), F.array_join("extra", "|").alias("extra"))
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(CASE id % 6 WHEN 0 THEN ['_meta', 'tags', 'title', 'n'] WHEN 1 THEN ['detail', 'tags'] WHEN 3 THEN ['k'] WHEN 4 THEN ['_meta', 'title', 'extra'] ELSE [] END) AS key FROM payloads) GROUP BY key")
@@ -534,12 +575,19 @@ def split_name(t):
     return t.supplier.select("s_suppkey", first.alias("first"), last.alias("last"), S.is_reversed_name(full, swapped).alias("reversed"))
 
 
-@query("SELECT num, CASE num % 3 WHEN 0 THEN '亚当·Zed' WHEN 1 THEN '布鲁斯' ELSE '大卫·' || studio END AS local, num % 3 = 1 AS matches FROM titles")
+TRANSLIT = """words AS (SELECT num, pos, string_split(title, ' ')[pos] AS w FROM titles, unnest(range(1, len(string_split(title, ' ')) + 1)) u(pos)),
+entry AS (SELECT DISTINCT left(w, 3 + length(w) % 4) AS latin FROM words WHERE length(w) % 3 > 0),
+said AS (SELECT w, coalesce(max('<' || latin || '>') FILTER (latin = w), arg_min('<' || latin || '>', md5(latin)), w) AS local FROM (SELECT DISTINCT w FROM words) t LEFT JOIN entry ON starts_with(w, latin) OR starts_with(latin, left(w, 3)) GROUP BY w)"""
+
+
+@query("SELECT num, string_agg(local, '·' ORDER BY pos) AS local FROM words JOIN said USING (w) GROUP BY num", TRANSLIT)
 def transliterate_name(t):
-    n = F.col("num") % 3
-    local = N.transliterated()(F.when(n == 0, "Adam Zed").when(n == 1, "Bruce").otherwise(F.concat(F.lit("david "), "studio")))
-    rows = t.titles.select("num", local.alias("local"))
-    return rows.withColumn("matches", N.transliteration_match(F.col("local"), F.lit("布鲁斯")))
+    """Names of several words by a table as large as the words ask for."""
+    w = t.titles.select(F.explode(F.split("title", " ")).alias("w")).distinct().where(F.length("w") % 3 > 0)
+    entry = w.select(F.left("w", 3 + F.length("w") % 4).alias("latin")).distinct()
+    table = entry.select(F.md5(F.col("latin").cast("binary")).alias("place"), "latin", F.concat(F.lit("<"), "latin", F.lit(">")).alias("local"))
+    said = N.transliterate(t.titles.select(F.col("title").alias("name")), table)
+    return t.titles.join(said, t.titles["title"] == said["name"]).select("num", "local")
 
 
 @query(f"SELECT id, coalesce(regexp_matches(txt, '[\\x{{4e00}}-\\x{{9fff}}]'), false) AS has_cjk, coalesce(regexp_full_match(txt, '[\\x{{4e00}}-\\x{{9fa5}}]+'), false) AS is_chinese, coalesce({ZH}, false) AS is_text, coalesce({CUT}, false) AS truncated FROM texts")

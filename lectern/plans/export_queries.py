@@ -315,9 +315,9 @@ def recent_top_n(t):
     return X.recent_top_n(X.active_catalog(t.works)).select("id", "updated_at", "title")
 
 
-@query("SELECT id, row_number() OVER (PARTITION BY module ORDER BY submodule NULLS FIRST, year DESC NULLS LAST, id)::INTEGER AS position FROM works")
+@query("SELECT id, row_number() OVER (PARTITION BY left(schema_type, 1) ORDER BY submodule NULLS FIRST, year DESC NULLS LAST, id)::INTEGER AS position FROM works")
 def archive_order(t):
-    return X.archive_order(t.works).select("id", "position")
+    return X.archive_order(t.works.withColumn("module", F.left("schema_type", F.lit(1)))).select("id", "position")
 
 
 @query("SELECT id, title, 2 AS page, greatest(1, ceil((SELECT count(*) FROM titles) / 24.0))::INTEGER AS pages FROM titles ORDER BY year DESC NULLS LAST, id LIMIT 24 OFFSET 24")
@@ -325,6 +325,13 @@ def paginate(t):
     return X.paginate(t.titles, 2, 24, F.desc_nulls_last("year"), "id").select("id", "title", "page", "pages")
 
 
+@query("SELECT id, title, ceil(count(*) OVER () / 48.0)::INTEGER AS page FROM titles QUALIFY row_number() OVER (ORDER BY year DESC NULLS LAST, id) > (count(*) OVER () - 1) // 48 * 48")
+def last_page(t):
+    """The last page, by the index that all pages share."""
+    index = X.page_index(t.titles, F.desc_nulls_last("year"), "id")
+    return index.page(index.pages(48), 48).select("id", "title", "page")
+
+
 @query("SELECT id, title FROM titles ORDER BY CASE id WHEN '0201000007' THEN 1 WHEN '0201000003' THEN 2 ELSE 3 END, id LIMIT 4")
 def home_selection(t):
     return X.home_selection(t.titles, ["0201000007", "0201000003"]).select("id", "title")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lectern.operators import density as D
+from lectern.operators import importing as I
 from lectern.operators import merge as G
 from lectern.operators import pages as P
 from lectern.operators import payloads as L
 from lectern.operators import reviews as V
+from lectern.operators import segmentation as G2
 from lectern.plans.change_queries import LATEST
 from lectern.plans.registry import query
 from lectern.sources import io as IO
-from lectern.sources.scratch import scratch_folder
-from lectern.operators import density as D
-from lectern.operators import importing as I
+from lectern.sources.scratch import scratch_folder, written
 from lectern.sources.versions import VersionedTables
 from lectern.streaming import streams as T
 
@@ -254,38 +256,87 @@ def lexicon_sentiment(t):
     return V.lexicon_sentiment(t.reviews, "source", ["was", "heed", "ores"])
 
 
-@query()
+BAYES = f"""lab AS (SELECT d.doc_id AS key, l.quality AS label, ('0x' || md5(d.doc_id::VARCHAR)[1:4])::INTEGER % 10 >= 7 AS held,
+  list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s,;.\\-]+'), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w)) AS ws FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) l USING (doc_id)),
+prior AS (SELECT label, ln(count(*) * 1.0::DOUBLE / (SELECT count(*) FROM lab WHERE NOT held)) AS prior FROM lab WHERE NOT held GROUP BY label),
+per AS (SELECT label, w AS term, count(*) AS n FROM (SELECT label, unnest(ws) AS w FROM lab WHERE NOT held) GROUP BY ALL),
+voc AS (SELECT term FROM per GROUP BY term ORDER BY sum(n) DESC, term LIMIT 1000),
+cells AS (SELECT v.term, p.label, coalesce(per.n, 0) AS n FROM voc v CROSS JOIN prior p LEFT JOIN per ON per.term = v.term AND per.label = p.label),
+wgt AS (SELECT term, label, ln((n + 0.01::DOUBLE) / (sum(n) OVER (PARTITION BY label) + 0.01::DOUBLE * count(*) OVER (PARTITION BY label))) AS w FROM cells),
+sc AS (SELECT l.key, l.label AS truth, p.label, round(p.prior + coalesce(s, 0), 6) AS score FROM lab l CROSS JOIN prior p LEFT JOIN
+  (SELECT key, g.label, sum(tf * g.w) AS s FROM (SELECT key, w AS term, count(*) AS tf FROM (SELECT key, unnest(ws) AS w FROM lab WHERE held) GROUP BY ALL) f JOIN wgt g USING (term) GROUP BY ALL) x ON x.key = l.key AND x.label = p.label WHERE l.held)"""
+
+
+@query("SELECT key, any_value(truth) AS label, arg_min(label, {'s': -score, 'l': label}) AS prediction FROM sc GROUP BY key", BAYES)
 def train_sentiment(t):
-    rows = V.tokenize_reviews(t.documents.join(t.labels.where("quality is not null"), "doc_id"))
-    return V.train_sentiment(rows, "quality", "doc_id")
+    rows = t.documents.join(t.labels.where("quality is not null").select("doc_id", "quality").distinct(), "doc_id")
+    return V.train_sentiment(rows, "doc_id", "quality").select("key", "label", "prediction")
+
+
+#: Letters as Chinese characters, so that the given texts try the lattice.
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+
+
+@query()
+def cut_reviews(t):
+    """Words as runs of characters, cut by a dictionary of the frequent short words."""
+    text = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", HAN)
+    rows = t.reviews.select("id", text.alias("text"))
+    words = G2.word_dictionary(rows, "text", "[一-鿿]{2,4}").where("n >= 20")
+    out = V.cut_reviews(rows, "id", words, stop_words=[])
+    return out.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens"))
 
 
 def _vectors(t):
     return V.tfidf(V.tokenize_reviews(t.reviews))[0].select("id", "features")
 
 
-@query()
-def tfidf_vectors(t):
-    from pyspark.ml.functions import vector_to_array
+def _square(v):
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
 
-    norm = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x * x)
-    return _vectors(t).select("id", F.round(norm, 6).alias("squared_norm"))
 
+@query(
+    "SELECT id, CASE WHEN bool_or(v.term IS NOT NULL) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_norm FROM (SELECT id, unnest(CASE WHEN len(ws) = 0 THEN [''] ELSE ws END) AS term FROM tok) r LEFT JOIN voc v USING (term) GROUP BY id",
+    TOKENS + ", voc AS (SELECT term FROM tw ORDER BY total DESC, term LIMIT 1000)",
+)
+def tfidf_vectors(t):
+    return _vectors(t).select("id", F.round(_square(vector_to_array("features")), 6).alias("squared_norm"))
 
-@query()
+
+@query("SELECT id, true AS at_nearest FROM reviews")
 def kmeans_topics(t):
-    rows, _ = V.kmeans_topics(V.embedding_vectors(t.embeddings), 5)
-    return rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    """Every review is in the cluster of the nearest centre."""
+    x = _vectors(t)
+    model = V.kmeans_model(x, 5)
+    rows = V.nearest_centre(model.transform(x), model.clusterCenters())
+    return rows.select("id", (F.col("cluster") == F.col("nearest")).alias("at_nearest"))
 
 
-@query()
+@query("SELECT unnest(range(2, 7))::INTEGER AS k, true AS inertia_is_sum, 1::BIGINT AS n_elbows")
 def elbow_k(t):
-    return V.elbow_k(V.embedding_vectors(t.embeddings), 6)
+    """The inertia of each k is the sum of squared distances to the nearest centres, and one k is the elbow."""
+    x = written(_vectors(t), "vectors")
+    bend, totals = V.elbow_k(x, 6), []
+    for k in range(2, 7):
+        totals.append((k, V.nearest_centre(x, V.kmeans_model(x, k).clusterCenters()).agg(F.sum("distance")).first()[0]))
+    sums = t.spark.createDataFrame(totals, "k int, total double")
+    n = bend.agg(F.count_if("is_elbow").alias("n_elbows"))
+    same = F.abs(F.col("inertia") - F.col("total")) < 1e-6 * F.col("total")
+    return bend.join(sums, "k").crossJoin(n).select("k", same.alias("inertia_is_sum"), "n_elbows")
+
+
+@query("SELECT count(*) AS n, true AS uncorrelated, true AS in_order FROM reviews")
+def pca_coords(t):
+    """Principal coordinates are uncorrelated, and the first varies most."""
+    c = V.pca_coords(_vectors(t))
+    return c.agg(F.count("*").alias("n"), (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"), (F.var_pop("x") >= F.var_pop("y")).alias("in_order"))
 
 
 @query()
-def pca_coords(t):
-    return V.pca_coords(V.embedding_vectors(t.embeddings)).select("vec_id", "x", "y")
+def dbscan_reviews(t):
+    """Reviews by the density of their principal coordinates."""
+    c = V.pca_coords(_vectors(t), 3)
+    return D.dbscan_topics(c.select("id", F.array("x", "y", "z").alias("v")), 0.05, 5, dims=3)
 
 
 @query(
@@ -308,12 +359,14 @@ def _drained(stream, mode: str, name: str):
     return stream.sparkSession.table(name)
 
 
-@query("SELECT item, source, status FROM latest", LATEST)
+@query("SELECT item::VARCHAR AS item, source, status FROM latest", LATEST)
 def progress_stream(t):
-    folder = _folder(t)
-    t.log.write.parquet(folder)
-    updates = t.spark.readStream.schema(t.log.schema).parquet(folder)
-    return _drained(T.progress_stream(updates), "complete", f"progress_{uuid.uuid4().hex}").select("item", "source", "status")
+    folder, out = _folder(t), _folder(t)
+    log = t.log.withColumn("ts", F.col("ts").cast("timestamp"))
+    log.repartitionByRange(3, "ts").write.parquet(folder)
+    updates = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    T.progress_sink(T.progress_stream(updates, late="3650 days", idle_minutes=10 * 365 * 24 * 60), out, _folder(t)).awaitTermination()
+    return T.progress_table(t.spark, out).select("item", "source", "status")
 
 
 @query("SELECT source, date_trunc('hour', ts) AS hour, count(*) AS n FROM log GROUP BY ALL")

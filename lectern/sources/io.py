@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import nonblank
+from lectern.operators.upsert import numbered
 from lectern.schemas import MANIFEST_ITEM, TABLE_NAMES, table_schema
 
 
@@ -126,3 +127,19 @@ def restore_tables(spark: SparkSession, folder: str, expected: dict[str, DataFra
         if (a := out[name].count()) != (b := df.count()):
             raise ValueError(f"{name}: {a} rows in the snapshot, {b} expected")
     return out
+
+
+def read_transliterations(spark: SparkSession, path: str) -> DataFrame:
+    """(place, latin, local) from files that are one JSON object {latin: local} each, or lines ``latin,local`` (comma or tab; # begins a note), in their order.
+
+    Files come one after another by name; blank entries are left out.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    pairs = F.from_json("text", "map<string,string>", {"allowComments": "true"})
+    rows = F.transform(F.map_entries(pairs), lambda e: F.struct(e["key"].alias("latin"), e["value"].alias("local")))
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: ~F.trim(x).startswith("#") & x.rlike("[,\\t]"))
+    cells = F.transform(lines, lambda x: F.struct(F.split(x, "[,\\t]", 2)[0].alias("latin"), F.split(x, "[,\\t]", 2)[1].alias("local")))
+    entries = F.when(F.ltrim("text").startswith("{"), rows).otherwise(cells)
+    each = whole.select("file", F.posexplode(entries).alias("line", "e")).select("file", "line", F.lower(F.trim("e.latin")).alias("latin"), F.trim("e.local").alias("local"))
+    each = each.where((F.col("latin") != "") & (F.col("local") != ""))
+    return numbered(each, F.col("file"), F.col("line")).select((F.col("n") - 1).cast("long").alias("place"), "latin", "local")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars as S
-from lectern.functions.names import normalize_name, transliterated
+from lectern.functions.names import normalize_name, starter_table, transliterate
 from lectern.operators import export as X
 from lectern.operators import matching as M
 from lectern.operators import merge as G
@@ -43,7 +43,12 @@ def test_reversed_and_folded_names(spark):
     assert not one(spark, "frank", lambda c: S.is_reversed_name(c, F.lit("Frank")))
     assert one(spark, "Penélope  Cruz-1", normalize_name) == "penelopecruz1"
     assert one(spark, None, normalize_name) == ""
-    assert one(spark, "Adamson Xu", transliterated()) == "亚当·Xu"
+    names = spark.createDataFrame([("Adamson Xu",), (" al  ALEX Alexa ",), ("",), (None,)], "name string")
+    got = {r.name: r.local for r in transliterate(names, starter_table(spark)).collect()}
+    assert got == {"Adamson Xu": "亚当·Xu", " al  ALEX Alexa ": "艾伦·亚历克斯·亚历克斯", "": ""}
+    full = spark.createDataFrame([(0, "alex", "A"), (1, "alexander", "B"), (2, "alex", "C"), (3, "ki", "D")], "place long, latin string, local string")
+    got = {r.name: r.local for r in transliterate(spark.createDataFrame([("Alexander",), ("alexandra",), ("k",), ("kim",)], "name string"), full).collect()}
+    assert got == {"Alexander": "B", "alexandra": "C", "k": "D", "kim": "D"}
 
 
 def test_chinese_text(spark):
