@@ -607,10 +607,13 @@ def title_keys(t):
     return t.titles.select("num", S.normalize_title(F.concat("studio", F.lit(" — "), "title")).alias("title_key"), S.series_key(F.concat(F.lit("《"), "studio", F.lit("》 · "))).alias("series_key"), S.text_key(F.col("title")).alias("text_key"))
 
 
-@query("SELECT num, title, year FROM titles WHERE year IS NOT NULL")
+@query("SELECT num, title, year FROM titles")
 def split_query(t):
-    title, year = S.split_query(F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")")))
-    return t.titles.where("year is not null").select("num", title.alias("title"), year.alias("year"))
+    """Titles with their year in brackets of either width, before or after; without one there is no year to find."""
+    y, n = F.col("year").cast("string"), F.col("num") % 3
+    said = F.when(n == 0, F.concat("title", F.lit(" ("), y, F.lit(")"))).when(n == 1, F.concat(F.lit("（"), y, F.lit("） "), "title")).otherwise(F.concat(F.lit("  "), "title", F.lit("  "), y))
+    title, year = S.split_query(F.coalesce(said, "title"))
+    return t.titles.select("num", title.alias("title"), year.alias("year"))
 
 
 @query("SELECT id, CASE id % 9 WHEN 5 THEN 12 WHEN 6 THEN 7 WHEN 8 THEN 1234 END::BIGINT AS n, CASE id % 9 WHEN 5 THEN 321 WHEN 8 THEN 1234 END::BIGINT AS labeled, CASE id % 9 WHEN 5 THEN 125000 WHEN 6 THEN 7 WHEN 8 THEN 1234 END::BIGINT AS cjk, CASE id % 9 WHEN 6 THEN 7 END AS episode, CASE id % 9 WHEN 7 THEN '好书一本。' WHEN 0 THEN '这是一本网络小说，作者是张三，正在连载。' WHEN 2 THEN '电视剧由李四执导，主演王五...' WHEN 3 THEN '短' WHEN 5 THEN '约12.5万字，页码：321 页' WHEN 6 THEN '第 7 集 他们终于见面了' WHEN 8 THEN '字数：1,234 first text…' END AS summary FROM texts")

@@ -40,9 +40,9 @@ def export_ratings_csv(t):
     return IO.export_ratings(w).select("id", "douban", "imdb")
 
 
-@query("SELECT 'run' || (num % 7) AS run, row_number() OVER (PARTITION BY num % 7 ORDER BY id)::INTEGER AS position, id AS bookId, title FROM titles")
+@query("SELECT 'run' || (num // 20) AS run, row_number() OVER (PARTITION BY num // 20 ORDER BY id)::INTEGER AS position, id AS bookId, title FROM titles")
 def read_manifest(t):
-    rows = t.titles.groupBy(F.concat(F.lit("run"), (F.col("num") % 7).cast("string")).alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("bookId"), "title"))).alias("items"))
+    rows = t.titles.groupBy(F.concat(F.lit("run"), F.floor(F.col("num") / 20).cast("string")).alias("run")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("bookId"), "title"))).alias("items"))
     return IO.manifest_items(rows.select("run", F.to_json(F.struct("items")).alias("payload"))).select("run", "position", "bookId", "title")
 
 
@@ -160,16 +160,26 @@ def page_heading(t):
     return P.page_heading(t.pages)
 
 
-@query("SELECT page_id, '{\"id\":' || page_id || '}' AS payload FROM pages WHERE page_id % 2 = 0")
+#: An item of a stored page's navigation: its target and its text.
+NAV = r'<li><a href="/([^"]*)">([^<]*)</a></li>'
+
+
+def _recast(t, pattern: str, markup: str):
+    """The stored pages with what ``pattern`` finds in them set in other markup; what is read from it is still the page's own text."""
+    return t.pages.withColumn("html", F.regexp_replace("html", pattern, markup))
+
+
+@query("SELECT page_id, '{\"id\":' || regexp_extract(html, 'track\\((\\d+)\\);', 1) || '}' AS payload FROM pages WHERE regexp_matches(html, 'track\\(\\d+\\);')")
 def page_embedded_json(t):
-    script = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<script>window.DATA = {"id":'), F.col("page_id").cast("string"), F.lit("};</script>"))).otherwise("")
-    return P.page_embedded_json(t.pages.withColumn("html", F.concat("html", script)), r"window\.DATA").where("payload is not null")
+    return P.page_embedded_json(_recast(t, r"track\((\d+)\);", r'window.DATA = {"id":$1};'), r"window\.DATA").where("payload is not null")
 
 
-@query("SELECT page_id, 'Language' AS label, CASE WHEN page_id % 2 = 0 THEN 'English' ELSE 'French' END AS value FROM pages")
+@query(
+    """SELECT page_id, label, replace(regexp_extract(html, '<li><a href="/([^"]*)">[^<]*' || label || '</a></li>', 1), '&amp;', '&') || ' x' AS value FROM pages, (SELECT unnest(['The', 'and', 'der', 'la', 'para']) AS label)
+    WHERE regexp_matches(html, '<li><a href="/([^"]*)">[^<]*' || label || '</a></li>')"""
+)
 def page_label_value(t):
-    fact = F.concat(F.lit('<div><span class="pl">Language:</span> <b>'), F.when(F.col("page_id") % 2 == 0, "English").otherwise("French"), F.lit("</b><br></div>"))
-    return P.page_label_values(t.pages.withColumn("html", F.concat("html", fact)), ["Language", "Runtime"])
+    return P.page_label_values(_recast(t, NAV, r'<div><span class="pl">$2:</span> <b>$1</b> x<br></div>'), ["The", "and", "der", "la", "para"])
 
 
 @query(
@@ -185,39 +195,43 @@ def non_book_entry(t):
     return t.texts.select("id", P.non_book_entry(F.col("txt"), ["电视剧", "主演", "导演"], ["网络小说", "连载"]).alias("other"))
 
 
-def _rich(t):
-    """The stored pages with a definition list, a table and a cast list, whose texts follow the page id."""
-    n = F.col("page_id").cast("string")
-    more = F.concat(
-        F.lit("<h2>Facts</h2><dl><dt>Autor:</dt><dd>A"), n, F.lit("</dd><dt>Autor</dt><dd>B</dd></dl><h2>Awards</h2><ul><li>Prize "), n, F.lit("[1]</li><li>Prize "), n,
-        F.lit("</li></ul><h2>Plot</h2><p>Long enough plot "), n, F.lit("</p><h2>Cast</h2><ul><li>Name"), n, F.lit(" 饰 Role</li></ul><table><tr><td>1</td><td>T"), n, F.lit("</td></tr></table><p>第 1 集 start "), n, F.lit(" 第 2 集 end</p>"),
-    )
-    return t.pages.withColumn("html", F.concat("html", more))
+ALIASES = {"The": "article", "and": "joint", "der": "artikel", "la": "article", "para": "purpose"}
 
 
-@query("SELECT page_id, 'author' AS field, 'A' || page_id AS value FROM pages")
+@query(
+    """SELECT page_id, CASE label WHEN 'and' THEN 'joint' WHEN 'der' THEN 'artikel' WHEN 'para' THEN 'purpose' ELSE 'article' END AS field, replace(regexp_extract(html, '<li><a href="/([^"]*)">' || label || '</a></li>', 1), '&amp;', '&') || ' x' AS value
+    FROM pages, (SELECT unnest(['The', 'and', 'der', 'la', 'para']) AS label) WHERE regexp_matches(html, '<li><a href="/([^"]*)">' || label || '</a></li>')"""
+)
 def page_infobox(t):
-    return P.page_infobox(P.parse_pages(_rich(t)), {"Autor": "author"})
+    return P.page_infobox(P.parse_pages(_recast(t, NAV, "<dt>$2:</dt><dd>$1 x</dd>")), ALIASES)
 
 
-@query("SELECT page_id, 'Plot' AS heading, 'Long enough plot ' || page_id AS text FROM pages")
+@query(
+    """SELECT page_id, heading, array_to_string(list_filter(ps, lambda x, i: list_position(ps, x) = i), chr(10)) AS text FROM (SELECT page_id,
+      trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading,
+      list_filter(list_transform(string_split(regexp_extract(html, '(?s)</h1>(.*)</p>', 1), '</p>'), lambda x: trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(x, '(?s)^.*<p>(.*)$', 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))),
+        lambda x: length(x) >= 8) AS ps FROM pages) WHERE heading <> '' AND len(ps) > 0"""
+)
 def page_section(t):
-    return P.page_section(P.parse_pages(_rich(t)), "^Plot$")
+    return P.page_section(P.parse_pages(t.pages), ".")
 
 
-@query("SELECT page_id, 'Awards' AS heading, 'Prize ' || page_id AS item FROM pages")
+@query("SELECT DISTINCT page_id, '' AS heading, item FROM (SELECT page_id, trim(replace(unnest(regexp_extract_all(html, '<li><a[^>]*>(.*?)</a></li>', 1)), '&amp;', '&')) AS item FROM pages) WHERE item <> ''")
 def page_lists(t):
-    return P.page_lists(P.parse_pages(_rich(t)), "^Awards$")
+    return P.page_lists(P.parse_pages(t.pages), "^$")
 
 
-@query("SELECT page_id, 1 AS episode, 'start ' || page_id AS text FROM pages UNION ALL SELECT page_id, 2, 'end' FROM pages")
+@query(
+    """SELECT page_id, 3 AS episode, text FROM (SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(unnest(string_split(regexp_replace(html, '(?s)<footer.*$', ''), '</p><p>')[2:]), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages) WHERE text <> ''"""
+)
 def page_episodes(t):
-    return P.page_episodes(_rich(t))
+    parts = F.replace(F.regexp_replace("html", "(?s)<footer.*$", ""), F.lit("</p><p>"), F.lit("</p><p>第 3 集 "))
+    return P.page_episodes(t.pages.withColumn("html", parts))
 
 
-@query("SELECT page_id, 'Role' AS character, 'Name' || page_id AS actor FROM pages")
+@query("SELECT DISTINCT page_id, trim(replace(x, '&amp;', '&')) AS character, trim(replace(y, '&amp;', '&')) AS actor FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"/([^\"]*)\">([^<]*)</a></li>', 1)) AS x, unnest(regexp_extract_all(html, '<li><a href=\"/([^\"]*)\">([^<]*)</a></li>', 2)) AS y FROM pages) WHERE trim(x) <> '' AND trim(y) <> ''")
 def page_characters(t):
-    return P.page_characters(P.parse_pages(_rich(t)))
+    return P.page_characters(P.parse_pages(_recast(t, NAV, "<li>$2 饰 $1</li>")))
 
 
 # review text
