@@ -2,9 +2,11 @@
 
 Rule statistics are taken of every text. Their distribution in each (lang,
 source) group is held by mergeable KLL quantile sketches (built in parts,
-combined before the shuffle). The quantiles of a group are drawn towards those
-of all rows, the more the smaller it is. A statistic fails if it lies further from
-its group's median than SPREAD times the distance of the rule's tail quantile.
+combined before the shuffle). A fence lies at a reach from its group's median, and
+both are drawn towards those of all rows, the more the smaller the group is. The reach is some times the
+distance of a tail quantile; or, for a measure that most rows do not have at all, half
+way into the last gap of the upper quantiles that is wide beside what lies below it.
+A group of which the sketch tells no reach takes that of all rows; if they tell none either, the rule rejects nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise, only, portions, text_rows, window_hashes, word_hashes
 
-#: Distances between median and tail quantile that a statistic may lie off the median.
-SPREAD = 6.0
+#: A gap between neighbouring quantiles is wide if it is this many times the distance of the lower one from the median.
+WIDE = 6.0
+#: Quantiles that are searched for gaps.
+LADDER = [0.5 + i / 200 for i in range(101)]
 SKETCH_K = 400
 #: A group of this many rows has as much weight in its quantiles as all rows have.
 PRIOR_ROWS = 50
@@ -65,12 +69,12 @@ def _stats(batches):
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure, the quantile whose distance from the median is its spread, and the least spread, of a group whose values are all alike."""
+    """A measure, the quantile whose distance from the median counts, and how many times; without a tail the reach goes into the last wide gap."""
 
     name: str
     measure: Column
-    tail: float
-    least: float
+    tail: float | None = None
+    times: float = 1.0
     low: bool = False
 
 
@@ -78,30 +82,37 @@ def rules() -> list[Rule]:
     """The tail of a rule lies further in the more of a corpus's rows it usually rejects."""
     words, lines = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "n_lines"))
     return [
-        Rule("word_length", F.col("word_chars") / words, 0.8, 0.1, low=True),
-        Rule("symbol_share", F.col("n_symbols") / words, 0.8, 0.01),
-        Rule("dup_line_share", F.col("n_dup_lines") / lines, 0.95, 0.05),
-        Rule("repeat_share", F.col("n_repeat_words") / words, 0.95, 0.02),
+        Rule("word_length", F.col("word_chars") / words, 0.8, 6.0, low=True),
+        Rule("symbol_share", F.col("n_symbols") / words),
+        Rule("dup_line_share", F.col("n_dup_lines") / lines, 0.99, 2.0),
+        Rule("repeat_share", F.col("n_repeat_words") / words, 0.99, 2.0),
     ]
 
 
-def _quantiles(r: Rule, sketch: str) -> list[Column]:
-    return [F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, r.tail, 1 - r.tail)]
+def _reaches(r: Rule, sketch: str) -> tuple[Column, Column, Column]:
+    """Median, reach up and reach down by a sketch; a reach is null if the sketch tells none."""
+    at = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+    if r.tail is not None:
+        up, down = at(r.tail) - at(0.5), at(0.5) - at(1 - r.tail)
+        return at(0.5), F.when(up > 0, r.times * up), F.when(down > 0, r.times * down) if r.low else F.lit(None).cast("double")
+    q = F.array(*[at(x) for x in LADDER])
+    steps = F.zip_with(F.slice(q, 1, len(LADDER) - 1), F.slice(q, 2, len(LADDER) - 1), lambda below, above: F.struct((above - below).alias("gap"), (below - q[0]).alias("off")))
+    half = F.transform(F.filter(steps, lambda s: (s["gap"] > 0) & (s["gap"] >= WIDE * s["off"])), lambda s: s["off"] + s["gap"] / 2)
+    return at(0.5), F.when(F.size(half) > 0, F.try_element_at(half, F.lit(-1))), F.lit(None).cast("double")
 
 
 def fences(passed: DataFrame, rs: list[Rule]) -> DataFrame:
-    """(lang, source, lo_*, hi_*) of each group of ``passed`` (lang, source, m_*); a rule without a lower fence has a null one."""
+    """(lang, source, lo_*, hi_*) of each group of ``passed`` (lang, source, m_*); a fence that no sketch tells is null."""
     sketches = [F.kll_sketch_agg_double(f"m_{r.name}", SKETCH_K).alias(f"k_{r.name}") for r in rs]
     groups = materialise(passed.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches), "sketches")
-    every = groups.agg(*[F.kll_merge_agg_double(f"k_{r.name}").alias(f"all_{r.name}") for r in rs])
-    out = groups.crossJoin(F.broadcast(every))  # one row
+    told = lambda df, prefix, keys: df.select(*keys, *[c.alias(f"{prefix}{part}_{r.name}") for r in rs for part, c in zip(("mid", "up", "down"), _reaches(r, f"k_{r.name}"))])
+    every = told(groups.agg(*[F.kll_merge_agg_double(f"k_{r.name}").alias(f"k_{r.name}") for r in rs]), "all_", [])
+    out = told(groups, "", ["lang", "source", "n"]).crossJoin(F.broadcast(every))  # one row
     own = F.col("n") / (F.col("n") + F.lit(PRIOR_ROWS))
     ends = []
     for r in rs:
-        mid, high, low = (own * g + (1 - own) * a for g, a in zip(_quantiles(r, f"k_{r.name}"), _quantiles(r, f"all_{r.name}")))
-        reach = lambda spread: F.lit(SPREAD) * F.greatest(spread, F.lit(r.least))  # noqa: B023, E731
-        ends.append((mid - reach(mid - low) if r.low else F.lit(None).cast("double")).alias(f"lo_{r.name}"))
-        ends.append((mid + reach(high - mid)).alias(f"hi_{r.name}"))
+        mid, up, down = (own * F.coalesce(f"{c}_{r.name}", f"all_{c}_{r.name}") + (1 - own) * F.coalesce(f"all_{c}_{r.name}", f"{c}_{r.name}") for c in ("mid", "up", "down"))
+        ends += [(mid - down).alias(f"lo_{r.name}"), (mid + up).alias(f"hi_{r.name}")]
     return out.select("lang", "source", *ends)
 
 
@@ -126,7 +137,7 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = judged.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     ok = F.lit(True)
     for r in rs:
-        ok = ok & (r.measure <= F.col(f"hi_{r.name}")) & F.coalesce(r.measure >= F.col(f"lo_{r.name}"), F.lit(True))
+        ok = ok & F.coalesce(r.measure <= F.col(f"hi_{r.name}"), F.lit(True)) & F.coalesce(r.measure >= F.col(f"lo_{r.name}"), F.lit(True))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(False))).alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ok).alias("kept")
     )

@@ -164,25 +164,43 @@ def plain_kept(docs):
         measured.append((str(r.doc_id), n, failed, (r.lang, r.source), m))
         if not failed:
             groups[r.lang, r.source].append(m)
-    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values)), 1) - 1]
+    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values) - 1e-9), 1) - 1]
+
+    def reach(values, tail, times):
+        mid = at(values, 0.5)
+        if tail is not None:
+            return mid, times * (at(values, tail) - mid) or None, times * (mid - at(values, 1 - tail)) or None
+        q = [at(values, 0.5 + i / 200) for i in range(101)]
+        wide = [(lo - mid) + (hi - lo) / 2 for lo, hi in zip(q, q[1:]) if hi > lo and hi - lo >= 6 * (lo - mid)]
+        return mid, wide[-1] if wide else None, None
+
     every, out = [m for g in groups.values() for m in g], []
     for doc, n, failed, group, m in measured:
         ok = not failed
-        for i, (tail, least, low) in enumerate([(0.8, 0.1, True), (0.8, 0.01, False), (0.95, 0.05, False), (0.95, 0.02, False)]) if ok else ():
+        for i, (tail, times, low) in enumerate([(0.8, 6, True), (None, 0, False), (0.99, 2, False), (0.99, 2, False)]) if ok else ():
             own = len(groups[group]) / (len(groups[group]) + 50)
-            mid, hi, lo = (own * at([x[i] for x in groups[group]], q) + (1 - own) * at([x[i] for x in every], q) for q in (0.5, tail, 1 - tail))
-            ok = ok and m[i] <= mid + 6 * max(hi - mid, least) and (not low or m[i] >= mid - 6 * max(mid - lo, least))
+            parts = zip(reach([x[i] for x in groups[group]], tail, times), reach([x[i] for x in every], tail, times))
+            mid, up, down = (None if g is None and a is None else own * (a if g is None else g) + (1 - own) * (g if a is None else a) for g, a in parts)
+            ok = ok and (up is None or m[i] <= mid + up) and (not low or down is None or m[i] >= mid - down)
         out.append((doc, n, ok))
     return sorted(out)
 
 
-def test_quantiles_and_not_floors_decide(spark):
+def test_sketches_decide_every_rule(spark):
+    """No fence is a fixed one: each rule's move with its group, and half of all rows' spread brings other fences."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     passed = quality.judge(docs).where("not base_failed").join(docs.select("doc_id", "lang", "source"), "doc_id").withColumn("n_lines", F.lit(1))
     rs = quality.rules()
-    limits = quality.fences(passed.select("lang", "source", *[r.measure.alias(f"m_{r.name}") for r in rs]), rs).toPandas()
-    assert len(limits) > 50 and limits.hi_word_length.nunique() > 50 and limits.lo_word_length.nunique() > 50
-    assert ((limits.hi_word_length - limits.lo_word_length) > 2 * quality.SPREAD * 0.1 + 1e-6).mean() > 0.9
+    measures = passed.select("lang", "source", *[r.measure.alias(f"m_{r.name}") for r in rs]).persist()
+    limits = quality.fences(measures, rs).toPandas().sort_values(["lang", "source"])
+    narrow = quality.fences(measures.select("lang", "source", *[(F.col(f"m_{r.name}") / 2).alias(f"m_{r.name}") for r in rs]), rs).toPandas().sort_values(["lang", "source"])
+    assert len(limits) > 50
+    for r in rs:
+        hi = limits[f"hi_{r.name}"]
+        assert hi.notna().mean() > 0.95 and hi.nunique() > 50
+        half = narrow[f"hi_{r.name}"].to_numpy() / hi.to_numpy()  # a floor would not follow the measure; sketches of many rows are drawn anew
+        assert np.mean(np.abs(half - 0.5) < 0.05) > 0.95
+    assert limits.lo_word_length.nunique() > 50
 
 
 @pytest.mark.parametrize("which", ["sf", "odd"])
