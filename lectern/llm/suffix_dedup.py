@@ -341,9 +341,12 @@ def digests(cut: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+c AS (
+  SELECT doc_id, 1000 * j AS base, substr(hx, 2000 * j + 1, 2098) AS part, length(hx) // 2 AS n
+  FROM d, unnest(range(0, length(hx) // 2000 + 1)) u(j)),
 p AS (
-  SELECT doc_id, i, substr(hx, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 100 <= length(hx) THEN md5(substr(hx, 2 * i + 1, 100)) END AS w
-  FROM d, unnest(range(0, length(hx) // 2)) u(i)),
+  SELECT doc_id, base + i AS i, substr(part, 2 * i + 1, 2) AS b, CASE WHEN base + i + 50 <= n THEN md5(substr(part, 2 * i + 1, 100)) END AS w
+  FROM c, unnest(range(0, least(1000, n - base))) u(i)),
 f AS (SELECT w, min(doc_id) AS first FROM p WHERE w IS NOT NULL GROUP BY w),
 g AS (SELECT p.doc_id, i, b, CASE WHEN first < p.doc_id THEN 1 ELSE 0 END AS s FROM p LEFT JOIN f USING (w)),
 m AS (SELECT doc_id, i, b, max(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
