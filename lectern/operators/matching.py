@@ -85,13 +85,14 @@ def manifest_match(items: DataFrame, old: DataFrame) -> DataFrame:
 
 def candidate_score(pairs: DataFrame) -> DataFrame:
     """Score of (query_title, query_year, title, original, year, type): exact 100 / 80, contained 35 / 20, year 15, type 10."""
-    q, t, o = normalize_title(F.col("query_title")), normalize_title(F.col("title")), normalize_title(F.col("original"))
+    keyed = pairs.withColumns({f"__{c}": normalize_title(F.col(c)) for c in ("query_title", "title", "original")})  # once each
+    q, t, o = F.col("__query_title"), F.col("__title"), F.col("__original")
     has = q != ""
     parts = [
         F.when(has & (t == q), 100), F.when(has & (o == q), 80), F.when(has & t.contains(q) & (t != q), 35), F.when(has & o.contains(q) & (o != q), 20),
         F.when(F.col("query_year") == F.col("year"), 15), F.when(F.col("type") == "movie", 10),
     ]
-    return pairs.withColumn("score", reduce(Column.__add__, [F.coalesce(p, F.lit(0)) for p in parts]))
+    return keyed.withColumn("score", reduce(Column.__add__, [F.coalesce(p, F.lit(0)) for p in parts])).select(*[c for c in pairs.columns if c != "score"], "score")
 
 
 def candidate_top_k(scored: DataFrame, k: int = 5) -> DataFrame:

@@ -71,7 +71,9 @@ def review_terms(rows: DataFrame, key: str, text: str = "text", stop_words: list
     """(key, term): the tokens of ``tokenize_reviews``, a row each. Words are filtered as rows, only CJK runs are cut."""
     words = rows.select(key, F.explode(F.split(F.lower(text), SEPARATORS)).alias("term")).where(F.length("term") > 1)
     grams = F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substring("term", i, F.lit(2)))
-    terms = words.select(key, F.explode(F.when(F.col("term").rlike(CJK_RUN), grams).otherwise(F.array("term"))).alias("term"))
+    # most words are told apart by their first character alone
+    han = (F.col("term") >= "一") & (F.col("term") < "\ua000") & F.col("term").rlike(CJK_RUN)
+    terms = words.select(key, F.explode(F.when(han, grams).otherwise(F.array("term"))).alias("term"))
     return terms.where(~F.col("term").isin(stop_words)) if stop_words else terms
 
 
