@@ -590,6 +590,29 @@ def transliterate_name(t):
     return t.titles.join(said, t.titles["title"] == said["name"]).select("num", "local")
 
 
+#: Letters as Chinese characters, by which the given texts try the rules on Chinese text.
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+DOC_TEXTS = f"""dt AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') WHEN 2 THEN translate(text, 'aeiou', '{HAN[:5]}')
+  ELSE left(text, length(text) // 2) || '...' END AS txt FROM documents)"""
+
+
+@query(
+    f"""SELECT id, coalesce(regexp_matches(txt, '[\\x{{4e00}}-\\x{{9fff}}]'), false) AS has_cjk, coalesce({ZH}, false) AS is_text, coalesce({CUT}, false) AS truncated,
+    try_cast(nullif(regexp_extract(replace(txt, ',', ''), '(\\d+)', 1), '') AS BIGINT)::VARCHAR AS number, try_cast(nullif(regexp_extract(txt, '(\\d{{4}})', 1), '') AS INTEGER) AS year,
+    len(list_filter(regexp_split_to_array(txt, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS paragraphs, len(list_filter(regexp_split_to_array(txt, '\\r?\\n'), lambda x: trim(x) <> '')) AS lines, md5(txt) AS hash FROM dt""",
+    DOC_TEXTS,
+)
+def text_rules(t):
+    """Rules on Chinese text, numbers and paragraphs over all documents."""
+    c, k = F.col("text"), F.col("doc_id") % 4
+    han = F.translate(F.lower(c), "abcdefghijklmnopqrstuvwxyz", HAN)
+    txt = F.when(k == 0, c).when(k == 1, han).when(k == 2, F.translate(c, "aeiou", HAN[:5])).otherwise(F.concat(F.left(c, F.floor(F.length(c) / 2).cast("int")), F.lit("...")))
+    x = F.col("txt")
+    rules = {"has_cjk": S.has_cjk(x), "is_text": S.is_chinese_text(x), "truncated": S.has_truncation(x), "number": S.parse_int(x).cast("string"), "year": S.year_from_text(x), "hash": S.content_hash(x)}
+    counts = {"paragraphs": F.size(S.split_paragraphs(x)).cast("long"), "lines": F.size(S.split_paragraphs(x, False)).cast("long")}
+    return t.documents.select(F.col("doc_id").alias("id"), txt.alias("txt")).select("id", *[v.alias(n) for n, v in (rules | counts).items()])
+
+
 @query(f"SELECT id, coalesce(regexp_matches(txt, '[\\x{{4e00}}-\\x{{9fff}}]'), false) AS has_cjk, coalesce(regexp_full_match(txt, '[\\x{{4e00}}-\\x{{9fa5}}]+'), false) AS is_chinese, coalesce({ZH}, false) AS is_text, coalesce({CUT}, false) AS truncated FROM texts")
 def chinese_text(t):
     c = F.col("txt")

@@ -14,7 +14,7 @@ from lectern.operators import pages as P
 from lectern.operators import payloads as L
 from lectern.operators import reviews as V
 from lectern.operators import segmentation as G2
-from lectern.plans.change_queries import LATEST
+from lectern.plans.change_queries import HAN, LATEST
 from lectern.plans.registry import query
 from lectern.sources import io as IO
 from lectern.sources.scratch import scratch_folder, written
@@ -287,10 +287,6 @@ def train_sentiment(t):
     return V.train_sentiment(rows, "doc_id", "quality").select("key", "label", "prediction")
 
 
-#: Letters as Chinese characters, so that the given texts try the lattice.
-HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
-
-
 @query()
 def cut_reviews(t):
     """Words as runs of characters, cut by a dictionary of the frequent short words."""
