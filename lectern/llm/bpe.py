@@ -249,7 +249,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False, me
 
     ``digest`` gives their lowercase hex SHA-256 instead; ``memo`` bounds the pieces that a worker remembers. A null text is empty:
     no ids, empty decoded text. Rows are independent, so repeats and null
-    doc_ids pass through, and there is no shuffle.
+    doc_ids pass through, and there is no shuffle. Texts of any length are cut into chunks and encoded whole; other columns
+    are not read; an empty table gives an empty one.
     """
     kind = "string" if digest else "binary"
     return text_rows(docs).mapInArrow(partial(_encode, tokenizer_path, digest, memo), f"doc_id long, n_tokens long, ids {kind}, decoded {kind}")

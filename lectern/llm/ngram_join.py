@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     empty or wordless text has no shingle and links with nothing; a null doc_id
     has a null component_id and links with nothing. Rows that repeat a doc_id are
     judged each by its own text. Equal sets are one class with its smallest doc_id
-    as representative, so copies are never paired. Other columns are not read.
+    as representative, so copies are never paired. Texts of any length are read whole. Other columns are not read. An empty table gives an empty one.
     ``options``: k, and t_num and t_den of the bound.
     """
     return _components(docs, **options).drop("t")

@@ -168,7 +168,7 @@ def write_store(docs: DataFrame, target: str, tokenizer_path: str, end: int = 1)
     """Encode every whole text (null: empty), append ``end``, and write the store at ``target`` in ascending doc_id order.
 
     A null doc_id comes first; rows that repeat a doc_id follow each other by
-    text. An empty table makes a store without blocks.
+    text. A text of any length is one frame. Other columns are not read. An empty table makes a store without blocks.
     """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_path, end)
