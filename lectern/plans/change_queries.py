@@ -580,16 +580,34 @@ entry AS (SELECT DISTINCT left(w, 3 + length(w) % 4) AS latin FROM words WHERE l
 said AS (SELECT w, coalesce(max('<' || latin || '>') FILTER (latin = w), arg_min('<' || latin || '>', md5(latin)), w) AS local FROM (SELECT DISTINCT w FROM words) t LEFT JOIN entry ON starts_with(w, latin) OR starts_with(latin, left(w, 3)) GROUP BY w)"""
 
 
+def _translit_table(t):
+    w = t.titles.select(F.explode(F.split("title", " ")).alias("w")).distinct().where(F.length("w") % 3 > 0)
+    entry = w.select(F.left("w", 3 + F.length("w") % 4).alias("latin")).distinct()
+    return entry.select(F.md5(F.col("latin").cast("binary")).alias("place"), "latin", F.concat(F.lit("<"), "latin", F.lit(">")).alias("local"))
+
+
 @query("SELECT num, string_agg(local, '·' ORDER BY pos) AS local FROM words JOIN said USING (w) GROUP BY num", TRANSLIT)
 def transliterate_name(t):
     """Names of several words by a table as large as the words ask for."""
-    w = t.titles.select(F.explode(F.split("title", " ")).alias("w")).distinct().where(F.length("w") % 3 > 0)
-    entry = w.select(F.left("w", 3 + F.length("w") % 4).alias("latin")).distinct()
-    table = entry.select(F.md5(F.col("latin").cast("binary")).alias("place"), "latin", F.concat(F.lit("<"), "latin", F.lit(">")).alias("local"))
-    said = N.transliterate(t.titles.select(F.col("title").alias("name")), table)
+    said = N.transliterate(t.titles.select(F.col("title").alias("name")), _translit_table(t))
     return t.titles.join(said, t.titles["title"] == said["name"]).select("num", "local")
 
 
+@query(
+    """SELECT w.num // 8 AS work_id, w.num AS western_id, arg_min(l.num, l.num % 8) AS local_id FROM two w JOIN two l ON w.num // 8 = l.num // 8 AND l.num % 2 = 0 WHERE w.b <> '' AND l.b <> '' AND (w.b = l.b OR
+    (length(w.b) > 3 AND length(l.b) > 3 AND len(list_filter(string_split(l.b, ''), lambda c: contains(w.b, c))) >= least(length(w.b), length(l.b)) * 0.7)) GROUP BY ALL""",
+    TRANSLIT + ", two AS (SELECT num, regexp_replace(lower(string_agg(local, '·' ORDER BY pos)), '[·\\s]', '', 'g') AS b FROM words JOIN said USING (w) WHERE pos <= 2 GROUP BY num)",
+)
+def person_match_transliterated(t):
+    """People of a work that only their transliterated names bring together."""
+    two = F.array_join(F.slice(F.split("title", " "), 1, 2), " ")
+    table, n = _translit_table(t), F.col("num")
+    people = t.titles.select(F.floor(n / 8).alias("work_id"), "num", two.alias("name"))
+    local = people.where("num % 2 = 0").join(N.transliterate(people, table).select("name", F.col("local").alias("said")), "name")
+    local = local.select("work_id", F.col("num").alias("local_id"), (n % 8).alias("position"), F.col("said").alias("name"), F.lit(None).cast("string").alias("name_en"))
+    return M.person_match(people.select("work_id", F.col("num").alias("western_id"), "name"), local, table)
+
+
 #: Letters as Chinese characters, by which the given texts try the rules on Chinese text.
 HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
 DOC_TEXTS = f"""dt AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{HAN}') WHEN 2 THEN translate(text, 'aeiou', '{HAN[:5]}')
