@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import drop_table, materialise, mixed, only, portions
+from lectern.llm.common import materialise, mixed, only, portions
 
 WINDOW = 50
 #: Bytes that are hashed for a mark.
