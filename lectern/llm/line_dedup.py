@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import FILTER_BITS, drop_table, held, materialise, membership, mixed, only, portions, repeated, slot
-from lectern.llm.components import linked_components
+from lectern.operators.components import connected_components
 
 #: Blocks of a fingerprint.
 BLOCKS = 8
 #: Bits in which SimHashes of near lines may differ (chance gives 32), and the allowance for a line of few characters.
 NEAR_BITS, SHORT_BITS = 19, 200
-#: Lists of more lines than this are split: lines must meet in a second block too. So what chance brings together grows with the lines, not their square.
-LONG_LIST = 8
+#: Lines of a list's cell: a longer list is dealt into cells, and each pair of cells is one row of work. No pair depends on it.
+LONG_LIST = 64
+#: Characters up to which distances are taken for many pairs at once, and the pairs.
+SHORT_LINE, TOGETHER = 2048, 1024
 #: Words that a script which proves similarity may delete and insert; a longer one costs more than the distance.
 SCRIPT_WORDS = 24
 #: Lines are near-equal from this edit similarity, 1 - distance / longer length.
@@ -288,25 +290,203 @@ def edit_similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(x, y, most) is not None
 
 
+def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """For each pair of code arrays: is the edit distance ``most`` or less (which is at least the difference of the lengths).
+
+    The recurrence of ``edit_distance`` for many pairs at once, in words of 64 rows, and only in those of
+    diagonals on which a path of ``most`` edits can lie; the others are taken for too high.
+    """
+    order = np.argsort([-len(y) for y in ys], kind="stable")
+    xs, ys, most = [xs[i] for i in order], [ys[i] for i in order], most[order]
+    m, n = (np.array([len(z) for z in zs]) for zs in (xs, ys))
+    pairs, every, wide = len(xs), np.arange(len(xs)), (int(m.max()) + 63) // 64
+    a, b = np.concatenate(xs), np.concatenate(ys)
+    of_a, of_b = np.repeat(every, m), np.repeat(every, n)
+    at_a = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+    # symbols: the rank of a character among those of its pair's first line, 0 if it is not there
+    seen = np.zeros(int(max(a.max(), b.max())) + 1, bool)
+    seen[a] = seen[b] = True
+    letter = np.cumsum(seen) - 1
+    there = np.zeros((pairs, int(seen.sum())), bool)
+    there[of_a, letter[a]] = True
+    symbol = np.cumsum(there, 1) * there
+    kinds = int(symbol.max()) + 1
+    masks = np.zeros(pairs * kinds * wide, np.uint64)
+    np.bitwise_or.at(masks, (of_a * kinds + symbol[of_a, letter[a]]) * wide + (at_a >> 6), np.uint64(1) << (at_a & 63).astype(np.uint64))
+    column = np.zeros((int(n[0]), pairs), np.int64)
+    column[np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n), of_b] = (of_b * kinds + symbol[of_b, letter[b]]) * wide
+    above, below = int(((most + n - m) // 2).max()), int(((most + m - n) // 2).max())
+    up, down = np.full((wide, pairs), ~np.uint64(0)), np.zeros((wide, pairs), np.uint64)
+    top, first, distance = np.zeros(pairs, np.int64), 0, np.empty(pairs, np.int64)
+    one, last = np.uint64(1), np.uint64(63)
+    alive = pairs
+    for j in range(1, int(n[0]) + 1):
+        low, high = max(0, j - above - 1) >> 6, min(wide - 1, (j + below - 1) >> 6)
+        while first < low:  # rows that no path reaches any more: the value below them is carried on
+            top += np.bitwise_count(up[first]).astype(np.int64) - np.bitwise_count(down[first])
+            first += 1
+        top += 1
+        plus_in, minus_in = one, np.uint64(0)
+        at = column[j - 1, :alive]
+        for w in range(low, high + 1):
+            eq, u, d = masks[at + w], up[w, :alive], down[w, :alive]
+            vertical = eq | d
+            eq |= minus_in
+            zero = (((eq & u) + u) ^ u) | eq
+            plus, minus = d | ~(zero | u), u & zero
+            plus_out, minus_out = plus >> last, minus >> last
+            plus, minus = (plus << one) | plus_in, (minus << one) | minus_in
+            up[w, :alive], down[w, :alive] = minus | ~(vertical | plus), plus & vertical
+            plus_in, minus_in = plus_out, minus_out
+        while alive and n[alive - 1] == j:
+            i = alive = alive - 1
+            rest = [(1 << int(min(64, max(0, m[i] - 64 * w)))) - 1 for w in range(low, high + 1)]
+            distance[i] = top[i] + sum((int(up[w, i]) & r).bit_count() - (int(down[w, i]) & r).bit_count() for w, r in zip(range(low, high + 1), rest))
+    out = np.empty(pairs, bool)
+    out[order] = distance <= most
+    return out
+
+
+def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """``edit_similar`` of each pair; the distances of lines of usual length are taken together."""
+    out, open_ = np.zeros(len(xs), bool), []
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+        if abs(len(x) - len(y)) > most:
+            continue
+        if max(len(x), len(y)) > SHORT_LINE:
+            out[i] = edit_similar(x, y, similarity)
+            continue
+        n = _common(x, y, False)
+        x, y = x[n:], y[n:]
+        n = _common(x, y, True)
+        x, y = x[: len(x) - n], y[: len(y) - n]
+        if not x or not y or max(len(x), len(y)) <= most:
+            out[i] = max(len(x), len(y)) <= most
+        else:
+            open_.append((len(y) // 64, most, i, *(np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32) for z in (x, y))))
+    open_.sort(key=lambda p: p[:3])
+    for lo in range(0, len(open_), TOGETHER):
+        _, most, at, a, b = zip(*open_[lo : lo + TOGETHER])
+        out[list(at)] = _within(a, b, np.array(most))
+    return out
+
+
 def _similar_pairs(similarity: float, batches):
     for b in batches:
-        keep = pa.array([edit_similar(x, y, similarity) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_())
+        keep = pa.array(similar(b.column("x").to_pylist(), b.column("y").to_pylist(), similarity), pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
+_ROW_DDL = "far boolean, id long, component long, sim long, chars int" + "".join(f", b{i} long" for i in range(BLOCKS))
+#: Pairs of lines looked at in one piece.
+_PIECE = 1 << 18
+
+
+def _met(g: np.ndarray, cross: np.ndarray, sizes: np.ndarray, row: dict[str, np.ndarray], similarity: float):
+    """Rows (i, j) of each work that meet the bounds, in pieces; lines that share several blocks meet in the list of the first."""
+    ends = np.cumsum(sizes)
+    end, work = np.repeat(ends, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    later = end - np.arange(len(end)) - 1
+    upto, at = np.cumsum(later), 0
+    cells = np.stack([row[f"b{i}"] for i in range(BLOCKS)], 1)
+    while at < len(later):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PIECE, "right")))
+        n = later[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        ok = (row["component"][i] != row["component"][j]) & (~cross[work[i]] | (row["far"][i] != row["far"][j]))
+        i, j = i[ok], j[ok]
+        longer = np.maximum(row["chars"][i], row["chars"][j])
+        ok = np.minimum(row["chars"][i], row["chars"][j]) >= longer * similarity - 1e-6
+        ok &= np.bitwise_count((row["sim"][i] ^ row["sim"][j]).view(np.uint64)) <= NEAR_BITS + SHORT_BITS / longer
+        i, j = i[ok], j[ok]
+        same = cells[i] == cells[j]
+        first = same.argmax(1)
+        ok = same.any(1) & (cells[i, first] == g[work[i]])
+        yield i[ok], j[ok]
+
+
+def _unpacked(b: pa.RecordBatch):
+    """Lists, whether two cells meet, sizes and rows of the works in a batch."""
+    rows = b.column("rows")
+    row = rows.flatten()
+    fields = {f.name: row.field(f.name) for f in row.type}
+    lo, hi = (b.column(c).to_numpy() for c in ("lo", "hi"))
+    sizes = np.diff(rows.offsets.to_numpy())
+    return b.column("g").to_numpy(), lo != hi, sizes, {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items() if k != "line"}, fields
+
+
+def _with_partner(similarity: float, batches):
+    """The lines of each work that meet the bounds with another one."""
+    for b in batches:
+        g, cross, sizes, row, fields = _unpacked(b)
+        some = np.zeros(len(row["id"]), bool)
+        for i, j in _met(g, cross, sizes, row, similarity):
+            some[i] = some[j] = True
+        at, work = np.flatnonzero(some), np.repeat(np.arange(len(sizes)), sizes)
+        of = pa.array(work[at])
+        names = [k for k in fields]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in ("g", "lo", "hi")), *(fields[k].take(pa.array(at)) for k in names)], names=["g", "lo", "hi", *names])
+
+
+def _links(similarity: float, batches):
+    """The links within each work; a pair that earlier links of the batch have brought together is passed over."""
+    for b in batches:
+        g, cross, sizes, row, fields = _unpacked(b)
+        up: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (over := up.get(c, c)) != c:
+                up[c] = c = up.get(over, over)
+            return c
+
+        ids, comps, lines = row["id"], row["component"].tolist(), fields["line"]
+        for i, j in _met(g, cross, sizes, row, similarity):
+            for lo in range(0, len(i), TOGETHER):
+                open_ = [(x, y) for x, y in zip(i[lo : lo + TOGETHER].tolist(), j[lo : lo + TOGETHER].tolist()) if find(comps[x]) != find(comps[y])]
+                if open_:
+                    x, y = np.array(open_).T
+                    near = similar(*(lines.take(pa.array(z)).to_pylist() for z in (x, y)), similarity)
+                    for u, v in zip(x[near].tolist(), y[near].tolist()):
+                        up[find(comps[u])] = find(comps[v])
+                    yield pa.RecordBatch.from_arrays([pa.array(f(ids[x[near]], ids[y[near]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+
 def _lists(nodes: DataFrame, n: int) -> DataFrame:
-    """(g, id) of the lines that share a block with another one.
+    """(g, id) of the lines that share a block with another one."""
+    cells = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BLOCKS)])).alias("g"), F.col("key").alias("id"))
+    return repeated(cells, "g", "blocks", n * BLOCKS).select("g", "id")
+
 
-    A long list is split by the other blocks of its lines: there, lines must share two.
+def _works(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(g, lo, hi, far, id, ...): the lines of lists of several components, dealt so that any two of different components and near lengths are in one (g, lo, hi).
+
+    ``named``: (g, id, component). Lines are in cells by their list, whether they
+    are of its largest component, their length in steps of ``similarity``, and a
+    hash, LONG_LIST to a cell. Two cells meet (lo, hi) unless both are of the
+    largest component or no two lengths of theirs are near; ``far`` marks lines of hi.
     """
-    cells = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BLOCKS)])).alias("g"), F.col("key").alias("id"))
-    shared = materialise(repeated(cells, "g", "blocks", n * BLOCKS), "blocks")
-    long = shared.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > LONG_LIST).select("g")
-    whole = shared.join(long, "g", "left_anti")
-    rows = shared.join(long, "g").join(nodes, F.col("id") == F.col("key"))
-    finer = F.array(*[F.when(F.col(f"b{i}") != F.col("g"), F.xxhash64("g", f"b{i}")) for i in range(BLOCKS)])
-    parts = materialise(rows.select("id", F.explode(finer).alias("g")).where("g is not null"), "blocks")
-    return whole.select("g", "id").union(repeated(parts, "g", "blocks").select("g", "id"))
+    sizes = named.groupBy("g", "component").agg(F.count("*").alias("c"))
+    # in a list of two lines the hub has been tried with the other one
+    open_ = sizes.groupBy("g").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("most")).where("k > 1 and m > 2")
+    rows = named.join(open_.select("g", "m", F.col("most.component").alias("largest")), "g").join(nodes.withColumnRenamed("key", "id"), "id")
+    long = F.col("m") > LONG_LIST
+    # a little wider than the ratio, so rounding puts no two near lengths two bands apart
+    band = F.floor(F.log(F.greatest("chars", F.lit(1)).cast("double")) / (1.001 * max(-np.log(similarity), 1e-3))).cast("long")
+    rows = materialise(rows.withColumn("kind", band * 2 + (F.col("component") != F.col("largest")).cast("long")).drop("home", "n", "largest"), "mixed")
+    parts = rows.where(long).groupBy("g", "kind").agg(F.ceil(F.count("*") / LONG_LIST).alias("many"))
+    kinds = parts.groupBy("g").agg(F.collect_list(F.struct("kind", "many")).alias("kinds"))
+    attributes = ("component", "sim", "chars", *(f"b{i}" for i in range(BLOCKS)))
+    zero = F.lit(0).cast("long")
+    short = rows.where(~long).select("g", zero.alias("lo"), zero.alias("hi"), F.lit(False).alias("far"), "id", *attributes)
+    met = rows.where(long).join(kinds, "g").join(parts, ["g", "kind"])
+    own = F.shiftleft("kind", 32) + F.pmod(F.xxhash64("id"), "many")
+    near = F.filter("kinds", lambda x: (F.abs(F.shiftright(x["kind"], 1) - F.shiftright("kind", 1)) <= 1) & ((x["kind"] % 2 == 1) | (F.col("kind") % 2 == 1)))
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["many"] - 1), lambda i: F.shiftleft(x["kind"], 32) + i)))
+    met = met.select("g", own.alias("own"), F.explode(others).alias("other"), "id", *attributes)
+    return short.union(met.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("far"), "id", *attributes))
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -342,10 +522,25 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         # dealt anew, as long lines cost more than many short ones
         return both.repartition(F.col("a"), F.col("b")).mapInArrow(partial(_similar_pairs, similarity), "a long, b long")
 
-    comp = linked_components(lists, bound, verify).withColumnRenamed("id", "key")
+    # first each line is tried with its list's hub; then what is left of lists of several components, all pairs of these
+    hubs = lists.groupBy("g").agg(F.min(F.struct("rank", "id", "sim", "chars")).alias("h")).select("g", "h.*")
+    pairs = lists.alias("y").join(hubs.alias("x"), F.col("x.g") == F.col("y.g")).where((F.col("x.id") != F.col("y.id")) & bound("x", "y"))
+    pairs = materialise(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "star")
+    near = materialise(verify(pairs), "links")
+    comp = materialise(connected_components(near), "comp")
+    named = materialise(lists.select("g", "id").join(comp, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component")), "named")
+
+    def works(rows):
+        return rows.groupBy("g", "lo", "hi").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in ("g", "lo", "hi")))).alias("rows"))
+
+    some = works(_works(named, nodes, similarity)).mapInArrow(partial(_with_partner, similarity), "g long, lo long, hi long, " + _ROW_DDL)
+    some = materialise(some, "works")
+    more = works(some.join(texts.toDF("id", "line"), "id")).mapInArrow(partial(_links, similarity), "a long, b long")
+    more = materialise(more, "links")
+    comp = connected_components(near.union(more)).withColumnRenamed("id", "key")
     grouped = nodes.select("key", "n").join(comp, "key", "left").where("component is not null or n > 1").select("key", F.coalesce("component", "key").alias("component"))
     members = materialise(lines.select("doc_id", "t", "line_no", "key").join(grouped, "key"), "members")
-    for table in (lines, nodes, met, keys, lists, texts):
+    for table in (lines, nodes, met, keys, lists, texts, pairs, near, named, some, more):
         drop_table(table)
     place = F.struct("doc_id", "t", "line_no")
     kept = members.groupBy("component").agg(F.min(place).alias("kept"))

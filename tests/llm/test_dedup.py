@@ -216,6 +216,48 @@ def test_long_lists_are_split(spark, monkeypatch):
     assert len(want) >= len(got) >= 0.95 * len(want) and want
 
 
+def template_lines(seed=4):
+    """Lists far over the length of a cell: lines that share most words, and lines that share a passage, near or not."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    lines = []
+    for length in (5, 6, 8):
+        base = [word() for _ in range(length)]
+        for _ in range(40):
+            near = list(base)
+            near[r.randrange(length)] = word()
+            lines.append(" ".join(near))
+    passage = " ".join(word() for _ in range(30))
+    lines += [" ".join([word() for _ in range(r.randint(0, 9))] + [passage] + [word() for _ in range(r.randint(0, 12))]) for _ in range(90)]
+    return list(enumerate(lines))
+
+
+@pytest.mark.parametrize("cell", [None, 5])
+def test_long_lists_lose_no_link(spark, monkeypatch, cell):
+    """With the length of lists that the query has, and cells so small that every list is dealt."""
+    rows = template_lines()
+    if cell:
+        monkeypatch.setattr(line_dedup, "LONG_LIST", cell)
+    got = {(r.doc_id, n) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() for n in r.lines}
+    assert got == brute_lines(rows) and got
+
+
+def test_distances_together_are_those_of_each_pair():
+    r, xs, ys = random.Random(9), [], []
+    for _ in range(1500):
+        letters = r.choice(["ab", "abcdefgh ", "éü日本語x y", "a\U0001f600"])
+        x = [r.choice(letters) for _ in range(r.randint(1, r.choice([1, 3, 60, 64, 65, 130, 400])))]
+        y = list(x)
+        for _ in range(r.randint(0, max(1, len(x) // 3))):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 1)] = [r.choice(letters)] * r.randint(0, 1)
+        xs.append("".join(x))
+        ys.append("".join(y))
+    for similarity in (0.6, 0.8, 0.95):
+        want = [edit_similar(x, y, similarity) for x, y in zip(xs, ys)]
+        assert line_dedup.similar(xs, ys, similarity).tolist() == want and 100 < sum(want) < 1400
+
+
 def test_most_near_lines_go(spark):
     """Recall by edit similarity alone, no SimHash in the reference: the loss by length and change."""
     r = random.Random(8)
