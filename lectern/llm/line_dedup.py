@@ -347,8 +347,11 @@ def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.
     return out
 
 
-def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.ndarray:
-    """``edit_similar`` of each pair; the distances of lines of usual length are taken together."""
+def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY, script: int = 0) -> np.ndarray:
+    """``edit_similar`` of each pair; the distances of lines of usual length are taken together.
+
+    Where most pairs are links, scripts of up to ``script`` words are cheaper and are tried first.
+    """
     out, open_ = np.zeros(len(xs), bool), []
     for i, (x, y) in enumerate(zip(xs, ys)):
         most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
@@ -363,6 +366,10 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.
         x, y = x[: len(x) - n], y[: len(y) - n]
         if not x or not y or max(len(x), len(y)) <= most:
             out[i] = max(len(x), len(y)) <= most
+            continue
+        bound = words_bound(x.split(" "), y.split(" "), min(most // 3 + 1, script)) if script else None
+        if bound is not None and bound <= most:
+            out[i] = True
         else:
             open_.append((len(y) // 64, most, i, *(np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32) for z in (x, y))))
     open_.sort(key=lambda p: p[:3])
@@ -374,7 +381,7 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY) -> np.
 
 def _similar_pairs(similarity: float, batches):
     for b in batches:
-        keep = pa.array(similar(b.column("x").to_pylist(), b.column("y").to_pylist(), similarity), pa.bool_())
+        keep = pa.array(similar(b.column("x").to_pylist(), b.column("y").to_pylist(), similarity, SCRIPT_WORDS), pa.bool_())
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 

@@ -256,6 +256,7 @@ def test_distances_together_are_those_of_each_pair():
     for similarity in (0.6, 0.8, 0.95):
         want = [edit_similar(x, y, similarity) for x, y in zip(xs, ys)]
         assert line_dedup.similar(xs, ys, similarity).tolist() == want and 100 < sum(want) < 1400
+        assert line_dedup.similar(xs, ys, similarity, line_dedup.SCRIPT_WORDS).tolist() == want
 
 
 def test_most_near_lines_go(spark):
