@@ -9,7 +9,7 @@ import corpus_pipeline
 from lectern.llm import queries as Q
 from lectern.llm.common import materialise
 from tests.compare import numbers_alike, rows
-from tests.llm.test_dedup import brute_components, brute_lines
+from tests.llm.test_dedup import brute_components, brute_lines, template_lines
 
 
 def test_names():
@@ -53,6 +53,13 @@ def test_stages_against_brute_force(spark, sf, documents):
     assert sorted((r.doc_id, r.ids_sha256) for r in out) == sorted(want)
 
 
+def test_line_dedup_stage_loses_no_link_of_long_lists(spark, sf):
+    lines = template_lines(7)
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in lines], "doc_id long, text string, n_chars long")
+    gone = {d for d, _ in brute_lines(lines)}
+    assert gone and {r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, sf).collect()} == {d for d, _ in lines} - gone
+
+
 def test_stages_on_odd_and_no_documents(spark, sf, odd_documents, no_documents):
     for first in (odd_documents, no_documents):
         docs = first
