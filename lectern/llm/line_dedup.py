@@ -13,7 +13,8 @@ has them and lengths that allow it are verified by edit similarity.
 from __future__ import annotations
 
 from collections import Counter
-from functools import partial
+from collections.abc import Iterator
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import FILTER_BITS, drop_table, held, materialise, membership, mixed, only, portions, repeated, slot
+from lectern.llm.common import FILTER_BITS, drop_table, held, materialise, membership, mixed, only, portions, slot
 from lectern.operators.components import connected_components
 
 #: Blocks of a fingerprint.
@@ -30,8 +31,10 @@ BLOCKS = 8
 NEAR_BITS, SHORT_BITS = 19, 200
 #: Lines of a list's cell: a longer list is dealt into cells, and each pair of cells is one row of work. No pair depends on it.
 LONG_LIST = 64
-#: Characters up to which distances are taken for many pairs at once, and the pairs.
-SHORT_LINE, TOGETHER = 2048, 1024
+#: Characters up to which distances are taken for many pairs at once, and the pairs; fewer than FEW go one by one.
+SHORT_LINE, TOGETHER, FEW = 2048, 1024, 24
+#: Pairs that a task gathers, and their characters, so that those of like length are taken together.
+GATHERED, GATHERED_CHARS = 1 << 14, 1 << 24
 #: Words that a script which proves similarity may delete and insert; a longer one costs more than the distance.
 SCRIPT_WORDS = 24
 #: Lines are near-equal from this edit similarity, 1 - distance / longer length.
@@ -77,14 +80,20 @@ class Lines:
         self.text = np.repeat(np.arange(len(low)), [x.count(b"\n") + 1 for x in low])[line[first]]
         top = np.cumsum([0] + [x.count(b"\n") + 1 for x in low])
         self.no = line[first] - top[self.text]
-        self.words = np.empty(len(starts), np.uint64)
+        self._places = raw, starts, ends
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        raw, starts, ends = self._places
+        words = np.empty(len(starts), np.uint64)
         at = 0
         while at < len(starts):  # some words at a time, as places count from the first one
             lo, to = starts[at], max(at + 1, int(np.searchsorted(ends, starts[at] + _SEGMENT, "right")))
             s, e = starts[at:to] - lo, ends[at:to] - lo
             total = np.append(np.uint64(0), np.cumsum(raw[lo : ends[to - 1]] * _powers(int(e[-1]), _BASE)))
-            self.words[at:to] = mixed((total[e] - total[s]) * _powers(int(e[-1]), _INVERSE)[s])
+            words[at:to] = mixed((total[e] - total[s]) * _powers(int(e[-1]), _INVERSE)[s])
             at = to
+        return words
 
     def __getitem__(self, i: int) -> bytes:
         return self.bytes[self.from_[i] : self.to[i]]
@@ -162,31 +171,119 @@ def blocks(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("key", pa.int64()), ("chars", pa.int32()), ("sim", pa.int64()), *((f"b{i}", pa.int64()) for i in range(BLOCKS))])
-_LINES_DDL = "doc_id long, t int, line_no int, key long, chars int, sim long" + "".join(f", b{i} long" for i in range(BLOCKS))
+_BLOCKS = [f"b{i}" for i in range(BLOCKS)]
+_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("key", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
+_LINES_DDL = "doc_id long, t int, line_no int, key long" + "".join(f", {b} long" for b in _BLOCKS)
+_TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string()), ("chars", pa.int32()), ("sim", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
+_TEXTS_DDL = "key long, line string, chars int, sim long" + "".join(f", {b} long" for b in _BLOCKS)
+#: Bytes of text taken apart at once: the arrays of a larger portion leave the processor's cache.
+_PORTION = 1 << 18
+
+
+def _columns(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _fingerprints(batches):
     only("words")
-    for b in portions(batches):
+    for b in portions(batches, _PORTION):
         lines = Lines(b.column("text").to_pylist())
         if len(lines):
-            h, starts = lines.pair_hashes()
             docs, ts = (b.column(c).take(pa.array(lines.text)) for c in ("doc_id", "t"))
-            cols = [docs, ts, lines.no, lines.keys(), lines.chars, simhashes(h, starts).view(np.int64), *blocks(h, starts).view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, _LINES)], schema=_LINES)
+            yield _columns([docs, ts, lines.no, lines.keys(), *blocks(*lines.pair_hashes()).view(np.int64).T], _LINES)
 
 
 def _line_texts(docs_bits, key_bits, batches):
-    """Key and text of the lines that the bitmap of keys has, from documents that the other one has; one worker does both."""
-    schema = pa.schema([("key", pa.int64()), ("line", pa.string())])
-    for b in portions(batches):
+    """Key, text and fingerprint of the lines that the bitmap of keys has, from documents that the other one has; one worker does both."""
+    for b in portions(batches, _PORTION):
         b = b.filter(pa.array(held(docs_bits.value, b.column("__h").to_numpy())))
         if b.num_rows:
             lines = Lines(b.column("text").to_pylist())
             keys = lines.keys()
             at = np.flatnonzero(held(key_bits.value, keys & (FILTER_BITS - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array([lines[i].decode("utf-8", "replace") for i in at], pa.string())], schema=schema)
+            at = at[np.sort(np.unique(keys[at], return_index=True)[1])]
+            if len(at):
+                texts = [lines[i] for i in at]
+                some = Lines([b"\n".join(texts)])
+                h, starts = some.pair_hashes()
+                yield _columns([keys[at], [x.decode("utf-8", "replace") for x in texts], some.chars, simhashes(h, starts).view(np.int64), *blocks(h, starts).view(np.int64).T], _TEXTS)
+
+
+#: Lines whose cells are sorted at once, cells of a part, and lines from which a cell is known to be a crowd's.
+_SORTED, _PART, _CROWD = 1 << 17, 1 << 18, 1000
+_CELLS_DDL = "part int, sure boolean, g binary, ids binary"
+
+
+def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(g)))
+
+
+def _cells(parts: int, batches):
+    """The cells of the lines, (block, key), dealt into parts by block as packed numbers.
+
+    A crowd's block is known to be shared: two of its cells tell the block's part so, the
+    others are ``sure`` and go anywhere, so that no task gets a crowd as a whole.
+    """
+
+    def dealt(some):
+        keys = np.concatenate([b.column("key").to_numpy() for b in some])
+        keys, first = np.unique(keys, return_index=True)
+        g = np.stack([np.concatenate([b.column(c).to_numpy() for b in some])[first] for c in _BLOCKS], 1).ravel().view(np.uint64)
+        order = np.argsort(g)
+        g, ids = g[order], keys[order // BLOCKS]
+        starts, sizes = _runs(g)
+        sure = np.repeat(sizes > _CROWD, sizes) & (np.arange(len(g)) - np.repeat(starts, sizes) >= 2)
+        rows = []
+        for lo in range(0, int(sure.sum()), _CROWD):
+            x, y = g[sure][lo : lo + _CROWD], ids[sure][lo : lo + _CROWD]
+            rows.append((int(y[0] % parts), True, x.tobytes(), y.tobytes()))
+        g, ids = g[~sure], ids[~sure]
+        part = ((g >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts, sizes = _runs(part)
+        rows += [(int(part[i]), False, g[i : i + n].tobytes(), ids[i : i + n].tobytes()) for i, n in zip(starts.tolist(), sizes.tolist())]
+        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "sure", "g", "ids"])
+
+    some, n = [], 0
+    for b in batches:
+        some.append(b)
+        n += b.num_rows
+        if n >= _SORTED:
+            yield dealt(some)
+            some, n = [], 0
+    if n:
+        yield dealt(some)
+
+
+def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, id) of the blocks of a part that lines of different keys have."""
+
+    def rows(g, ids):
+        for lo in range(0, len(g), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].view(np.int64)) for x in (g, ids)], names=["g", "id"])
+
+    gs, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        for sure, x, y in zip(*(b.column(c).to_pylist() for c in ("sure", "g", "ids"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.int64)
+            if sure:
+                yield from rows(x, y)
+            else:
+                gs.append(x)
+                ids.append(y)
+    g, ids = np.concatenate(gs), np.concatenate(ids)
+    order = np.argsort(g)
+    g, ids = g[order], ids[order]
+    for again in (True, False):
+        sizes = _runs(g)[1]
+        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if again:  # a line that several tasks had is one
+            at = at[np.lexsort((ids[at], g[at]))]
+            at = at[np.append(True, (g[at][1:] != g[at][:-1]) | (ids[at][1:] != ids[at][:-1]))] if len(at) else at
+        g, ids = g[at], ids[at]
+    yield from rows(g, ids)
 
 
 def _common(x, y, end: bool) -> int:
@@ -347,16 +444,25 @@ def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.
     return out
 
 
+def _word_by_word(x: str, y: str) -> int | None:
+    """An upper bound of the edit distance of lines with as many words, each put for the other's."""
+    a, b = x.split(" "), y.split(" ")
+    return sum([max(len(p), len(q)) for p, q in zip(a, b) if p != q]) if len(a) == len(b) else None
+
+
 def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY, script: int = 0) -> np.ndarray:
     """``edit_similar`` of each pair; the distances of lines of usual length are taken together.
 
-    Where most pairs are links, scripts of up to ``script`` words are cheaper and are tried first.
+    Where most pairs are links, words in their places and scripts of up to ``script`` words are cheaper and are tried first.
     """
     out, open_ = np.zeros(len(xs), bool), []
     for i, (x, y) in enumerate(zip(xs, ys)):
         most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
         if abs(len(x) - len(y)) > most:
             continue
+        if script and (bound := _word_by_word(x, y)) is not None and bound <= most:
+            out[i] = True
+            continue
         if max(len(x), len(y)) > SHORT_LINE:
             out[i] = edit_similar(x, y, similarity)
             continue
@@ -371,18 +477,43 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY, script
         if bound is not None and bound <= most:
             out[i] = True
         else:
-            open_.append((len(y) // 64, most, i, *(np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32) for z in (x, y))))
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            open_.append((len(y), most, i, x, y))
     open_.sort(key=lambda p: p[:3])
-    for lo in range(0, len(open_), TOGETHER):
-        _, most, at, a, b = zip(*open_[lo : lo + TOGETHER])
-        out[list(at)] = _within(a, b, np.array(most))
+    lo = 0
+    while lo < len(open_):
+        longest, hi = max(open_[lo][0] * 1.25, open_[lo][0] + 64), lo + 1
+        while hi < min(len(open_), lo + TOGETHER) and open_[hi][0] <= longest:
+            hi += 1
+        if hi - lo < FEW:
+            for _, most, i, x, y in open_[lo:hi]:
+                out[i] = edit_distance(x, y, most) is not None
+        else:
+            _, most, at, a, b = zip(*open_[lo:hi])
+            codes = ([np.frombuffer(z.encode("utf-32-le", "surrogatepass"), np.uint32) for z in zs] for zs in (a, b))
+            out[list(at)] = _within(*codes, np.array(most))
+        lo = hi
     return out
 
 
 def _similar_pairs(similarity: float, batches):
-    for b in batches:
+    for b in _gathered(batches):
         keep = pa.array(similar(b.column("x").to_pylist(), b.column("y").to_pylist(), similarity, SCRIPT_WORDS), pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+        for part in pa.Table.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"]).to_batches():
+            yield part
+
+
+def _gathered(batches) -> Iterator[pa.Table]:
+    """Batches of pairs put together."""
+    some, n, chars = [], 0, 0
+    for b in batches:
+        some.append(b)
+        n, chars = n + b.num_rows, chars + b.nbytes
+        if n >= GATHERED or chars >= GATHERED_CHARS:
+            yield pa.Table.from_batches(some)
+            some, n, chars = [], 0, 0
+    if some:
+        yield pa.Table.from_batches(some)
 
 
 _ROW_DDL = "far boolean, id long, component long, sim long, chars int" + "".join(f", b{i} long" for i in range(BLOCKS))
@@ -439,32 +570,49 @@ def _with_partner(similarity: float, batches):
 
 
 def _links(similarity: float, batches):
-    """The links within each work; a pair that earlier links of the batch have brought together is passed over."""
+    """The components that links within the works bring together; a pair that earlier links of the task have brought together is passed over."""
+    up: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (over := up.get(c, c)) != c:
+            up[c] = c = up.get(over, over)
+        return c
+
+    def settled(pairs):
+        pairs.sort(key=lambda p: max(len(p[2]), len(p[3])))
+        found = []
+        for lo in range(0, len(pairs), TOGETHER):
+            open_ = [p for p in pairs[lo : lo + TOGETHER] if find(p[0]) != find(p[1])]
+            if open_:
+                a, b, x, y = zip(*open_)
+                for i in np.flatnonzero(similar(x, y, similarity)).tolist():
+                    up[find(a[i])] = find(b[i])
+                    found.append((min(a[i], b[i]), max(a[i], b[i])))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    pairs, chars = [], 0
     for b in batches:
         g, cross, sizes, row, fields = _unpacked(b)
-        up: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (over := up.get(c, c)) != c:
-                up[c] = c = up.get(over, over)
-            return c
-
-        ids, comps, lines = row["id"], row["component"].tolist(), fields["line"]
+        comps, lines = row["component"].tolist(), fields["line"]
         for i, j in _met(g, cross, sizes, row, similarity):
-            for lo in range(0, len(i), TOGETHER):
-                open_ = [(x, y) for x, y in zip(i[lo : lo + TOGETHER].tolist(), j[lo : lo + TOGETHER].tolist()) if find(comps[x]) != find(comps[y])]
-                if open_:
-                    x, y = np.array(open_).T
-                    near = similar(*(lines.take(pa.array(z)).to_pylist() for z in (x, y)), similarity)
-                    for u, v in zip(x[near].tolist(), y[near].tolist()):
-                        up[find(comps[u])] = find(comps[v])
-                    yield pa.RecordBatch.from_arrays([pa.array(f(ids[x[near]], ids[y[near]])) for f in (np.minimum, np.maximum)], names=["a", "b"])
-
-
-def _lists(nodes: DataFrame, n: int) -> DataFrame:
-    """(g, id) of the lines that share a block with another one."""
-    cells = nodes.select(F.explode(F.array(*[f"b{i}" for i in range(BLOCKS)])).alias("g"), F.col("key").alias("id"))
-    return repeated(cells, "g", "blocks", n * BLOCKS).select("g", "id")
+            for lo in range(0, len(i), GATHERED):
+                open_ = [(x, y) for x, y in zip(i[lo : lo + GATHERED].tolist(), j[lo : lo + GATHERED].tolist()) if find(comps[x]) != find(comps[y])]
+                at = sorted({x for p in open_ for x in p})
+                text = dict(zip(at, lines.take(pa.array(at, pa.int64())).to_pylist()))
+                for x, y in open_:
+                    pairs.append((comps[x], comps[y], text[x], text[y]))
+                    chars += len(text[x]) + len(text[y])
+                if len(pairs) >= GATHERED or chars >= GATHERED_CHARS:
+                    yield settled(pairs)
+                    pairs, chars = [], 0
+    if pairs:
+        yield settled(pairs)
+
+
+def _lists(lines: DataFrame, n: int) -> DataFrame:
+    """(g, id) of the lines that share a block with another one; ``lines`` are ``n`` rows of a written table."""
+    cells = lines.select("key", *_BLOCKS).mapInArrow(partial(_cells, max(1, n * BLOCKS // _PART)), _CELLS_DDL)
+    return cells.groupBy("part").applyInArrow(_shared, "g long, id long")
 
 
 def _works(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -478,11 +626,11 @@ def _works(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     sizes = named.groupBy("g", "component").agg(F.count("*").alias("c"))
     # in a list of two lines the hub has been tried with the other one
     open_ = sizes.groupBy("g").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("most")).where("k > 1 and m > 2")
-    rows = named.join(open_.select("g", "m", F.col("most.component").alias("largest")), "g").join(nodes.withColumnRenamed("key", "id"), "id")
+    rows = named.join(open_.select("g", "m", F.col("most.component").alias("largest")), "g").join(nodes, "id")
     long = F.col("m") > LONG_LIST
     # a little wider than the ratio, so rounding puts no two near lengths two bands apart
     band = F.floor(F.log(F.greatest("chars", F.lit(1)).cast("double")) / (1.001 * max(-np.log(similarity), 1e-3))).cast("long")
-    rows = materialise(rows.withColumn("kind", band * 2 + (F.col("component") != F.col("largest")).cast("long")).drop("home", "n", "largest"), "mixed")
+    rows = materialise(rows.withColumn("kind", band * 2 + (F.col("component") != F.col("largest")).cast("long")).drop("largest"), "mixed")
     parts = rows.where(long).groupBy("g", "kind").agg(F.ceil(F.count("*") / LONG_LIST).alias("many"))
     kinds = parts.groupBy("g").agg(F.collect_list(F.struct("kind", "many")).alias("kinds"))
     attributes = ("component", "sim", "chars", *(f"b{i}" for i in range(BLOCKS)))
@@ -507,16 +655,16 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """
     rows = _rows(docs).where("doc_id is not null")
     lines = materialise(rows.mapInArrow(_fingerprints, _LINES_DDL), "lines")
-    same = [F.first(c).alias(c) for c in ("chars", "sim", *(f"b{i}" for i in range(BLOCKS)))]
-    nodes = materialise(lines.groupBy("key").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"), *same), "nodes")
-    met = materialise(_lists(nodes, nodes.count()), "met")
+    nodes = materialise(lines.groupBy("key").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "nodes")
+    met = materialise(_lists(lines, lines.count()), "met")
     # the line of most lists is a list's hub: of near copies, the one they come from
     weight = met.groupBy("id").agg((-F.count("*")).alias("rank"))
-    keys = materialise(weight.join(nodes.select(F.col("key").alias("id"), "home", "sim", "chars"), "id"), "keys")
-    lists = materialise(met.join(keys.drop("home"), "id"), "lists")
+    keys = materialise(weight.join(nodes.select(F.col("key").alias("id"), "home"), "id"), "keys")
     find = partial(_line_texts, membership(keys, "home"), membership(keys, "id", uniform=True))
-    found = rows.select("text", slot("doc_id").alias("__h")).mapInArrow(find, "key long, line string")
+    found = rows.select("text", slot("doc_id").alias("__h")).mapInArrow(find, _TEXTS_DDL)
     texts = materialise(found.join(keys.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    prints = texts.select(F.col("key").alias("id"), "chars", "sim", *_BLOCKS)
+    lists = materialise(met.join(keys.select("id", "rank").join(prints.select("id", "sim", "chars"), "id"), "id"), "lists")
 
     def bound(x, y):
         # the distance is at least the difference of the lengths
@@ -525,7 +673,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         return long_enough & (F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= most)
 
     def verify(pairs):
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
         # dealt anew, as long lines cost more than many short ones
         return both.repartition(F.col("a"), F.col("b")).mapInArrow(partial(_similar_pairs, similarity), "a long, b long")
 
@@ -540,14 +688,16 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     def works(rows):
         return rows.groupBy("g", "lo", "hi").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in ("g", "lo", "hi")))).alias("rows"))
 
-    some = works(_works(named, nodes, similarity)).mapInArrow(partial(_with_partner, similarity), "g long, lo long, hi long, " + _ROW_DDL)
+    some = works(_works(named, prints, similarity)).mapInArrow(partial(_with_partner, similarity), "g long, lo long, hi long, " + _ROW_DDL)
     some = materialise(some, "works")
-    more = works(some.join(texts.toDF("id", "line"), "id")).mapInArrow(partial(_links, similarity), "a long, b long")
+    more = works(some.join(texts.select(F.col("key").alias("id"), "line"), "id")).mapInArrow(partial(_links, similarity), "a long, b long")
     more = materialise(more, "links")
-    comp = connected_components(near.union(more)).withColumnRenamed("id", "key")
-    grouped = nodes.select("key", "n").join(comp, "key", "left").where("component is not null or n > 1").select("key", F.coalesce("component", "key").alias("component"))
+    # these links are of components, so only they are components' components
+    over = connected_components(more).toDF("first", "over")
+    first = nodes.select("key", "n").join(comp.toDF("key", "component"), "key", "left").withColumn("first", F.coalesce("component", "key"))
+    grouped = first.join(over, "first", "left").where("component is not null or over is not null or n > 1").select("key", F.coalesce("over", "first").alias("component"))
     members = materialise(lines.select("doc_id", "t", "line_no", "key").join(grouped, "key"), "members")
-    for table in (lines, nodes, met, keys, lists, texts, pairs, near, named, some, more):
+    for table in (lines, nodes, met, keys, lists, texts, pairs, near, comp, named, some, more):
         drop_table(table)
     place = F.struct("doc_id", "t", "line_no")
     kept = members.groupBy("component").agg(F.min(place).alias("kept"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -242,6 +243,34 @@ def test_long_lists_lose_no_link(spark, monkeypatch, cell):
     assert got == brute_lines(rows) and got
 
 
+@pytest.mark.parametrize("sorted_,crowd", [(1 << 17, 1000), (400, 5)])
+def test_packed_cells_give_the_shared_blocks(monkeypatch, sorted_, crowd):
+    """Lines of one key are one, whichever task has them; no part gets a crowd as a whole."""
+    monkeypatch.setattr(line_dedup, "_SORTED", sorted_)
+    monkeypatch.setattr(line_dedup, "_CROWD", crowd)
+    r, names = random.Random(10), [f"b{i}" for i in range(line_dedup.BLOCKS)]
+    cells = {r.getrandbits(63) * r.choice([1, -1]): [-7 if t == 0 and r.random() < 0.7 else r.randint(-400, 400) << 54 | t for t in range(len(names))] for _ in range(300)}
+    keys = [k for k in cells for _ in range(r.choice([1, 1, 2, 40]))]
+    r.shuffle(keys)
+    packed, parts = defaultdict(list), 4
+    for task in (keys[:100], keys[100:]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((k, *cells[k]) for k in task[i : i + 10]))], names=["key", *names]) for i in range(0, len(task), 10)]
+        for b in line_dedup._cells(parts, iter(batches)):
+            for row in b.to_pylist():
+                packed[row["part"]].append(row)
+    schema = pa.schema([("part", pa.int32()), ("sure", pa.bool_()), ("g", pa.binary()), ("ids", pa.binary())])
+    got = [(x["g"], x["id"]) for part, rs in packed.items() for b in line_dedup._shared((pa.scalar(part),), iter([pa.RecordBatch.from_pylist(rs, schema)])) for x in b.to_pylist()]
+    lists = defaultdict(set)
+    for k, gs in cells.items():
+        for g in gs:
+            lists[g].add(k)
+    assert set(got) == {(g, k) for g, ks in lists.items() if len(ks) > 1 for k in ks}
+    assert len(got) == len(set(got)) or crowd == 5
+    if crowd == 5:
+        told = [x for rs in packed.values() for row in rs if not row["sure"] for x in np.frombuffer(row["g"], np.int64).tolist()]
+        assert 2 <= told.count(-7) < len(lists[-7]) / 2
+
+
 def test_distances_together_are_those_of_each_pair():
     r, xs, ys = random.Random(9), [], []
     for _ in range(1500):
