@@ -570,7 +570,10 @@ def _with_partner(similarity: float, batches):
 
 
 def _links(similarity: float, batches):
-    """The components that links within the works bring together; a pair that earlier links of the task have brought together is passed over."""
+    """The components that links within the works bring together, as a forest: a task has fewer rows than components.
+
+    A pair that earlier links of the task have brought together is passed over.
+    """
     up: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -586,8 +589,10 @@ def _links(similarity: float, batches):
             if open_:
                 a, b, x, y = zip(*open_)
                 for i in np.flatnonzero(similar(x, y, similarity)).tolist():
-                    up[find(a[i])] = find(b[i])
-                    found.append((min(a[i], b[i]), max(a[i], b[i])))
+                    p, q = find(a[i]), find(b[i])
+                    if p != q:  # else links of these pairs have brought them together
+                        up[p] = q
+                        found.append((min(a[i], b[i]), max(a[i], b[i])))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     pairs, chars = [], 0

@@ -243,6 +243,24 @@ def test_long_lists_lose_no_link(spark, monkeypatch, cell):
     assert got == brute_lines(rows) and got
 
 
+def test_links_of_a_crowd_are_a_forest():
+    """Lines all near each other give no row for each pair."""
+    base = [f"word{i}" for i in range(40)]
+    lines = [" ".join([*base, "end", f"n{i:03}"]) for i in range(90)]
+    h, starts = line_dedup.pair_hashes([[w.encode() for w in x.split()] for x in lines])
+    sims, cells = line_dedup.simhashes(h, starts).view(np.int64), line_dedup.blocks(h, starts).view(np.int64)
+    block = Counter(cells[:, 0].tolist()).most_common(1)[0][0]
+    lines, sims, cells = [x for x, c in zip(lines, cells) if c[0] == block], sims[cells[:, 0] == block], cells[cells[:, 0] == block]
+    rows = [{"far": False, "id": i, "component": i, "sim": int(sims[i]), "chars": len(x), **{f"b{t}": int(c) for t, c in enumerate(cells[i])}, "line": x} for i, x in enumerate(lines)]
+    kinds = [("far", pa.bool_()), ("id", pa.int64()), ("component", pa.int64()), ("sim", pa.int64()), ("chars", pa.int32()), *((f"b{t}", pa.int64()) for t in range(line_dedup.BLOCKS)), ("line", pa.string())]
+    work = pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0]), pa.array([0]), pa.array([rows], pa.list_(pa.struct(kinds)))], names=["g", "lo", "hi", "rows"])
+    links = [(r["a"], r["b"]) for b in line_dedup._links(0.8, iter([work])) for r in b.to_pylist()]
+    sets = Sets()
+    for a, b in links:
+        sets.join(a, b)
+    assert len({sets.find(i) for i in range(len(lines))}) == 1 and len(links) == len(lines) - 1 > 30
+
+
 @pytest.mark.parametrize("sorted_,crowd", [(1 << 17, 1000), (400, 5)])
 def test_packed_cells_give_the_shared_blocks(monkeypatch, sorted_, crowd):
     """Lines of one key are one, whichever task has them; no part gets a crowd as a whole."""
