@@ -12,9 +12,11 @@ has them and lengths that allow it are verified by edit similarity.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, partial
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import FILTER_BITS, drop_table, held, materialise, membership, mixed, only, portions, slot
+from lectern.llm.common import FILTER_BITS, drop_table, held, materialise, membership, mixed, only, portions
 from lectern.operators.components import connected_components
 
 #: Blocks of a fingerprint.
@@ -172,8 +174,8 @@ def blocks(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _BLOCKS = [f"b{i}" for i in range(BLOCKS)]
-_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("key", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
-_LINES_DDL = "doc_id long, t int, line_no int, key long" + "".join(f", {b} long" for b in _BLOCKS)
+_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
+_LINES_DDL = "doc_id long, t int, line_no int, place int, key long" + "".join(f", {b} long" for b in _BLOCKS)
 _TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string()), ("chars", pa.int32()), ("sim", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
 _TEXTS_DDL = "key long, line string, chars int, sim long" + "".join(f", {b} long" for b in _BLOCKS)
 #: Bytes of text taken apart at once: the arrays of a larger portion leave the processor's cache.
@@ -184,29 +186,34 @@ def _columns(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _places(docs: np.ndarray, ts: np.ndarray, nos: np.ndarray) -> np.ndarray:
+    """A bit of a membership bitmap for each line of a document, by its number."""
+    h = mixed(docs.astype(np.int64).view(np.uint64) * _MUL + ts.astype(np.int64).view(np.uint64))
+    return (mixed(h * _MUL + nos.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int32)
+
+
 def _fingerprints(batches):
     only("words")
     for b in portions(batches, _PORTION):
         lines = Lines(b.column("text").to_pylist())
         if len(lines):
-            docs, ts = (b.column(c).take(pa.array(lines.text)) for c in ("doc_id", "t"))
-            yield _columns([docs, ts, lines.no, lines.keys(), *blocks(*lines.pair_hashes()).view(np.int64).T], _LINES)
-
-
-def _line_texts(docs_bits, key_bits, batches):
-    """Key, text and fingerprint of the lines that the bitmap of keys has, from documents that the other one has; one worker does both."""
-    for b in portions(batches, _PORTION):
-        b = b.filter(pa.array(held(docs_bits.value, b.column("__h").to_numpy())))
-        if b.num_rows:
-            lines = Lines(b.column("text").to_pylist())
-            keys = lines.keys()
-            at = np.flatnonzero(held(key_bits.value, keys & (FILTER_BITS - 1)))
-            at = at[np.sort(np.unique(keys[at], return_index=True)[1])]
-            if len(at):
-                texts = [lines[i] for i in at]
-                some = Lines([b"\n".join(texts)])
-                h, starts = some.pair_hashes()
-                yield _columns([keys[at], [x.decode("utf-8", "replace") for x in texts], some.chars, simhashes(h, starts).view(np.int64), *blocks(h, starts).view(np.int64).T], _TEXTS)
+            docs, ts = (b.column(c).to_numpy()[lines.text] for c in ("doc_id", "t"))
+            yield _columns([docs, ts, lines.no, _places(docs, ts, lines.no), lines.keys(), *blocks(*lines.pair_hashes()).view(np.int64).T], _LINES)
+
+
+def _line_texts(bits, batches):
+    """Key, text and fingerprint of the lines whose place the bitmap has; the other lines are not taken apart again."""
+    for b in portions(batches, 4 * _PORTION):
+        texts = [(t or b"").split(b"\n") for t in b.column("text").to_pylist()]
+        sizes = np.array([len(t) for t in texts])
+        docs, ts = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc_id", "t"))
+        nos = np.arange(len(docs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        every = list(chain.from_iterable(texts))
+        lines = Lines([b"\n".join([every[i] for i in np.flatnonzero(held(bits.value, _places(docs, ts, nos))).tolist()])])
+        if len(lines):
+            h, starts = lines.pair_hashes()
+            texts = [lines[i].decode("utf-8", "replace") for i in range(len(lines))]
+            yield _columns([lines.keys(), texts, lines.chars, simhashes(h, starts).view(np.int64), *blocks(h, starts).view(np.int64).T], _TEXTS)
 
 
 #: Lines whose cells are sorted at once, cells of a part, and lines from which a cell is known to be a crowd's.
@@ -223,7 +230,7 @@ def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cells(parts: int, batches):
     """The cells of the lines, (block, key), dealt into parts by block as packed numbers.
 
-    A crowd's block is known to be shared: two of its cells tell the block's part so, the
+    A crowd's block is known to be shared: three of its cells tell the block's part so, the
     others are ``sure`` and go anywhere, so that no task gets a crowd as a whole.
     """
 
@@ -234,7 +241,7 @@ def _cells(parts: int, batches):
         order = np.argsort(g)
         g, ids = g[order], keys[order // BLOCKS]
         starts, sizes = _runs(g)
-        sure = np.repeat(sizes > _CROWD, sizes) & (np.arange(len(g)) - np.repeat(starts, sizes) >= 2)
+        sure = np.repeat(sizes > _CROWD, sizes) & (np.arange(len(g)) - np.repeat(starts, sizes) >= 3)
         rows = []
         for lo in range(0, int(sure.sum()), _CROWD):
             x, y = g[sure][lo : lo + _CROWD], ids[sure][lo : lo + _CROWD]
@@ -258,11 +265,13 @@ def _cells(parts: int, batches):
 
 
 def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, id) of the blocks of a part that lines of different keys have."""
+    """(g, id, other) of the blocks of a part that lines of different keys have; ``other`` is the other line's key, if there are just two."""
 
-    def rows(g, ids):
+    def rows(g, ids, other=None, two=None):
         for lo in range(0, len(g), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)].view(np.int64)) for x in (g, ids)], names=["g", "id"])
+            some = slice(lo, lo + (1 << 16))
+            others = pa.nulls(len(g[some]), pa.int64()) if two is None else pa.array(other[some], mask=~two[some])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[some].view(np.int64)) for x in (g, ids)), others], names=["g", "id", "other"])
 
     gs, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for b in batches:
@@ -283,7 +292,9 @@ def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> It
             at = at[np.lexsort((ids[at], g[at]))]
             at = at[np.append(True, (g[at][1:] != g[at][:-1]) | (ids[at][1:] != ids[at][:-1]))] if len(at) else at
         g, ids = g[at], ids[at]
-    yield from rows(g, ids)
+    sizes = _runs(g)[1]
+    two, first = np.repeat(sizes == 2, sizes), np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes) == 0
+    yield from rows(g, ids, np.where(first, np.roll(ids, -1), np.roll(ids, 1)), two)
 
 
 def _common(x, y, end: bool) -> int:
@@ -334,6 +345,29 @@ def _script_cost(a: list[str], b: list[str], trail: list[dict[int, int]]) -> int
     return total + max(out, into)
 
 
+def anchored_bound(a: list[str], b: list[str]) -> int:
+    """An upper bound of the edit distance of two lines, however many words differ: word pairs that each line has once stay, in the longest order common to both; a gap costs its longer side at most."""
+    once = []
+    for words in (a, b):
+        pairs = list(zip(words, words[1:]))
+        counts = Counter(pairs)
+        once.append({p: i for i, p in enumerate(pairs) if counts[p] == 1})
+    tops, ends = [], []
+    for pair, i in once[0].items():
+        j = once[1].get(pair)
+        if j is not None:
+            k = bisect_left(tops, j)
+            tops[k : k + 1], ends[k : k + 1] = [j], [(i, j, ends[k - 1] if k else None)]
+    chars = [list(accumulate((len(w) + 1 for w in words), initial=0)) for words in (a, b)]
+    total, i, j, at = 0, len(a), len(b), ends[-1] if ends else None
+    while at:
+        p, q, at = at
+        both = 2 if p + 2 <= i and q + 2 <= j else 1  # the second word, if the next pair leaves it
+        total += max(chars[0][i] - chars[0][p + both], chars[1][j] - chars[1][q + both])
+        i, j = p, q
+    return total + max(chars[0][i], chars[1][j])
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int | None:
     """Levenshtein distance, a column of differences at a time in the bits of two integers (Hyyro's form of Myers 1999).
 
@@ -365,7 +399,7 @@ def edit_similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
     """1 - distance / longer length reaches ``similarity``.
 
     Common ends are cut off. A script of whole words proves similarity if it is
-    short enough; too unlike counts of characters disprove it; else the distance decides.
+    short enough, and so do word pairs that stay; too unlike counts of characters disprove it; else the distance decides.
     """
     most = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
     if abs(len(x) - len(y)) > most:
@@ -378,7 +412,7 @@ def edit_similar(x: str, y: str, similarity: float = SIMILARITY) -> bool:
         return max(len(x), len(y)) <= most
     a, b = x.split(" "), y.split(" ")
     bound = words_bound(a, b, min(most // 3 + 1, SCRIPT_WORDS))
-    if bound is not None and bound <= most:
+    if bound is not None and bound <= most or anchored_bound(a, b) <= most:
         return True
     counts = Counter(x)
     counts.subtract(y)
@@ -391,7 +425,8 @@ def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.
     """For each pair of code arrays: is the edit distance ``most`` or less (which is at least the difference of the lengths).
 
     The recurrence of ``edit_distance`` for many pairs at once, in words of 64 rows, and only in those of
-    diagonals on which a path of ``most`` edits can lie; the others are taken for too high.
+    diagonals on which a path of ``most`` edits can lie; the others are taken for too high. Now and then
+    the pairs that no path of ``most`` edits can end any more are left out.
     """
     order = np.argsort([-len(y) for y in ys], kind="stable")
     xs, ys, most = [xs[i] for i in order], [ys[i] for i in order], most[order]
@@ -414,9 +449,9 @@ def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.
     column[np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n), of_b] = (of_b * kinds + symbol[of_b, letter[b]]) * wide
     above, below = int(((most + n - m) // 2).max()), int(((most + m - n) // 2).max())
     up, down = np.full((wide, pairs), ~np.uint64(0)), np.zeros((wide, pairs), np.uint64)
-    top, first, distance = np.zeros(pairs, np.int64), 0, np.empty(pairs, np.int64)
-    one, last = np.uint64(1), np.uint64(63)
-    alive = pairs
+    top, first, distance = np.zeros(pairs, np.int64), 0, np.full(pairs, int(most.max()) + 1, np.int64)
+    one, last, limit = np.uint64(1), np.uint64(63), most
+    alive, step = pairs, max(32, int(n[0]) // 8)
     for j in range(1, int(n[0]) + 1):
         low, high = max(0, j - above - 1) >> 6, min(wide - 1, (j + below - 1) >> 6)
         while first < low:  # rows that no path reaches any more: the value below them is carried on
@@ -438,12 +473,29 @@ def _within(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray) -> np.
         while alive and n[alive - 1] == j:
             i = alive = alive - 1
             rest = [(1 << int(min(64, max(0, m[i] - 64 * w)))) - 1 for w in range(low, high + 1)]
-            distance[i] = top[i] + sum((int(up[w, i]) & r).bit_count() - (int(down[w, i]) & r).bit_count() for w, r in zip(range(low, high + 1), rest))
+            distance[every[i]] = top[i] + sum((int(up[w, i]) & r).bit_count() - (int(down[w, i]) & r).bit_count() for w, r in zip(range(low, high + 1), rest))
+        if j % step == 0 and alive >= FEW:
+            open_ = _open(up[low : high + 1, :alive], down[low : high + 1, :alive], top[:alive], 64 * low, m[:alive], n[:alive] - j, limit[:alive])
+            if open_.sum() < 0.9 * alive:
+                at = np.flatnonzero(open_)
+                up, down, column, top, m, n, limit, every = up[:, at], down[:, at], column[:, at], top[at], m[at], n[at], limit[at], every[at]
+                alive = len(at)
+        if not alive:
+            break
     out = np.empty(pairs, bool)
     out[order] = distance <= most
     return out
 
 
+def _open(up: np.ndarray, down: np.ndarray, top: np.ndarray, row: int, m: np.ndarray, left: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Can a path from some row of a column (words from ``row`` on, of value ``top``) end at ``most`` or less, ``left`` columns further on."""
+    bits = (np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down))
+    column = np.cumsum(next(bits) - next(bits), axis=1, dtype=np.int16)
+    ahead = (m - left - row)[:, None] - np.arange(1, column.shape[1] + 1)
+    least = np.where(ahead + left[:, None] >= 0, column + np.abs(ahead), np.int64(1) << 40).min(1)
+    return top + np.minimum(least, np.abs(m - left - row)) <= most
+
+
 def _word_by_word(x: str, y: str) -> int | None:
     """An upper bound of the edit distance of lines with as many words, each put for the other's."""
     a, b = x.split(" "), y.split(" ")
@@ -615,9 +667,9 @@ def _links(similarity: float, batches):
 
 
 def _lists(lines: DataFrame, n: int) -> DataFrame:
-    """(g, id) of the lines that share a block with another one; ``lines`` are ``n`` rows of a written table."""
+    """(g, id, other) of the lines that share a block with another one, as in ``_shared``; ``lines`` are ``n`` rows of a written table."""
     cells = lines.select("key", *_BLOCKS).mapInArrow(partial(_cells, max(1, n * BLOCKS // _PART)), _CELLS_DDL)
-    return cells.groupBy("part").applyInArrow(_shared, "g long, id long")
+    return cells.groupBy("part").applyInArrow(_shared, "g long, id long, other long")
 
 
 def _works(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -660,16 +712,17 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """
     rows = _rows(docs).where("doc_id is not null")
     lines = materialise(rows.mapInArrow(_fingerprints, _LINES_DDL), "lines")
-    nodes = materialise(lines.groupBy("key").agg(F.min("doc_id").alias("home"), F.count("*").alias("n")), "nodes")
+    nodes = materialise(lines.groupBy("key").agg(F.min("place").alias("home"), F.count("*").alias("n")), "nodes")
     met = materialise(_lists(lines, lines.count()), "met")
     # the line of most lists is a list's hub: of near copies, the one they come from
     weight = met.groupBy("id").agg((-F.count("*")).alias("rank"))
     keys = materialise(weight.join(nodes.select(F.col("key").alias("id"), "home"), "id"), "keys")
-    find = partial(_line_texts, membership(keys, "home"), membership(keys, "id", uniform=True))
-    found = rows.select("text", slot("doc_id").alias("__h")).mapInArrow(find, _TEXTS_DDL)
+    found = rows.mapInArrow(partial(_line_texts, membership(keys, "home", uniform=True)), _TEXTS_DDL)
     texts = materialise(found.join(keys.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "texts")
     prints = texts.select(F.col("key").alias("id"), "chars", "sim", *_BLOCKS)
-    lists = materialise(met.join(keys.select("id", "rank").join(prints.select("id", "sim", "chars"), "id"), "id"), "lists")
+    # a list of two lines is their pair; the others have hubs
+    two = met.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    lists = materialise(met.where("other is null").select("g", "id").join(keys.select("id", "rank").join(prints.select("id", "sim", "chars"), "id"), "id"), "lists")
 
     def bound(x, y):
         # the distance is at least the difference of the lengths
@@ -685,7 +738,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     # first each line is tried with its list's hub; then what is left of lists of several components, all pairs of these
     hubs = lists.groupBy("g").agg(F.min(F.struct("rank", "id", "sim", "chars")).alias("h")).select("g", "h.*")
     pairs = lists.alias("y").join(hubs.alias("x"), F.col("x.g") == F.col("y.g")).where((F.col("x.id") != F.col("y.id")) & bound("x", "y"))
-    pairs = materialise(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "star")
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    ends = prints.select("id", "sim", "chars")
+    two = two.join(ends.alias("x"), F.col("a") == F.col("x.id")).join(ends.alias("y"), F.col("b") == F.col("y.id")).where(bound("x", "y")).select("a", "b")
+    pairs = materialise(pairs.union(two).distinct(), "star")
     near = materialise(verify(pairs), "links")
     comp = materialise(connected_components(near), "comp")
     named = materialise(lists.select("g", "id").join(comp, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component")), "named")
@@ -698,11 +754,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     more = works(some.join(texts.select(F.col("key").alias("id"), "line"), "id")).mapInArrow(partial(_links, similarity), "a long, b long")
     more = materialise(more, "links")
     # these links are of components, so only they are components' components
-    over = connected_components(more).toDF("first", "over")
-    first = nodes.select("key", "n").join(comp.toDF("key", "component"), "key", "left").withColumn("first", F.coalesce("component", "key"))
-    grouped = first.join(over, "first", "left").where("component is not null or over is not null or n > 1").select("key", F.coalesce("over", "first").alias("component"))
+    over = materialise(connected_components(more).toDF("first", "over"), "comp")
+    # lines with a near one, and lines that occur again; a component's name is its smallest key
+    alone = nodes.where("n > 1").select("key", F.col("key").alias("first")).union(over.select("first", "first"))
+    first = alone.union(comp.toDF("key", "first")).groupBy("key").agg(F.min("first").alias("first"))
+    grouped = first.join(over, "first", "left").select("key", F.coalesce("over", "first").alias("component"))
     members = materialise(lines.select("doc_id", "t", "line_no", "key").join(grouped, "key"), "members")
-    for table in (lines, nodes, met, keys, lists, texts, pairs, near, comp, named, some, more):
+    for table in (lines, nodes, met, keys, lists, texts, pairs, near, comp, named, some, more, over):
         drop_table(table)
     place = F.struct("doc_id", "t", "line_no")
     kept = members.groupBy("component").agg(F.min(place).alias("kept"))

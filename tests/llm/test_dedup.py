@@ -339,6 +339,34 @@ def test_lines_odd_and_no_documents(odd_documents, no_documents):
     assert line_dedup.dedup_lines(no_documents).count() == 0
 
 
+def test_anchored_bounds_are_no_less_than_the_distance():
+    r, close = random.Random(6), 0
+    for n in (3, 12, 60):
+        for _ in range(60):
+            a = [r.choice("abcdefghijklmnop") * r.randint(1, 4) for _ in range(n)]
+            b = [w for w in a if r.random() < 0.9] or ["x"]
+            if r.random() < 0.5:
+                b.insert(r.randrange(len(b)), "new")
+            real, bound = plain_distance(" ".join(a), " ".join(b)), line_dedup.anchored_bound(a, b)
+            assert bound >= real
+            close += bound <= 0.2 * len(" ".join(a))
+    assert close > 30
+
+
+def test_pairs_of_no_hope_are_left_out():
+    """Pairs go as soon as no path can end in time; those that stay are still told apart."""
+    r = random.Random(5)
+    xs, ys = [], []
+    for i in range(200):
+        x = [r.choice("abcdefgh ") for _ in range(r.randint(300, 420))]
+        y = [r.choice("abcdefgh ") if r.random() < (0.1, 0.24, 0.9)[i % 3] else c for c in x]
+        xs.append(np.array([ord(c) for c in x], np.uint32))
+        ys.append(np.array([ord(c) for c in y], np.uint32))
+    most = np.array([int(len(x) * 0.2) for x in xs])
+    want = [edit_distance("".join(map(chr, x)), "".join(map(chr, y))) <= m for x, y, m in zip(xs, ys, most)]
+    assert line_dedup._within(xs, ys, most).tolist() == want and 60 < sum(want) < 150
+
+
 def plain_distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
