@@ -174,10 +174,12 @@ def blocks(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 _BLOCKS = [f"b{i}" for i in range(BLOCKS)]
-_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
-_LINES_DDL = "doc_id long, t int, line_no int, place int, key long" + "".join(f", {b} long" for b in _BLOCKS)
-_TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string()), ("chars", pa.int32()), ("sim", pa.int64()), *((b, pa.int64()) for b in _BLOCKS)])
-_TEXTS_DDL = "key long, line string, chars int, sim long" + "".join(f", {b} long" for b in _BLOCKS)
+#: ``cells`` has the keys and the blocks of all lines of a portion, packed, in the row of its first line.
+_LINES = pa.schema([("doc_id", pa.int64()), ("t", pa.int32()), ("line_no", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), ("cells", pa.binary())])
+_LINES_DDL = "doc_id long, t int, line_no int, place int, key long, cells binary"
+#: ``cells`` has a line's blocks, packed.
+_TEXTS = pa.schema([("key", pa.int64()), ("line", pa.string()), ("chars", pa.int32()), ("sim", pa.int64()), ("cells", pa.binary())])
+_TEXTS_DDL = "key long, line string, chars int, sim long, cells binary"
 #: Bytes of text taken apart at once: the arrays of a larger portion leave the processor's cache.
 _PORTION = 1 << 18
 
@@ -198,7 +200,9 @@ def _fingerprints(batches):
         lines = Lines(b.column("text").to_pylist())
         if len(lines):
             docs, ts = (b.column(c).to_numpy()[lines.text] for c in ("doc_id", "t"))
-            yield _columns([docs, ts, lines.no, _places(docs, ts, lines.no), lines.keys(), *blocks(*lines.pair_hashes()).view(np.int64).T], _LINES)
+            keys = lines.keys()
+            cells = np.vstack([keys, blocks(*lines.pair_hashes()).view(np.int64).T]).tobytes()
+            yield _columns([docs, ts, lines.no, _places(docs, ts, lines.no), keys, [cells] + [None] * (len(lines) - 1)], _LINES)
 
 
 def _line_texts(bits, batches):
@@ -213,7 +217,28 @@ def _line_texts(bits, batches):
         if len(lines):
             h, starts = lines.pair_hashes()
             texts = [lines[i].decode("utf-8", "replace") for i in range(len(lines))]
-            yield _columns([lines.keys(), texts, lines.chars, simhashes(h, starts).view(np.int64), *blocks(h, starts).view(np.int64).T], _TEXTS)
+            yield _columns([lines.keys(), texts, lines.chars, simhashes(h, starts).view(np.int64), _packed(blocks(h, starts))], _TEXTS)
+
+
+def _packed(cells: np.ndarray) -> pa.Array:
+    """A row of blocks as one value."""
+    ends = pa.py_buffer(np.arange(len(cells) + 1, dtype=np.int32) * cells.itemsize * BLOCKS)
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, ends, pa.py_buffer(np.ascontiguousarray(cells))])
+
+
+def _blocks_of(fields: dict[str, pa.Array]) -> np.ndarray:
+    """The blocks of rows, a row for each, from ``cells`` or from a column of each block."""
+    if "cells" not in fields:
+        return np.stack([fields[b].to_numpy() for b in _BLOCKS], 1)
+    return np.frombuffer(b"".join(fields["cells"].to_pylist()), np.int64).reshape(-1, BLOCKS)
+
+
+def _portions_cells(batches) -> Iterator[pa.RecordBatch]:
+    """(key, block, ...) of the lines of each portion."""
+    for b in batches:
+        for cells in b.column("cells"):
+            columns = np.frombuffer(cells.as_buffer(), np.int64).reshape(1 + BLOCKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", *_BLOCKS])
 
 
 #: Lines whose cells are sorted at once, cells of a part, and lines from which a cell is known to be a crowd's.
@@ -371,27 +396,44 @@ def anchored_bound(a: list[str], b: list[str]) -> int:
 def edit_distance(a: str, b: str, most: int | None = None) -> int | None:
     """Levenshtein distance, a column of differences at a time in the bits of two integers (Hyyro's form of Myers 1999).
 
-    None as soon as no path can end at ``most`` or less.
+    None as soon as no path can end at ``most`` or less. Then the integers hold only rows of diagonals on which
+    a path of ``most`` edits can lie, moved on every few columns; the others are taken for too high.
     """
-    n, ones = len(a), (1 << len(a)) - 1
+    n, m = len(a), len(b)
+    if most is not None and abs(n - m) > most:
+        return None
+    edits = n + m if most is None else most
+    above, below = (edits + m - n) // 2, (edits + n - m) // 2
     where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    up, down, distance, last = ones, 0, n, 1 << (n - 1)
-    step = max(32, len(b) // 8)
-    for at, c in enumerate(b, 1):
-        eq = where.get(c, 0)
-        zero = ((((eq & up) + up) ^ up) | eq | down) & ones
-        plus, minus = (down | ~(zero | up)) & ones, zero & up
-        distance += bool(plus & last) - bool(minus & last)
-        plus = (plus << 1 | 1) & ones
-        up, down = ((minus << 1) | ~(zero | plus)) & ones, plus & zero
-        if most is not None and at % step == 0:
-            bits = (np.unpackbits(np.frombuffer(x.to_bytes(-(-n // 8), "little"), np.uint8), bitorder="little")[:n].astype(np.int32) for x in (up, down))
-            column = np.append(at, at + np.cumsum(next(bits) - next(bits)))
-            rest = np.abs(np.arange(n, -1, -1) - (len(b) - at))
+    up = down = top = low = high = at = 0
+    step, check = max(64, (above + below) // 4), max(32, m // 16)
+    due = check
+    while at < m:
+        to = min(m, at + step)
+        if gone := min(max(0, at - above), n) - low:
+            passed = (1 << gone) - 1
+            top += (up & passed).bit_count() - (down & passed).bit_count()
+            up, down, low = up >> gone, down >> gone, low + gone
+            where = {c: rest for c, bits in where.items() if (rest := bits >> gone)}
+        for i in range(high, min(n, to + below)):
+            where[a[i]] = where.get(a[i], 0) | 1 << (i - low)
+            up |= 1 << (i - low)
+            high = i + 1
+        ones = (1 << (high - low)) - 1
+        for c in b[at:to]:
+            eq = where.get(c, 0)
+            zero = ((((eq & up) + up) ^ up) | eq | down) & ones
+            plus = (down | (ones ^ (zero | up))) << 1 | 1
+            up, down = ((zero & up) << 1 | ~(zero | plus)) & ones, plus & zero
+        top, at = top + to - at, to
+        if most is not None and due <= at < m:
+            bits = (np.unpackbits(np.frombuffer(x.to_bytes(-(-(high - low) // 8), "little"), np.uint8), bitorder="little")[: high - low].astype(np.int32) for x in (up, down))
+            column = np.append(top, top + np.cumsum(next(bits) - next(bits)))
+            rest = np.abs(n - low - np.arange(len(column)) - (m - at))
             if (column + rest).min() > most:
                 return None
+            due = at + check
+    distance = top + up.bit_count() - down.bit_count()
     return distance if most is None or distance <= most else None
 
 
@@ -537,7 +579,7 @@ def similar(xs: list[str], ys: list[str], similarity: float = SIMILARITY, script
         longest, hi = max(open_[lo][0] * 1.25, open_[lo][0] + 64), lo + 1
         while hi < min(len(open_), lo + TOGETHER) and open_[hi][0] <= longest:
             hi += 1
-        if hi - lo < FEW:
+        if hi - lo < max(FEW, open_[lo][1] // 2):  # of long lines more pairs are few
             for _, most, i, x, y in open_[lo:hi]:
                 out[i] = edit_distance(x, y, most) is not None
         else:
@@ -568,7 +610,7 @@ def _gathered(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(some)
 
 
-_ROW_DDL = "far boolean, id long, component long, sim long, chars int" + "".join(f", b{i} long" for i in range(BLOCKS))
+_ROW_DDL = "far boolean, id long, component long, sim long, chars int, cells binary"
 #: Pairs of lines looked at in one piece.
 _PIECE = 1 << 18
 
@@ -579,7 +621,7 @@ def _met(g: np.ndarray, cross: np.ndarray, sizes: np.ndarray, row: dict[str, np.
     end, work = np.repeat(ends, sizes), np.repeat(np.arange(len(sizes)), sizes)
     later = end - np.arange(len(end)) - 1
     upto, at = np.cumsum(later), 0
-    cells = np.stack([row[f"b{i}"] for i in range(BLOCKS)], 1)
+    cells = row["cells"]
     while at < len(later):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PIECE, "right")))
         n = later[at:to]
@@ -605,7 +647,8 @@ def _unpacked(b: pa.RecordBatch):
     fields = {f.name: row.field(f.name) for f in row.type}
     lo, hi = (b.column(c).to_numpy() for c in ("lo", "hi"))
     sizes = np.diff(rows.offsets.to_numpy())
-    return b.column("g").to_numpy(), lo != hi, sizes, {k: v.to_numpy(zero_copy_only=False) for k, v in fields.items() if k != "line"}, fields
+    row = {k: fields[k].to_numpy(zero_copy_only=False) for k in ("far", "id", "component", "sim", "chars")} | {"cells": _blocks_of(fields)}
+    return b.column("g").to_numpy(), lo != hi, sizes, row, fields
 
 
 def _with_partner(similarity: float, batches):
@@ -668,7 +711,8 @@ def _links(similarity: float, batches):
 
 def _lists(lines: DataFrame, n: int) -> DataFrame:
     """(g, id, other) of the lines that share a block with another one, as in ``_shared``; ``lines`` are ``n`` rows of a written table."""
-    cells = lines.select("key", *_BLOCKS).mapInArrow(partial(_cells, max(1, n * BLOCKS // _PART)), _CELLS_DDL)
+    parts = max(1, n * BLOCKS // _PART)
+    cells = lines.where("cells is not null").select("cells").mapInArrow(lambda batches: _cells(parts, _portions_cells(batches)), _CELLS_DDL)
     return cells.groupBy("part").applyInArrow(_shared, "g long, id long, other long")
 
 
@@ -690,7 +734,7 @@ def _works(named: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     rows = materialise(rows.withColumn("kind", band * 2 + (F.col("component") != F.col("largest")).cast("long")).drop("largest"), "mixed")
     parts = rows.where(long).groupBy("g", "kind").agg(F.ceil(F.count("*") / LONG_LIST).alias("many"))
     kinds = parts.groupBy("g").agg(F.collect_list(F.struct("kind", "many")).alias("kinds"))
-    attributes = ("component", "sim", "chars", *(f"b{i}" for i in range(BLOCKS)))
+    attributes = ("component", "sim", "chars", "cells")
     zero = F.lit(0).cast("long")
     short = rows.where(~long).select("g", zero.alias("lo"), zero.alias("hi"), F.lit(False).alias("far"), "id", *attributes)
     met = rows.where(long).join(kinds, "g").join(parts, ["g", "kind"])
@@ -719,7 +763,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     keys = materialise(weight.join(nodes.select(F.col("key").alias("id"), "home"), "id"), "keys")
     found = rows.mapInArrow(partial(_line_texts, membership(keys, "home", uniform=True)), _TEXTS_DDL)
     texts = materialise(found.join(keys.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"]), "texts")
-    prints = texts.select(F.col("key").alias("id"), "chars", "sim", *_BLOCKS)
+    prints = texts.select(F.col("key").alias("id"), "chars", "sim", "cells")
     # a list of two lines is their pair; the others have hubs
     two = met.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     lists = materialise(met.where("other is null").select("g", "id").join(keys.select("id", "rank").join(prints.select("id", "sim", "chars"), "id"), "id"), "lists")
@@ -780,7 +824,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     gone = repeated_lines(docs, similarity)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.hash(F.col("text").cast("binary")).alias("t"))
-    joined = whole.join(gone, (F.col("row.doc_id") == gone["doc_id"]) & (whole["t"] == gone["t"]), "left").select("row", "lines")
+    # the numbers of lines are few beside the texts, which need no sorting then
+    joined = whole.join(gone.hint("shuffle_hash"), (F.col("row.doc_id") == gone["doc_id"]) & (whole["t"] == gone["t"]), "left").select("row", "lines")
     parts = joined.withColumn("parts", F.when(F.col("lines").isNotNull(), F.split("row.text", "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("lines"))
     text = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")

@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 
@@ -289,6 +291,58 @@ def test_packed_cells_give_the_shared_blocks(monkeypatch, sorted_, crowd):
         assert 2 <= told.count(-7) < len(lists[-7]) / 2
 
 
+def test_blocks_travel_packed(monkeypatch):
+    """Both passes over the texts give the blocks of each line as packed values, not as a column of each block."""
+    monkeypatch.setattr(line_dedup, "_PORTION", 400)
+    texts = [(t + "\n--\n" + t[::-1]).encode() for _, t in near_copies(5)[:40]] + [None, b"", b"--"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([7] * len(texts), pa.int32()), pa.array(texts, pa.binary())], names=["doc_id", "t", "text"])
+    lines = pa.Table.from_batches(line_dedup._fingerprints(iter([batch])))
+    every = line_dedup.Lines(texts)
+    want = dict(zip(every.keys().tolist(), line_dedup.blocks(*every.pair_hashes()).view(np.int64).tolist()))
+    assert lines["key"].to_pylist() == every.keys().tolist() and 1 < len(lines) - lines["cells"].null_count < len(texts)
+    some = lines.filter(pa.compute.is_valid(lines["cells"])).select(["cells"]).to_batches()
+    got = [(x["key"], [x[f"b{i}"] for i in range(line_dedup.BLOCKS)]) for b in line_dedup._portions_cells(iter(some)) for x in b.to_pylist()]
+    assert [k for k, _ in got] == lines["key"].to_pylist() and dict(got) == want
+    bits = type("Bits", (), {"value": np.full(line_dedup.FILTER_BITS // 64, -1)})
+    found = pa.Table.from_batches(line_dedup._line_texts(bits, iter([batch]))).combine_chunks()
+    cells = found["cells"].chunk(0).slice(3)
+    assert line_dedup._blocks_of({"cells": cells}).tolist() == [want[k] for k in found["key"].to_pylist()[3:]]
+
+
+def test_bounded_distances_look_at_a_band_alone():
+    """A bound of a hundredth of a long line asks for a small part of its cells."""
+    r, seconds = random.Random(11), []
+    x = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    y = "".join(r.choice("abcdefgh ") if r.random() < 0.003 else c for c in x)
+    for most in (None, 300):
+        began = time.process_time()
+        seconds.append((edit_distance(x, y, most), time.process_time() - began))
+    (want, whole), (got, band) = seconds
+    assert got == want and 0 < got <= 300 and band < whole / 3
+
+
+def test_bounded_distances_of_any_shape():
+    r = random.Random(12)
+    for _ in range(400):
+        letters = r.choice(["ab", "abcdefgh ", "éü日本"])
+        x = [r.choice(letters) for _ in range(r.choice([1, 40, 64, 65, 300]))]
+        y = list(x)
+        for _ in range(r.randint(0, max(1, len(x) // r.choice([2, 5, 20])))):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 3)] = [r.choice(letters)] * r.randint(0, 3)
+        x, y = "".join(x), "".join(y) or "z"
+        d = plain_distance(x, y)
+        assert edit_distance(x, y) == d
+        for most in (0, 1, 7, len(x) // 5, d - 1, d, d + 1, 1000):
+            assert most < 0 or edit_distance(x, y, most) == (d if d <= most else None)
+
+
+def test_texts_are_joined_unsorted(spark, documents):
+    """The last join needs no order of the texts."""
+    plan = line_dedup.dedup_lines(documents.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [row" in plan and "Sort [row" not in plan
+
+
 def test_distances_together_are_those_of_each_pair():
     r, xs, ys = random.Random(9), [], []
     for _ in range(1500):
