@@ -156,6 +156,47 @@ def test_a_hot_title_is_many_tasks_work(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("find", [M.existing_match])
+def test_pairs_of_single_ids_are_not_shuffled(spark, find):
+    works = spark.range(600).select(F.col("id").cast("string").alias("id"), F.lit("Same").alias("title"), F.lit("Same").alias("title_original"), F.lit(None).cast("int").alias("year"))
+    works = works.select("*", F.lit("db").alias("source"), F.lit("1").alias("source_id"))
+    got = find(works, works)
+    above = str(got._jdf.queryExecution().executedPlan()).split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert got.count() == 600 * 600 and got.select("new_id", "old_id").distinct().count() == 600 * 600
+    if find is M.existing_match:
+        assert {(r.same, r.reasons) for r in got.select((F.col("new_id") == F.col("old_id")).alias("same"), "reasons").distinct().collect()} == {
+            (True, "id|original_year|source|title_year"), (False, "original_year|source|title_year"),
+        }
+
+
+def works_of(spark, r, ids, n):
+    pick = lambda *values: r.choice(values)
+    rows = [(ids(k), pick("A", "B", "C", None), pick("A", "B", None), pick(1999, 2000, None), pick("db", "tm", None), pick("1", "2", "3", None)) for k in range(n)]
+    rows += rows[:3]  # rows that come twice
+    return rows, spark.createDataFrame(rows, "id string, title string, title_original string, year int, source string, source_id string")
+
+
+@pytest.mark.parametrize("ids", [lambda k: str(k), lambda k: None if k % 4 == 0 else str(k % 20)], ids=["single", "repeated or null"])
+def test_pairs_equal_all_comparisons(spark, ids):
+    import random
+
+    r = random.Random(5)
+    (new, new_df), (old, old_df) = works_of(spark, r, ids, 30), works_of(spark, r, ids, 25)
+    same = lambda a, b: a is not None and a == b
+    want, listed = {}, set()
+    for a in new:
+        for b in old:
+            met = [("id", same(a[0], b[0])), ("source", same(a[4], b[4]) and same(a[5], b[5])), ("title_year", same(a[1], b[1]) and a[3] == b[3]), ("original_year", same(a[2], b[2]) and a[3] == b[3])]
+            want.setdefault((a[0], b[0]), set()).update(x for x, y in met if y)
+            if (same(a[1], b[1]) or same(a[1], b[2])) and (a[3] is None or a[3] == b[3]):
+                listed.add((a[0], b[0]))
+    got = [(x.new_id, x.old_id, x.reasons) for x in M.existing_match(new_df, old_df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(*k, "|".join(sorted(v))) for k, v in want.items() if v}
+    got = [(x.new_id, x.old_id) for x in M.manifest_match(new_df, old_df).collect()]
+    assert len(got) == len(set(got)) and set(got) == listed
+
+
 def test_pages_of_one_index(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("n"), F.when(F.col("id") % 5 > 0, F.col("id") % 10).alias("year"))
     index = X.page_index(df, F.desc_nulls_last("year"), "id")
