@@ -156,7 +156,7 @@ def test_a_hot_title_is_many_tasks_work(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("find", [M.existing_match])
+@pytest.mark.parametrize("find", [M.existing_match, M.manifest_match])
 def test_pairs_of_single_ids_are_not_shuffled(spark, find):
     works = spark.range(600).select(F.col("id").cast("string").alias("id"), F.lit("Same").alias("title"), F.lit("Same").alias("title_original"), F.lit(None).cast("int").alias("year"))
     works = works.select("*", F.lit("db").alias("source"), F.lit("1").alias("source_id"))
