@@ -20,10 +20,10 @@ def scratch_folder(spark: SparkSession, name: str = "table") -> str:
     return f"{root.rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
     """``df`` as a written table: evaluated once, and its lineage cut in a way that a lost executor does not undo."""
     folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
