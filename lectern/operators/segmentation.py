@@ -7,7 +7,8 @@ as told by a bitmap of fixed size and then by an exact join; runs are cut in Pyt
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,23 +44,26 @@ def unigram_costs(dictionary: DataFrame) -> DataFrame:
     return one.select("word", millionths(F.log("total") - F.log("n")).alias("cost"))
 
 
-def _cheapest(text: str, costs: dict[str, int], alone: int, longest: int) -> list[str]:
-    """The cheapest path; of equal cost the one of fewer words, then the one whose first difference is the longer word."""
+def _cheapest(text: str, costs: dict[str, int], alone: int, reach: dict[str, int]) -> list[str]:
+    """The cheapest path; of equal cost the one of fewer words, then the one whose first difference is the longer word.
+
+    ``reach``: the length of the longest word that begins with two characters.
+    """
     n = len(text)
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)
+    cost, count, size = [0] * (n + 1), [0] * (n + 1), [1] * n
     for i in range(n - 1, -1, -1):
-        cost, count, _ = best[i + 1]
-        top = (costs.get(text[i], alone) + cost, 1 + count, -1)
-        for size in range(2, min(longest, n - i) + 1):
-            known = costs.get(text[i : i + size])
+        low, few, best = costs.get(text[i], alone) + cost[i + 1], count[i + 1], 1
+        for k in range(2, min(reach.get(text[i : i + 2], 0), n - i) + 1):
+            known = costs.get(text[i : i + k])
             if known is not None:
-                cost, count, _ = best[i + size]
-                top = min(top, (known + cost, 1 + count, -size))
-        best[i] = top
+                c = known + cost[i + k]
+                if c < low or (c == low and count[i + k] <= few):
+                    low, few, best = c, count[i + k], k
+        cost[i], count[i], size[i] = low, few + 1, best
     words, i = [], 0
     while i < n:
-        words.append(text[i : i - best[i][2]])
-        i -= best[i][2]
+        words.append(text[i : i + size[i]])
+        i += size[i]
     return words
 
 
@@ -96,16 +100,35 @@ def _word_bitmap(words: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def _words_asked(runs: Collection[str], bits: np.ndarray, longest: int) -> list[str]:
+def _words_asked(runs: Iterable[str], bits: np.ndarray, longest: int) -> list[str]:
     """The substrings of ``runs`` that the bitmap knows."""
     text = "\0".join(runs)
     codes, words = _codes(text), set()
     for k, slots in enumerate(_slots(codes[size:] for size in range(min(longest, len(codes)))), 1):
         hits = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
-        words.update(text[i : i + k] for i in hits.tolist())
+        _, first, of = np.unique(slots[hits], return_index=True, return_inverse=True)
+        as_first = hits[first][of]
+        other = np.zeros(len(hits), bool)  # words that have a bit in common with another
+        for j in range(k):
+            other |= codes[hits + j] != codes[as_first + j]
+        words.update(text[i : i + k] for i in [*hits[first].tolist(), *hits[other].tolist()])
     return [w for w in words if "\0" not in w]
 
 
+class _Cuts(dict):
+    """piece -> make(piece), for up to ``limit`` pieces at once."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, piece: str) -> list[str]:
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = words = self.make(piece)
+        return words
+
+
 def cut_texts(
     rows: DataFrame, column: str, dictionary: DataFrame, name: str, pieces: str | None = None, runs: str = "", longest: int = LONGEST_WORD,
     text: Column | None = None, least: int = 1, without: Collection[str] = (),
@@ -117,6 +140,7 @@ def cut_texts(
     """
     spark, without = rows.sparkSession, frozenset(without)
     held = written(dictionary.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    longest = held.where(F.length("word") <= longest).agg(F.max(F.length("word"))).first()[0] or 1
     alone = held.agg(F.round(F.log(F.coalesce(F.sum("n"), F.lit(1)).cast("double")) * 1_000_000).cast("long")).first()[0]
     costs = unigram_costs(held).where(F.length("word").between(1, longest))
     bits = spark.sparkContext.broadcast(_word_bitmap(costs))
@@ -131,12 +155,13 @@ def cut_texts(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         for b in batches:
-            ends = np.cumsum(pc.binary_length(texts(b)).to_numpy().astype(np.int64))
+            sizes = pc.coalesce(*[pc.binary_length(b.column(c)) for c in ("__text", column)], pa.scalar(0, pa.int32()))  # of the batch only sizes are copied
+            ends = np.cumsum(sizes.to_numpy().astype(np.int64))
             at = 0
             while at < len(ends):
                 to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + BLOCK_BYTES, "right")))
                 block, at = b.slice(at, to - at), to
-                found = {x for t in texts(block).to_pylist() for x in set(parts(t)) if is_run(x)}
+                found = filter(is_run, set(chain.from_iterable(map(parts, texts(block).to_pylist()))))
                 with pa.ipc.new_stream(out := pa.BufferOutputStream(), block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(block)
                 words = pa.array([_words_asked(found, bits.value, longest)], pa.list_(pa.string()))
@@ -145,23 +170,25 @@ def cut_texts(
 
     blocks = written(packing.mapInArrow(pack, "block long, data binary, words array<string>"), "blocks", maxRecordsPerFile=FILE_BLOCKS)
     asked = blocks.select("block", F.explode("words").alias("word")).join(costs, "word").select(F.col("block").alias("of"), "word", "cost")
-    memo: dict[str, list[str]] = {}
+
+    memos, limit = [], MEMO_PIECES  # one for a task
 
     def unpack(block: pa.Table, words: pa.Table) -> pa.Table:
+        if not memos:
+            memos.append(_Cuts(limit))
+        memo = memos[0]
         known = dict(zip(words.column("word").to_pylist(), words.column("cost").to_pylist()))
-        most = max(map(len, known), default=1)
+        reach: dict[str, int] = {}
+        for w in known:
+            reach[w[:2]] = max(len(w), reach.get(w[:2], 0))
+        cut = lambda piece: _cheapest(piece, known, alone, reach) if is_run(piece) else [piece]
+        memo.make = lambda piece: [w for w in cut(piece) if len(w) >= least and w not in without]
         tables = []
         for data in block.column("data"):
             b = pa.ipc.open_stream(data.as_buffer()).read_all()
             flat, ends = [], [0]
             for t in texts(b).to_pylist():
-                for x in parts(t):
-                    got = memo.get(x)
-                    if got is None:
-                        if len(memo) >= MEMO_PIECES:
-                            memo.clear()
-                        got = memo[x] = [w for w in (_cheapest(x, known, alone, most) if is_run(x) else [x]) if len(w) >= least and w not in without]
-                    flat += got
+                flat.extend(chain.from_iterable(map(memo.__getitem__, parts(t))))
                 ends.append(len(flat))
             tables.append(b.drop_columns(["__text"]).append_column(name, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))))
         return pa.concat_tables(tables)
